@@ -93,7 +93,7 @@ class ShardStore:
 
     def _tier(self, size: Column) -> Column:
         steps = F.log(float(self.fanout), F.greatest(size.cast("double"), F.lit(1.0)) / self.least)
-        return F.when(size >= self.target, F.lit(1000)).otherwise(F.greatest(F.floor(steps), F.lit(-1)) + 1).cast("int")
+        return F.when(2 * size >= self.target, F.lit(1000)).otherwise(F.greatest(F.floor(steps), F.lit(-1)) + 1).cast("int")
 
     def _measured(self, folder: str, born: int) -> DataFrame:
         """Manifest rows for the files of a folder, read from one narrow column."""
