@@ -1,11 +1,61 @@
-"""Corpus pipeline: the training-data operators applied one after another."""
+"""Corpus pipeline: five training-data operators applied one after another.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with
+the columns of documents; the last one returns them with their shards. run() writes
+each stage's rows as Parquet to the shared folder and reads them back for the next.
+
+Null ids, texts and sources, repeated rows, empty tables and extra columns pass
+through as the stages' operators define; a document without an id is told apart by
+its text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestone.llm import decontaminate, mixing, near_dedup, sharding, toxicity
+from lodestone.llm.common import new_path, saved, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that nearest labelled examples score at 0.5 or more go."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return near_dedup.without_near_copies(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of its source takes it."""
+    return mixing.mixed(docs)
+
+
+def write_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in compacted shards, read back with the shard of each row."""
+    return sharding.shard(docs, new_path(spark, "shards"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("decontaminate", drop_leaks),
+    ("mix", mix_sources),
+    ("shards", write_shards),
+]
+
+#: The stages learn from labels, hash and iterate: SQL cannot express them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

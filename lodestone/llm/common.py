@@ -75,3 +75,9 @@ def slices(lengths, most: int):
         total += n
     if len(lengths) > start:
         yield start, len(lengths)
+
+
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """The id of a row; rows without one get a number from their text, above all usual ids."""
+    spare = F.shiftrightunsigned(F.xxhash64(docs[text_col]), 2) + F.lit(1 << 62)
+    return F.coalesce(docs[id_col].cast("long"), spare)

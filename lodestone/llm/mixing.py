@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, saved
+from .common import WORD_RE, row_key, saved
 
 WEIGHTS = (1.0, 2.0, 3.0)
 CAP = 3
@@ -135,3 +135,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         near = out.join(F.broadcast(pick) if pick.count() <= 100_000 else pick, F.col("source").eqNullSafe(F.col("_ps")) & (F.col("h") == F.col("_ph")) & F.col("doc_id").eqNullSafe(F.col("_pd")), "left")
         out = saved(near.select("doc_id", "source", "size", "source_size", "target", "rate", (F.col("copies") + F.coalesce("by", F.lit(0))).alias("copies"), "h"), "mix-copies")
     return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """docs as the mix takes them: each row as often as it has copies. Rows that
+    repeat an id take the copies of the one that has most."""
+    key = row_key(docs, id_col, text_col)
+    rates = mix(docs.select(key.alias("doc_id"), docs[text_col].alias("text"), docs[source_col].alias("source")), **options)
+    copies = saved(rates.where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("n")).select(F.col("doc_id").alias("_mix_id"), F.col("n").alias("_mix_n")), "mix-take")
+    out = docs.join(copies, key == copies["_mix_id"])
+    return out.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), copies["_mix_n"])).alias("_mix_copy")).drop("_mix_copy")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import by_value, remove, saved, slices
+from .common import by_value, remove, row_key, saved, slices
 from .components import components
 
 by_value(__name__)
@@ -177,6 +177,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
 
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each group of near copies: the one with the smallest
+    id, or one of its rows if it repeats with the same text."""
+    key = row_key(docs, id_col, text_col)
+    rows = saved(near_groups(docs.select(key.alias("doc_id"), docs[text_col].alias("text")), **options), "near")
+    gone = rows.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    out = docs.join(gone, key == gone["_gone"], "left_anti")
+    again = rows.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").head(1)
+    return out.dropDuplicates([id_col, text_col]) if again else out
+
+
 def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return lists.withColumn("lab", F.col("dig"))

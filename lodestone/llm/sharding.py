@@ -12,7 +12,7 @@ names, and vacuum() removes those and the ones that compaction replaced.
 Defined results: nulls in any column are stored as they are; a row without text
 counts as a few bytes; repeated rows and ties are kept; an empty table commits an
 empty manifest; extra columns are stored too; columns named like the store's own
-(`_bytes`, `_file`, `_run`) raise ValueError.
+(`_lodestone_bytes`, `_lodestone_file`, `_lodestone_run`) raise ValueError.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-OWN = {"_bytes", "_file", "_run"}
+#: Columns that the store adds to its files.
+BYTES, FILE, RUN = "_lodestone_bytes", "_lodestone_file", "_lodestone_run"
+OWN = {BYTES, FILE, RUN}
 MANIFEST = "shard string, rows long, bytes long, tier int, born int"
 
 
@@ -97,9 +99,9 @@ class ShardStore:
 
     def _measured(self, folder: str, born: int) -> DataFrame:
         """Manifest rows for the files of a folder, read from one narrow column."""
-        df = self.spark.read.schema("_bytes long").parquet(f"{self.path}/{folder}")
+        df = self.spark.read.schema(f"{BYTES} long").parquet(f"{self.path}/{folder}")
         name = F.concat(F.lit(f"{folder}/"), F.element_at(F.split("_metadata.file_path", "/"), -1))
-        out = df.groupBy(name.alias("shard")).agg(F.count("*").alias("rows"), F.sum("_bytes").alias("bytes"))
+        out = df.groupBy(name.alias("shard")).agg(F.count("*").alias("rows"), F.sum(BYTES).alias("bytes"))
         return out.select("shard", "rows", "bytes", self._tier(F.col("bytes")).alias("tier"), F.lit(born).alias("born"))
 
     def append(self, df: DataFrame) -> int:
@@ -108,7 +110,7 @@ class ShardStore:
             raise ValueError(f"{sorted(OWN)} are names of the store")
         base = self.version()
         folder = f"arrived-{uuid.uuid4().hex}"
-        sized = df.withColumn("_bytes", self._row_bytes(df))
+        sized = df.withColumn(BYTES, self._row_bytes(df))
         sized.write.option("maxRecordsPerFile", self.rows).option("compression", self.codec).parquet(f"{self.path}/{folder}")
         return self._commit(self.manifest(base).unionByName(self._measured(folder, base + 1)), base, df.schema.json())
 
@@ -120,7 +122,7 @@ class ShardStore:
         run = F.floor((F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")) / self.target)
         runs = todo.select("shard", "tier", "bytes", run.alias("k"))
         full = runs.groupBy("tier", "k").agg(F.count("*").alias("n")).where(F.col("n") >= self.runs)
-        return runs.join(full, ["tier", "k"]).select("shard", F.concat_ws("-", "tier", "k").alias("_run"))
+        return runs.join(full, ["tier", "k"]).select("shard", F.concat_ws("-", "tier", "k").alias(RUN))
 
     def compact(self) -> int:
         """Merge similar shards once; the new version, or the present one if no
@@ -129,24 +131,24 @@ class ShardStore:
         if not base:
             return 0
         # names of shard files only, as many as there are files to open
-        todo = {r["shard"]: r["_run"] for r in self.plan(base).collect()}
+        todo = {r["shard"]: r[RUN] for r in self.plan(base).collect()}
         if not todo:
             return base
         pointer, folder = self._pointer(base), f"merged-{uuid.uuid4().hex}"
-        schema = T.StructType.fromJson(json.loads(pointer["schema"])).add("_bytes", T.LongType())
+        schema = T.StructType.fromJson(json.loads(pointer["schema"])).add(BYTES, T.LongType())
         rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/{x}" for x in sorted(todo)])
-        rows = rows.withColumn("_file", F.concat_ws("/", F.slice(F.split("_metadata.file_path", "/"), -2, 2)))
-        plan = self.spark.createDataFrame(sorted(todo.items()), "_file string, _run string")
+        rows = rows.withColumn(FILE, F.concat_ws("/", F.slice(F.split("_metadata.file_path", "/"), -2, 2)))
+        plan = self.spark.createDataFrame(sorted(todo.items()), f"{FILE} string, {RUN} string")
         runs = len(set(todo.values()))
-        rows = rows.join(plan, "_file").drop("_file").repartition(runs, "_run")
-        rows.write.partitionBy("_run").option("compression", self.codec).parquet(f"{self.path}/{folder}")
-        keep = self.manifest(base).join(plan, F.col("shard") == F.col("_file"), "left_anti")
+        rows = rows.join(plan, FILE).drop(FILE).repartition(runs, RUN)
+        rows.write.partitionBy(RUN).option("compression", self.codec).parquet(f"{self.path}/{folder}")
+        keep = self.manifest(base).join(plan, F.col("shard") == F.col(FILE), "left_anti")
         return self._commit(keep.unionByName(self._measured_runs(folder, base + 1)), base, pointer["schema"])
 
     def _measured_runs(self, folder: str, born: int) -> DataFrame:
-        df = self.spark.read.schema("_bytes long, _run string").parquet(f"{self.path}/{folder}")
+        df = self.spark.read.schema(f"{BYTES} long, {RUN} string").parquet(f"{self.path}/{folder}")
         name = F.concat(F.lit(f"{folder}/"), F.concat_ws("/", F.slice(F.split("_metadata.file_path", "/"), -2, 2)))
-        out = df.groupBy(name.alias("shard")).agg(F.count("*").alias("rows"), F.sum("_bytes").alias("bytes"))
+        out = df.groupBy(name.alias("shard")).agg(F.count("*").alias("rows"), F.sum(BYTES).alias("bytes"))
         return out.select("shard", "rows", "bytes", self._tier(F.col("bytes")).alias("tier"), F.lit(born).alias("born"))
 
     def compact_all(self, most: int = 20) -> int:
@@ -158,19 +160,19 @@ class ShardStore:
         return self.version()
 
     def read(self, version: int | None = None, with_shard: bool = False) -> DataFrame:
-        """The rows of a version; with_shard adds the column `_file`."""
+        """The rows of a version; with_shard adds the column FILE."""
         v = self.version() if version is None else version
         if not v:
             raise ValueError("the store is empty")
         schema = T.StructType.fromJson(json.loads(self._pointer(v)["schema"]))
         names = sorted(r["shard"] for r in self.manifest(v).select("shard").collect())
         if not names:
-            return self.spark.createDataFrame([], schema if not with_shard else T.StructType([*schema.fields, T.StructField("_file", T.StringType())]))
+            return self.spark.createDataFrame([], schema if not with_shard else T.StructType([*schema.fields, T.StructField(FILE, T.StringType())]))
         df = self.spark.read.schema(schema).parquet(*[f"{self.path}/{x}" for x in names])
         if with_shard:
             parts = F.split("_metadata.file_path", "/")
-            tail = F.when(F.element_at(parts, -2).startswith("_run="), F.slice(parts, -3, 3)).otherwise(F.slice(parts, -2, 2))
-            df = df.select("*", F.url_decode(F.concat_ws("/", tail)).alias("_file"))
+            tail = F.when(F.element_at(parts, -2).startswith(f"{RUN}="), F.slice(parts, -3, 3)).otherwise(F.slice(parts, -2, 2))
+            df = df.select("*", F.url_decode(F.concat_ws("/", tail)).alias(FILE))
         return df
 
     def vacuum(self) -> int:
@@ -197,4 +199,6 @@ def shard(docs: DataFrame, path: str, **options) -> DataFrame:
     v = store.compact_all()
     store.vacuum()
     entries = store.manifest(v).select(F.col("shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"))
-    return store.read(v, with_shard=True).join(entries, F.col("_file") == F.col("shard")).drop("_file").withColumn("version", F.lit(v))
+    # names of the result win over columns of docs that have them
+    rows = store.read(v, with_shard=True).drop(*entries.columns, "version")
+    return rows.join(entries, F.col(FILE) == F.col("shard")).drop(FILE).withColumn("version", F.lit(v))
