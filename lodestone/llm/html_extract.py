@@ -3,7 +3,7 @@
 A page is read into its sequence of leaf blocks: stretches of text between block
 tags, each with the path of open elements above it. A block's vector holds hashed
 path tokens (tags, classes, ids, roles and their words), hashed words, and a few
-numbers (length, share of linked text, punctuation, place). A bidirectional LSTM
+numbers (length, share of linked text, punctuation, depth). A bidirectional LSTM
 in numpy reads the whole sequence and labels every block main text or not, so a
 block is judged with the context of the whole page. The labeller is trained on
 the driver, from a fixed seed, on pages of html_pages.
@@ -50,7 +50,7 @@ PIECE = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 SPACE = re.compile(r"[ \t\n\r\f\v   -     　]+")
 WORD = re.compile(r"\w+")
 
-PATHS, WORDS, NUMBERS, HIDDEN = 256, 32, 8, 24
+PATHS, WORDS, NUMBERS, HIDDEN = 256, 32, 6, 24
 INPUT = PATHS + WORDS + NUMBERS
 
 
@@ -182,7 +182,7 @@ class Features:
                 x[i, PATHS + j] += sign
             x[i, PATHS : PATHS + WORDS] /= 4 * np.sqrt(max(1, min(64, len(words))))
             n = len(text)
-            x[i, PATHS + WORDS :] = (np.log1p(len(words)) / 4, min(1.0, linked / n), text.count(",") * 8 / (n + 8), text[-1] in ".!?", i / 30 if i < 30 else 1.0, (len(found) - i) / 30 if len(found) - i < 30 else 1.0, len(path) / 12, 1.0)
+            x[i, PATHS + WORDS :] = (np.log1p(len(words)) / 4, min(1.0, linked / n), text.count(",") * 8 / (n + 8), text[-1] in ".!?", len(path) / 12, 1.0)
         return x
 
 

@@ -89,7 +89,7 @@ def article(r: random.Random) -> str:
     out = []
     if r.random() < 0.85:
         out.append(f"<h1{good}>{_text(r, 1, 12)}</h1>")
-    for _ in range(r.choice((1, 2, 3, 4, 6, 9))):
+    for _ in range(r.choice((1, 2, 3, 4, 6, 9, 14, 24, 40))):
         kind = r.random()
         if kind < 0.68:
             inner = _text(r, 1, r.choice((1, 3, 8, 30, 90, 90)))
