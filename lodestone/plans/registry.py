@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import eval_plans, graph_plans, text_plans
+
+_MODULES = (text_plans, graph_plans, eval_plans)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for m in _MODULES for name, text in m.SQL.items()}
