@@ -9,10 +9,9 @@
    t - least + 1 rarest as prefix: two classes with `least` common coordinates
    share a posting of both prefixes.
 3. Posting lists are merged in rounds. A round compares every member with one
-   pivot of the list unless both are linked already, on full sets; confirmed
-   links become components, a list inside one component is done, and pivots
-   leave their list. What remains after `rounds` is compared block by block,
-   members outside a list's largest component against all members, counting
+   pivot of the list unless both have one label already, on full sets; confirmed
+   links give labels, a list with one label is done, and pivots leave their list. What remains after `rounds` is compared block by block,
+   members outside a list's largest label against all members, counting
    common coordinates first and confirming on full sets. Neither step emits the
    pairs of a group, and no pair above the threshold is passed over.
 
@@ -35,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import by_value, remove, row_key, saved, slices
+from .common import by_value, row_key, saved, slices
 from .components import components
 
 by_value(__name__)
 
-COORDS, LEAST, ROUNDS, BLOCK = 48, 22, 3, 256
+COORDS, LEAST, ROUNDS, BLOCK = 48, 22, 2, 256
 
 
 def shingle_sets(col: pa.Array, k: int):
@@ -145,8 +144,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lists = posted.join(shared, "tok").groupBy("dig").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("t")).where(F.size("t") >= least)
     lists = lists.select("dig", F.explode(F.slice("t", F.lit(1), F.size("t") - least + 1)).alias("t")).select("dig", F.col("t.tok").alias("tok"))
     lists = saved(lists, "lists")
-    many = lists.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1").select("tok")
-    lists = saved(lists.join(many, "tok").select("tok", "dig"), "lists")
     links, labels = spark.createDataFrame([], "a binary, b binary"), None
     if lists.head(1):
         need = lists.select("dig").distinct().join(classes.select("dig", "rep"), "dig").select(F.col("dig").alias("_dig"), F.col("rep"))
@@ -157,14 +154,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for r in range(rounds):
             found, lists = _pivot_round(lists, labels, sets, r, percent)
             if found is None:
-                lists = None
                 break
             links = saved(links.union(found), "links")
-            labels = components(links)
+            labels = _shortcuts(links)
         if lists is not None:
             found = _block_round(lists, labels, sets, least, percent, block)
-            if found is not None:
-                labels = components(links.union(found))
+            links = links if found is None else links.union(found)
+        labels = components(links)
     if labels is None:
         labels = spark.createDataFrame([], "node binary, label binary")
     best = rows.where("n > 0").select("dig", "doc_id").join(labels, F.col("dig") == F.col("node"))
@@ -188,15 +184,20 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.dropDuplicates([id_col, text_col]) if again else out
 
 
-def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return lists.withColumn("lab", F.col("dig"))
-    return lists.join(labels, F.col("dig") == F.col("node"), "left").select("tok", "dig", F.coalesce("label", "dig").alias("lab"))
+def _shortcuts(links: DataFrame) -> DataFrame:
+    """(node, label) with equal labels inside a component only: the smallest pivot
+    that a node is linked with, and that pivot's own. Enough to skip comparisons;
+    components() has the last word."""
+    up = saved(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")), "up")
+    over = up.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return saved(up.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
 
 
 def _open(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of the posting lists that hold more than one component."""
-    here = _labelled(lists, labels)
+    """Members of the posting lists that hold more than one label."""
+    if labels is None:
+        return lists.withColumn("lab", F.col("dig"))
+    here = saved(lists.join(labels, F.col("dig") == F.col("node"), "left").select("tok", "dig", F.coalesce("label", "dig").alias("lab")), "labelled")
     mixed = here.groupBy("tok").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo <> hi").select("tok")
     return saved(here.join(mixed, "tok"), "open")
 
@@ -207,17 +208,13 @@ def _pivot_round(lists, labels, sets, r, percent):
     if not here.head(1):
         return None, None
     pivots = here.groupBy("tok").agg(F.min(F.struct(F.xxhash64("dig", F.lit(r)).alias("h"), F.col("dig").alias("p"), F.col("lab").alias("pl"))).alias("x")).select("tok", "x.p", "x.pl")
-    pivots = saved(pivots, "pivots")
-    near = here.join(pivots, "tok")
+    near = saved(here.join(pivots, "tok").where("dig <> p"), "near")
     pairs = near.where("lab <> pl").select("dig", "p").distinct()
     left = sets.select("dig", F.col("items").alias("x"))
     right = sets.select(F.col("dig").alias("p"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     sure = pairs.join(left, "dig").join(right, "p").where(100 * both >= percent * (F.size("x") + F.size("y") - both))
-    found = saved(sure.select(F.col("dig").alias("a"), F.col("p").alias("b")), "found")
-    rest = saved(near.where("dig <> p").select("tok", "dig"), "lists")
-    remove(here)
-    return found, rest
+    return saved(sure.select(F.col("dig").alias("a"), F.col("p").alias("b")), "found"), near.select("tok", "dig")
 
 
 def _block_round(lists, labels, sets, least, percent, block):
