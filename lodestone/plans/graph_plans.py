@@ -10,7 +10,7 @@ from lodestone.functions import text as tx
 from lodestone.operators import graph, matching, ranking, resolve
 
 from . import fixtures as fx
-from . import sql
+from . import sql, text_plans
 
 
 def _records(spark, sf_dir):
@@ -220,7 +220,19 @@ nfo0 AS (SELECT c_custkey AS qid, c_custkey % 200 = 0 AS wide, coalesce(n, 0) AS
 nfo AS (SELECT *, CASE WHEN wide THEN CASE WHEN distinct_events <= 0 THEN 'none' WHEN distinct_events >= 10 AND graph_chunks >= 15 THEN 'high' WHEN distinct_events >= 5 AND graph_chunks >= 8 THEN 'substantial' ELSE 'partial' END WHEN graph_chunks >= 3 THEN 'high' ELSE 'partial' END AS scope_coverage,
   CASE WHEN wide THEN CASE WHEN graph_chunks < 3 THEN 3 ELSE 0 END ELSE greatest(0, 5 - graph_chunks) END AS want FROM nfo0)"""
 
+_N = sql.name
 SQL = {
+    "merge_context": f"""WITH c AS ({text_plans.SQL['derive_context']}), j AS (SELECT a.*, string_split(a.path, '|') AS ep, string_split(a.context_keys, '|') AS ek, b.root_context AS tr, string_split(b.path, '|') AS tp, string_split(b.context_keys, '|') AS tk, b.context_level AS tl FROM c a LEFT JOIN c b ON b.doc_id = a.doc_id - 1)
+      SELECT doc_id, CASE WHEN tl IN ('sport', 'event') THEN tr ELSE root_context END AS root_context,
+        CASE WHEN tl IS NULL THEN path ELSE array_to_string(list_concat(ep, list_filter(tp, lambda p: NOT list_contains(list_transform(ep, lambda q: {_N('q')}), {_N('p')}))), '|') END AS path,
+        CASE WHEN tl IS NULL THEN context_keys ELSE array_to_string(list_concat(ek, list_filter(tk, lambda p: NOT list_contains(ek, p))), '|') END AS context_keys,
+        CASE WHEN context_level = 'edition' AND tl <> 'edition' THEN 'sport' ELSE context_level END AS context_level FROM j""",
+    "context_index": f"""WITH c AS ({text_plans.SQL['derive_context']}), r AS (SELECT CAST(doc_id AS VARCHAR) AS vid, root_context AS root, unnest(string_split(context_keys, '|')) AS k FROM c),
+      s AS (SELECT *, CASE WHEN contains(lower(root), 'summer') THEN 'summer' WHEN contains(lower(root), 'winter') THEN 'winter' END AS season FROM r WHERE starts_with(k, 'olympics:')),
+      b AS (SELECT k FROM s GROUP BY 1 HAVING count(DISTINCT season) > 1),
+      u AS (SELECT k AS key, CASE WHEN starts_with(k, 'olympics:') THEN concat(split_part(k, ':', 2), ' olympics') ELSE replace(split_part(k, ':', 2), '_', ' ') END AS display, list_sort(list(DISTINCT vid)) AS v FROM r GROUP BY 1, 2
+        UNION ALL SELECT concat(k, '_', season), lower(max(root)), list_sort(list(DISTINCT vid)) FROM s JOIN b USING (k) WHERE season IS NOT NULL GROUP BY k, season)
+      SELECT key, display, len(v)::BIGINT AS n, array_to_string(v, '|') AS vertex_ids FROM u""",
     "ontology_validate": f"""WITH {_ITEMS} SELECT chunk_id, count_if(vtype <> 'Gadget')::BIGINT AS n_entities, count(*)::BIGINT AS n_events,
       count_if(vtype IN ('Person', 'Company', 'Venue'))::BIGINT AS n_relations, (count(*) * 4 - count_if(vtype <> 'Gadget') - count_if(vtype IN ('Person', 'Company', 'Venue')))::BIGINT AS dropped FROM items GROUP BY 1""",
     "entity_merge": f"""WITH {_ENTS}, n AS (SELECT vtype, vid, name, count(*) AS n, min((ord, item)) AS f FROM ents GROUP BY 1, 2, 3), nm AS (SELECT vtype, vid, arg_min(name, (-n, f)) AS name FROM n GROUP BY 1, 2)
