@@ -11,8 +11,8 @@ likelihood: for growing sets of the strongest languages the proportions are
 estimated again, and a larger set must raise the log-likelihood by more than
 `penalty` * log(words) / 2 for each language added.
 
-Whole texts are read, in slices; only the words' likelihoods (bytes times
-languages) of one slice are in memory.
+Whole texts are read; n-gram likelihoods exist for one step of bounded size at a
+time, and of a long text only the words' likelihoods are kept.
 
 Defined results: null, empty and letterless texts are `und` with score 0; a model
 without any language answers `und`; languages tie in alphabetical order; repeated
@@ -81,6 +81,17 @@ def read_words(col, most: int = 1 << 19):
             yield a, part, none, none, np.zeros(b - a + 1, np.int64)
 
 
+def word_logs(logp: np.ndarray, part: np.ndarray, s: np.ndarray, e: np.ndarray, is_letter: np.ndarray, most: int) -> np.ndarray:
+    """Log-likelihoods, words x languages, from about `most` bytes at a time."""
+    upto = np.cumsum(e - s)
+    edges = np.unique(np.concatenate(([0], np.searchsorted(upto, np.arange(most, upto[-1], most)), [len(s)])))
+    out = np.empty((len(s), logp.shape[1]), np.float32)
+    for i, j in zip(edges[:-1], edges[1:]):
+        first = np.concatenate(([0], np.cumsum(e[i:j] - s[i:j])[:-1]))
+        out[i:j] = np.add.reduceat(logp[grams(part, s[i:j], e[i:j], is_letter)], first, axis=0)
+    return out
+
+
 class Model(NamedTuple):
     langs: list
     logp: np.ndarray  # buckets x languages
@@ -175,11 +186,13 @@ def predictor(model: Model, penalty: float = PENALTY):
         has = pc.fill_null(pc.match_substring_regex(col, r"\p{L}"), False).to_numpy(zero_copy_only=False)
         if not langs:
             return lang, score, mix, size
-        for a, part, s, e, rows in read_words(col):
+        # more languages, smaller steps: a step's table has about two million cells
+        most = max(4096, (1 << 21) // max(4, len(langs)))
+        for a, part, s, e, rows in read_words(col, most):
             live = np.flatnonzero((np.diff(rows) > 0) & has[a : a + len(rows) - 1])
             if not len(live):
                 continue
-            log = np.add.reduceat(model.logp[grams(part, s, e, table)], np.concatenate(([0], np.cumsum(e - s)[:-1])), axis=0)
+            log = word_logs(model.logp, part, s, e, table, most)
             log -= log.max(axis=1, keepdims=True)
             like = np.exp(np.maximum(log, -25)).astype(np.float64)
             if len(live) < len(rows) - 1:
