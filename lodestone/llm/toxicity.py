@@ -2,11 +2,12 @@
 
 Fitting: a bounded sample of the labelled rows (`examples`, by hash of the id) is
 tokenised into words and word beginnings; the terms that tell the labels apart
-best by the likelihood-ratio statistic (`terms` of them, seen in `support` rows
-or more), and one term that stands for any word, span the TF-IDF space, so that a
+best by the likelihood-ratio statistic (at most `terms`, seen in `support` rows or
+more and with a statistic over `gain`), and one term that stands for any word, span the TF-IDF space, so that a
 long text with one such term points elsewhere than a short one. The examples become a block-max inverted index:
 examples are ordered so that like ones are neighbours, and for each term every
-block of examples knows its largest weight.
+block of examples knows its largest weight. Blocks hold their examples as padded
+rows, so a batch of blocks is scored in one step.
 
 Scoring: for a document, sum(query weight * block maximum) bounds the cosine of
 every example of a block. Blocks are opened in falling order of the bound until
@@ -17,7 +18,7 @@ the terms take the smoothed rate of the examples that have none either.
 
 Defined results: null and empty texts score as texts without terms; labels other
 than 0 and 1 are ignored; a doc_id with several labels counts as toxic if one
-says so; without any labelled example every score is 0; neighbours that tie are
+says so, one with several rows as one example; without any labelled example every score is 0; neighbours that tie are
 taken in order of the index; extra columns are kept by score_column().
 """
 
@@ -38,7 +39,7 @@ from .common import by_value, saved
 
 by_value(__name__)
 
-EXAMPLES, TERMS, SUPPORT, NEIGHBOURS, SOFTEN, BLOCK = 12000, 3000, 4, 25, 0.05, 64
+EXAMPLES, TERMS, SUPPORT, GAIN, NEIGHBOURS, SOFTEN, BLOCK = 12000, 600, 5, 20.0, 25, 0.05, 32
 #: The term that stands for any word.
 ANY = ""
 WORD = r"[^\W\d_]+"
@@ -63,8 +64,8 @@ class Model(NamedTuple):
     idf: np.ndarray
     ids: np.ndarray  # of the examples, in index order
     toxic: np.ndarray
-    rows: tuple  # examples as (start, column, weight) in CSR form
-    bounds: np.ndarray  # blocks x terms, largest weights
+    rows: tuple  # examples as padded (columns, weights); the pad column has no weight
+    bounds: np.ndarray  # terms x blocks, largest weights
     none_rate: float  # of texts without terms
     knots: tuple  # calibration: votes, scores
     k: int
@@ -84,24 +85,26 @@ def vector(counts: Counter, terms: dict, idf: np.ndarray) -> tuple[np.ndarray, n
 
 def nearest(m: Model, col: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
     """Index places and cosines of the k nearest examples with a cosine over 0."""
-    bound = m.bounds[:, col] @ w
+    bound = w @ m.bounds[col]
     order = np.argsort(-bound, kind="stable")
-    start, cols, weights = m.rows
-    dense = np.zeros(len(m.idf))
+    cols, weights = m.rows
+    dense = np.zeros(len(m.idf) + 1)
     dense[col] = w
-    at, cos = np.zeros(0, np.int64), np.zeros(0)
-    for b in order.tolist():
-        if bound[b] <= 0 or (len(cos) >= m.k and bound[b] < cos[m.k - 1] - 1e-12):
+    at, cos, i, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
+    while i < len(order):
+        least = cos[m.k - 1] - 1e-12 if len(cos) >= m.k else 0.0
+        blocks = order[i : i + step]
+        blocks = blocks[(bound[blocks] >= least) & (bound[blocks] > 0)]
+        if not len(blocks):
             break
-        lo, hi = b * m.block, min(len(m.ids), (b + 1) * m.block)
-        x, y = start[lo], start[hi]
-        got = np.bincount(np.repeat(np.arange(hi - lo), np.diff(start[lo : hi + 1])), weights=dense[cols[x:y]] * weights[x:y], minlength=hi - lo)
-        if lo <= skip < hi:
-            got[skip - lo] = 0
-        new = np.flatnonzero(got > 0)
-        at, cos = np.concatenate((at, lo + new)), np.concatenate((cos, got[new]))
+        rows = (blocks[:, None] * m.block + np.arange(m.block)).ravel()
+        rows = rows[(rows < len(m.ids)) & (rows != skip)]
+        got = (dense[cols[rows]] * weights[rows]).sum(axis=1)
+        rows, got = rows[got > 0], got[got > 0]
+        at, cos = np.concatenate((at, rows)), np.concatenate((cos, got))
         best = np.lexsort((at, -cos))[: m.k]
         at, cos = at[best], cos[best]
+        i, step = i + step, step * 2
     return at, np.minimum(cos, 1.0)
 
 
@@ -142,7 +145,7 @@ def _example_terms(batches):
                 ids, ys, terms, ns = [], [], [], []
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS, support: int = SUPPORT, k: int = NEIGHBOURS, soften: float = SOFTEN, block: int = BLOCK) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS, support: int = SUPPORT, gain: float = GAIN, k: int = NEIGHBOURS, soften: float = SOFTEN, block: int = BLOCK) -> Model:
     """Learn from the rows of `labels` (doc_id, label) that documents have. At most
     `examples` rows and `terms` terms reach the driver."""
     given = labels.select(F.col("doc_id").cast("long").alias("_l"), F.col(label_col).cast("int").alias("toxic")).where("_l is not null and toxic in (0, 1)")
@@ -157,13 +160,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     part = lambda o, e: F.when(o > 0, o * F.ln(o / e)).otherwise(0.0)
     g2 = part(a, (a + b) * rate) + part(b, (a + b) * (1 - rate)) + part(n1 - a, (n - a - b) * rate) + part(n0 - b, (n - a - b) * (1 - rate))
     stats = long.groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("a")).withColumn("b", F.col("df") - F.col("a")).where((F.col("df") >= support) & (F.col("term") != ANY))
-    best = stats.withColumn("g", g2).where("g > 5.0 and a * {} > b * {}".format(max(1, n0), max(1, n1))).orderBy(F.desc("g"), "term").limit(terms)
+    best = stats.withColumn("g", g2).where(f"g > {gain} and a * {max(1, n0)} > b * {max(1, n1)}").orderBy(F.desc("g"), "term").limit(terms)
     chosen = best.select("term", "df").collect() if n1 and n0 else []
     index = {r["term"]: i for i, r in enumerate(chosen)}
     index[ANY] = len(chosen)
     idf = np.array([np.log((1 + n) / (1 + r["df"])) + 1 for r in chosen] + [1.0])
     space = best.select(F.col("term").alias("_t")).union(docs.sparkSession.createDataFrame([(ANY,)], "_t string"))
-    vecs = long.join(F.broadcast(space), F.col("term") == F.col("_t")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("counts")) if chosen else None
+    vecs = long.join(F.broadcast(space), F.col("term") == F.col("_t")).groupBy("doc_id", "term").agg(F.sum("n").alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("counts")) if chosen else None
     counts = {r["doc_id"]: r["counts"] for r in vecs.collect()} if chosen else {}
     known = {r["_l"]: r["toxic"] for r in given.collect()}
     return assemble({d: (Counter(c), known[d]) for d, c in counts.items()}, n0, n1, index, idf, k, soften, block)
@@ -176,21 +179,21 @@ def assemble(rows: dict, n0: int, n1: int, terms: dict, idf: np.ndarray, k: int,
     key = lambda d: (*vecs[d][0][np.argsort(-vecs[d][1], kind="stable")][:3].tolist(), d)
     ids = sorted((d for d in vecs if len(vecs[d][0])), key=key)
     toxic = np.array([rows[d][1] for d in ids], float)
-    start = np.cumsum([0] + [len(vecs[d][0]) for d in ids])
-    cols = np.concatenate([vecs[d][0] for d in ids]) if ids else np.zeros(0, np.int64)
-    weights = np.concatenate([vecs[d][1] for d in ids]) if ids else np.zeros(0)
-    bounds = np.zeros((-(-len(ids) // block), len(idf)))
-    for i in range(len(ids)):
-        x, y = start[i], start[i + 1]
-        bounds[i // block, cols[x:y]] = np.maximum(bounds[i // block, cols[x:y]], weights[x:y])
+    wide = max((len(vecs[d][0]) for d in ids), default=1)
+    cols, weights = np.full((len(ids), wide), len(idf), np.int32), np.zeros((len(ids), wide))
+    bounds = np.zeros((len(idf), -(-len(ids) // block)))
+    for i, d in enumerate(ids):
+        c, w = vecs[d]
+        cols[i, : len(c)], weights[i, : len(c)] = c, w
+        bounds[c, i // block] = np.maximum(bounds[c, i // block], w)
     rest = n0 + n1 - len(ids)
     none = (n1 - toxic.sum() + 0.5) / (rest + 1.0) if n0 + n1 else 0.0
-    m = Model(terms, idf, np.array(ids, np.int64), toxic, (start, cols, weights), bounds, float(min(max(none, 0.0), 1.0)), (np.zeros(1), np.zeros(1)), k, soften, block)
+    m = Model(terms, idf, np.array(ids, np.int64), toxic, (cols, weights), bounds, float(min(max(none, 0.0), 1.0)), (np.zeros(1), np.zeros(1)), k, soften, block)
     if not ids:
         return m
     votes = []
     for i in range(len(ids)):
-        at, cos = nearest(m, cols[start[i] : start[i + 1]], weights[start[i] : start[i + 1]], skip=i)
+        at, cos = nearest(m, *vecs[ids[i]], skip=i)
         votes.append(vote(m, at, cos) if len(at) else m.none_rate)
     return m._replace(knots=isotonic(np.array(votes), toxic))
 

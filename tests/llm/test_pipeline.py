@@ -32,7 +32,7 @@ def test_pipeline(spark, tables):
         rows.append((i, " ".join(words), "en", f"s{i % 3}"))
     leak = sentence(random.Random(4), 30)
     rows += [(400, rows[1][1] + " tail", "en", "s1"), (401, f"{sentence(r, 10)} {leak}", "en", "s1")]
-    base = tables(rows + AWKWARD, "full")
+    base = tables(rows + [(i and i + 1000, *rest) for i, *rest in AWKWARD], "full")
     frame = spark.read.parquet(f"{base}/documents.parquet")
     cols, seen = frame.columns, {}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
