@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import by_value, saved, slices
+from .common import by_value, remove, saved, slices
 
 by_value(__name__)
 
@@ -113,6 +113,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     runs = groups.groupBy("doc_id", "first_doc_id", "shift", "k").agg(F.min("start").alias("s1"), F.max(F.col("start") + F.col("size")).alias("e1"))
     runs = runs.select("doc_id", "first_doc_id", "s1", "e1", (F.col("s1") - F.col("shift")).alias("s2"), (F.col("e1") - F.col("shift")).alias("e2"))
     runs = saved(runs.withColumn("run", F.xxhash64("doc_id", "first_doc_id", "s1", "s2")), "runs")
+    remove(shared)
     # both stretches with their surroundings; an original's is read once for all its runs
     mine = runs.select("doc_id", F.col("s1").alias("s"), F.col("e1").alias("e"))
     theirs = runs.select(F.col("first_doc_id").alias("doc_id"), F.col("s2").alias("s"), F.col("e2").alias("e"))
@@ -126,7 +127,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     two = around.select(F.col("doc_id").alias("first_doc_id"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("b").alias("b2"), F.col("m").alias("m2"), F.col("a").alias("a2"))
     pairs = runs.join(one, ["doc_id", "s1", "e1"]).join(two, ["first_doc_id", "s2", "e2"])
     grown = pairs.select("run", "b1", "m1", "a1", "b2", "m2", "a2").mapInArrow(_grow, "run long, from long, to long, n_words long")
-    out = runs.join(saved(grown.where(F.col("n_words") >= least_words), "grown"), "run")
+    grown = saved(grown.where(F.col("n_words") >= least_words), "grown")
+    remove(asked)
+    remove(around)
+    out = runs.join(grown, "run")
     # several runs may grow into the same passage
     return out.select("doc_id", (F.col("s1") + F.col("from")).alias("start"), (F.col("s1") + F.col("to")).alias("end"), "n_words", "first_doc_id", (F.col("s2") + F.col("from")).alias("first_start")).distinct()
 
