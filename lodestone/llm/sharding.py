@@ -140,7 +140,8 @@ class ShardStore:
         rows = rows.withColumn(FILE, F.concat_ws("/", F.slice(F.split("_metadata.file_path", "/"), -2, 2)))
         plan = self.spark.createDataFrame(sorted(todo.items()), f"{FILE} string, {RUN} string")
         runs = len(set(todo.values()))
-        rows = rows.join(plan, FILE).drop(FILE).repartition(runs, RUN)
+        # a row for each file to open: small enough to broadcast unless there are very many
+        rows = rows.join(F.broadcast(plan) if len(todo) <= 100_000 else plan, FILE).drop(FILE).repartition(runs, RUN)
         rows.write.partitionBy(RUN).option("compression", self.codec).parquet(f"{self.path}/{folder}")
         keep = self.manifest(base).join(plan, F.col("shard") == F.col(FILE), "left_anti")
         return self._commit(keep.unionByName(self._measured_runs(folder, base + 1)), base, pointer["schema"])
