@@ -30,6 +30,13 @@ OWN = {BYTES, FILE, RUN}
 MANIFEST = "shard string, rows long, bytes long, tier int, born int"
 
 
+def _shard_of_row() -> Column:
+    """The manifest's name of the file that a row is read from: a merged shard has its run's folder in it."""
+    parts = F.split("_metadata.file_path", "/")
+    tail = F.when(F.url_decode(F.element_at(parts, -2)).startswith(f"{RUN}="), F.slice(parts, -3, 3)).otherwise(F.slice(parts, -2, 2))
+    return F.url_decode(F.concat_ws("/", tail))
+
+
 class ShardStore:
     """A folder of shards with its manifests.
 
@@ -137,19 +144,25 @@ class ShardStore:
         pointer, folder = self._pointer(base), f"merged-{uuid.uuid4().hex}"
         schema = T.StructType.fromJson(json.loads(pointer["schema"])).add(BYTES, T.LongType())
         rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/{x}" for x in sorted(todo)])
-        rows = rows.withColumn(FILE, F.concat_ws("/", F.slice(F.split("_metadata.file_path", "/"), -2, 2)))
+        rows = rows.withColumn(FILE, _shard_of_row())
         plan = self.spark.createDataFrame(sorted(todo.items()), f"{FILE} string, {RUN} string")
         runs = len(set(todo.values()))
         # a row for each file to open: small enough to broadcast unless there are very many
         rows = rows.join(F.broadcast(plan) if len(todo) <= 100_000 else plan, FILE).drop(FILE).repartition(runs, RUN)
         rows.write.partitionBy(RUN).option("compression", self.codec).parquet(f"{self.path}/{folder}")
-        keep = self.manifest(base).join(plan, F.col("shard") == F.col(FILE), "left_anti")
-        return self._commit(keep.unionByName(self._measured_runs(folder, base + 1)), base, pointer["schema"])
+        entries = self.manifest(base)
+        merged = self._measured_runs(folder, base + 1)
+        count = lambda df: df.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+        want, got = count(entries.join(plan, F.col("shard") == F.col(FILE), "left_semi")), count(merged)
+        if want != got:
+            self._fs().delete(self._jpath(folder), True)
+            raise RuntimeError(f"merged {got} rows of shards that hold {want}")
+        keep = entries.join(plan, F.col("shard") == F.col(FILE), "left_anti")
+        return self._commit(keep.unionByName(merged), base, pointer["schema"])
 
     def _measured_runs(self, folder: str, born: int) -> DataFrame:
         df = self.spark.read.schema(f"{BYTES} long, {RUN} string").parquet(f"{self.path}/{folder}")
-        name = F.concat(F.lit(f"{folder}/"), F.concat_ws("/", F.slice(F.split("_metadata.file_path", "/"), -2, 2)))
-        out = df.groupBy(name.alias("shard")).agg(F.count("*").alias("rows"), F.sum(BYTES).alias("bytes"))
+        out = df.groupBy(_shard_of_row().alias("shard")).agg(F.count("*").alias("rows"), F.sum(BYTES).alias("bytes"))
         return out.select("shard", "rows", "bytes", self._tier(F.col("bytes")).alias("tier"), F.lit(born).alias("born"))
 
     def compact_all(self, most: int = 20) -> int:
@@ -171,9 +184,7 @@ class ShardStore:
             return self.spark.createDataFrame([], schema if not with_shard else T.StructType([*schema.fields, T.StructField(FILE, T.StringType())]))
         df = self.spark.read.schema(schema).parquet(*[f"{self.path}/{x}" for x in names])
         if with_shard:
-            parts = F.split("_metadata.file_path", "/")
-            tail = F.when(F.element_at(parts, -2).startswith(f"{RUN}="), F.slice(parts, -3, 3)).otherwise(F.slice(parts, -2, 2))
-            df = df.select("*", F.url_decode(F.concat_ws("/", tail)).alias(FILE))
+            df = df.select("*", _shard_of_row().alias(FILE))
         return df
 
     def vacuum(self) -> int:

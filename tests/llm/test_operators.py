@@ -270,6 +270,30 @@ def test_shards_round_trip(spark, corpus):
     assert sharding.shard(docs(spark, []), new_path(spark, "t")).count() == 0
 
 
+def test_merged_shards_are_merged_again(spark, corpus):
+    """Rounds of append and compact, with merged shards that stay under half the target."""
+    store = sharding.ShardStore(spark, new_path(spark, "t"), target_bytes=4 << 20, least_bytes=2_000)
+    frame, again = docs(spark, corpus), 0
+    for i in range(3):
+        store.append(frame.withColumn("doc_id", F.col("doc_id") + i * 10_000).repartition(3))
+        for _ in range(3):
+            again += sum(f"/{sharding.RUN}=" in r["shard"] for r in store.plan().collect())
+            store.compact()
+        store.vacuum()
+        assert store.read().select("doc_id").distinct().count() == store.read().count() == (i + 1) * len(corpus)
+        assert sum(r["rows"] for r in store.manifest().collect()) == (i + 1) * len(corpus)
+    assert again
+
+
+def test_compaction_keeps_rows_or_fails(spark, corpus, monkeypatch):
+    store = sharding.ShardStore(spark, new_path(spark, "t"))
+    store.append(docs(spark, corpus).repartition(3))
+    monkeypatch.setattr(sharding, "_shard_of_row", lambda: F.lit("elsewhere"))
+    with pytest.raises(RuntimeError):
+        store.compact()
+    assert store.version() == 1 and store.read().count() == len(corpus)
+
+
 def test_shard_commits_are_exclusive(spark, corpus):
     store = sharding.ShardStore(spark, new_path(spark, "t"))
     store.append(docs(spark, corpus))
