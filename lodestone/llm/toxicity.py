@@ -3,7 +3,7 @@
 Fitting: a bounded sample of the labelled rows (`examples`, by hash of the id) is
 tokenised into words and word beginnings; the terms that tell the labels apart
 best by the likelihood-ratio statistic (at most `terms`, seen in `support` rows or
-more and with a statistic over `gain`), and one term that stands for any word, span the TF-IDF space, so that a
+more and with a statistic over `gain`, both lower where labelled rows are few), and one term that stands for any word, span the TF-IDF space, so that a
 long text with one such term points elsewhere than a short one. The examples become a block-max inverted index:
 examples are ordered so that like ones are neighbours, and for each term every
 block of examples knows its largest weight. Blocks hold their examples as padded
@@ -13,10 +13,11 @@ Scoring: for a document, sum(query weight * block maximum) bounds the cosine of
 every example of a block. Blocks are opened in falling order of the bound until
 it is below the k-th best cosine, so the neighbours are exact. They vote with
 weight 1 / (1 - cosine + `soften`), and isotonic regression over leave-one-out
-votes of the examples turns votes into calibrated scores. Texts without any of
-the terms take the smoothed rate of the examples that have none either.
+votes of the examples turns votes into calibrated scores. Examples without any of
+the terms are one vector, that of any word; they are neighbours like others, at one
+cosine and with their smoothed rate, and need no blocks.
 
-Defined results: null and empty texts score as texts without terms; labels other
+Defined results: null texts and texts without words take the plain examples' rate; labels other
 than 0 and 1 are ignored; a doc_id with several labels counts as toxic if one
 says so, one with several rows as one example; without any labelled example every score is 0; neighbours that tie are
 taken in order of the index; extra columns are kept by score_column().
@@ -39,7 +40,7 @@ from .common import by_value, saved
 
 by_value(__name__)
 
-EXAMPLES, TERMS, SUPPORT, GAIN, NEIGHBOURS, SOFTEN, BLOCK = 12000, 600, 5, 20.0, 25, 0.05, 32
+EXAMPLES, TERMS, SUPPORT, GAIN, NEIGHBOURS, SOFTEN, BLOCK = 12000, 3000, 4, 5.0, 25, 0.05, 32
 #: The term that stands for any word.
 ANY = ""
 WORD = r"[^\W\d_]+"
@@ -67,6 +68,8 @@ class Model(NamedTuple):
     rows: tuple  # examples as padded (columns, weights); the pad column has no weight
     bounds: np.ndarray  # terms x blocks, largest weights
     none_rate: float  # of texts without terms
+    plain: int  # examples without terms, all of them the unit vector of ANY
+    shown: tuple  # (doc_id, toxic) of the first plain ones
     knots: tuple  # calibration: votes, scores
     k: int
     soften: float
@@ -84,8 +87,11 @@ def vector(counts: Counter, terms: dict, idf: np.ndarray) -> tuple[np.ndarray, n
 
 
 def nearest(m: Model, col: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """Index places and cosines of the k nearest examples with a cosine over 0."""
+    """Index places and cosines of those of the k nearest examples that hold terms,
+    with a cosine over 0."""
     bound = w @ m.bounds[col]
+    # the plain examples fill all places below their cosine if they are enough
+    floor = plain_cosine(m, col, w) if m.plain >= m.k else 0.0
     order = np.argsort(-bound, kind="stable")
     cols, weights = m.rows
     dense = np.zeros(len(m.idf) + 1)
@@ -94,13 +100,13 @@ def nearest(m: Model, col: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[n
     while i < len(order):
         least = cos[m.k - 1] - 1e-12 if len(cos) >= m.k else 0.0
         blocks = order[i : i + step]
-        blocks = blocks[(bound[blocks] >= least) & (bound[blocks] > 0)]
+        blocks = blocks[(bound[blocks] >= least) & (bound[blocks] > floor)]
         if not len(blocks):
             break
         rows = (blocks[:, None] * m.block + np.arange(m.block)).ravel()
         rows = rows[(rows < len(m.ids)) & (rows != skip)]
         got = (dense[cols[rows]] * weights[rows]).sum(axis=1)
-        rows, got = rows[got > 0], got[got > 0]
+        rows, got = rows[got > floor], got[got > floor]
         at, cos = np.concatenate((at, rows)), np.concatenate((cos, got))
         best = np.lexsort((at, -cos))[: m.k]
         at, cos = at[best], cos[best]
@@ -108,9 +114,18 @@ def nearest(m: Model, col: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[n
     return at, np.minimum(cos, 1.0)
 
 
-def vote(m: Model, at: np.ndarray, cos: np.ndarray) -> float:
-    w = 1 / (1 - cos + m.soften)
-    return float((w * m.toxic[at]).sum() / w.sum())
+def plain_cosine(m: Model, col: np.ndarray, w: np.ndarray) -> float:
+    return float(w[-1]) if len(col) and col[-1] == m.terms.get(ANY) else 0.0
+
+
+def vote(m: Model, at: np.ndarray, cos: np.ndarray, plain: float) -> float:
+    """The vote of the k nearest, plain examples at their cosine among them. Those
+    tie with each other, so that each votes with the rate of all."""
+    over = int((cos > plain).sum())
+    n = min(m.plain, m.k - over) if plain > 0 else 0
+    at, cos = at[: m.k - n], cos[: m.k - n]
+    w, v = 1 / (1 - cos + m.soften), n / (1 - plain + m.soften)
+    return float(((w * m.toxic[at]).sum() + v * m.none_rate) / (w.sum() + v))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,21 +174,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n, rate = n0 + n1, n1 / max(1, n0 + n1)
     part = lambda o, e: F.when(o > 0, o * F.ln(o / e)).otherwise(0.0)
     g2 = part(a, (a + b) * rate) + part(b, (a + b) * (1 - rate)) + part(n1 - a, (n - a - b) * rate) + part(n0 - b, (n - a - b) * (1 - rate))
+    # few labelled rows: what a term must tell, of all there is to tell, and how often
+    support, gain = least(n0, n1, support, gain)
     stats = long.groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("a")).withColumn("b", F.col("df") - F.col("a")).where((F.col("df") >= support) & (F.col("term") != ANY))
     best = stats.withColumn("g", g2).where(f"g > {gain} and a * {max(1, n0)} > b * {max(1, n1)}").orderBy(F.desc("g"), "term").limit(terms)
     chosen = best.select("term", "df").collect() if n1 and n0 else []
     index = {r["term"]: i for i, r in enumerate(chosen)}
     index[ANY] = len(chosen)
     idf = np.array([np.log((1 + n) / (1 + r["df"])) + 1 for r in chosen] + [1.0])
-    space = best.select(F.col("term").alias("_t")).union(docs.sparkSession.createDataFrame([(ANY,)], "_t string"))
-    vecs = long.join(F.broadcast(space), F.col("term") == F.col("_t")).groupBy("doc_id", "term").agg(F.sum("n").alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("counts")) if chosen else None
-    counts = {r["doc_id"]: r["counts"] for r in vecs.collect()} if chosen else {}
+    space = docs.sparkSession.createDataFrame([(t,) for t in index], "_t string")
+    vecs = long.join(F.broadcast(space), F.col("term") == F.col("_t")).groupBy("doc_id", "term").agg(F.sum("n").alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("counts"))
+    counts = {r["doc_id"]: r["counts"] for r in vecs.collect()}
     known = {r["_l"]: r["toxic"] for r in given.collect()}
     return assemble({d: (Counter(c), known[d]) for d, c in counts.items()}, n0, n1, index, idf, k, soften, block)
 
 
+def least(n0: int, n1: int, support: int, gain: float) -> tuple[int, float]:
+    """Support and gain that are asked of a term, lower where labelled rows are few:
+    a tenth of the toxic rows, and a fifth of the labels' entropy."""
+    rate = n1 / max(1, n0 + n1)
+    told = -(n1 * np.log(rate) + n0 * np.log(1 - rate)) if n0 and n1 else 0.0
+    return min(support, max(2, -(-n1 // 10))), float(min(gain, told / 5))
+
+
 def assemble(rows: dict, n0: int, n1: int, terms: dict, idf: np.ndarray, k: int, soften: float, block: int) -> Model:
-    """rows: doc_id -> (counts of chosen terms, label), for the examples with any."""
+    """rows: doc_id -> (counts of chosen terms and ANY, label), for the examples with words."""
     vecs = {d: vector(c, terms, idf) for d, (c, _) in rows.items() if set(c) - {ANY}}
     # like examples become neighbours: by strongest term, then by the next
     key = lambda d: (*vecs[d][0][np.argsort(-vecs[d][1], kind="stable")][:3].tolist(), d)
@@ -186,16 +211,18 @@ def assemble(rows: dict, n0: int, n1: int, terms: dict, idf: np.ndarray, k: int,
         c, w = vecs[d]
         cols[i, : len(c)], weights[i, : len(c)] = c, w
         bounds[c, i // block] = np.maximum(bounds[c, i // block], w)
+    bare = sorted(d for d, (c, _) in rows.items() if c.get(ANY) and not set(c) - {ANY})
     rest = n0 + n1 - len(ids)
     none = (n1 - toxic.sum() + 0.5) / (rest + 1.0) if n0 + n1 else 0.0
-    m = Model(terms, idf, np.array(ids, np.int64), toxic, (cols, weights), bounds, float(min(max(none, 0.0), 1.0)), (np.zeros(1), np.zeros(1)), k, soften, block)
-    if not ids:
+    m = Model(terms, idf, np.array(ids, np.int64), toxic, (cols, weights), bounds, float(min(max(none, 0.0), 1.0)), len(bare), tuple((d, rows[d][1]) for d in bare[:3]), (np.zeros(1), np.zeros(1)), k, soften, block)
+    if not rows:
         return m
-    votes = []
+    votes = [m.none_rate] * len(bare)
     for i in range(len(ids)):
         at, cos = nearest(m, *vecs[ids[i]], skip=i)
-        votes.append(vote(m, at, cos) if len(at) else m.none_rate)
-    return m._replace(knots=isotonic(np.array(votes), toxic))
+        plain = plain_cosine(m, *vecs[ids[i]])
+        votes.append(vote(m, at, cos, plain) if len(at) or m.plain and plain > 0 else m.none_rate)
+    return m._replace(knots=isotonic(np.array(votes), np.concatenate(([rows[d][1] for d in bare], toxic))))
 
 
 def scorer(m: Model):
@@ -216,9 +243,9 @@ def scorer(m: Model):
         for w, n in words.items():
             for t in known(w):
                 counts[t] += n
-        if not counts:
+        if not words or not (counts or m.plain):
             return m.none_rate, []
-        counts[ANY] = sum(words.values())
+        counts[ANY] = sum(words.values()) if counts else 1
         key = tuple(sorted(counts.items()))
         got = done.get(key)
         if got is None:
@@ -226,9 +253,11 @@ def scorer(m: Model):
                 done.clear()
             col, w = vector(counts, m.terms, m.idf)
             at, cos = nearest(m, col, w)
-            if not len(at):
+            plain = plain_cosine(m, col, w) if m.plain else 0.0
+            if not len(at) and not plain:
                 return m.none_rate, []
-            got = done[key] = (float(np.interp(vote(m, at, cos), *m.knots)), [(int(m.ids[i]), float(c), int(m.toxic[i])) for i, c in zip(at[:3], cos[:3])])
+            near = [(-float(c), 1, int(m.ids[i]), int(m.toxic[i])) for i, c in zip(at[:3], cos[:3])] + [(-plain, 0, d, y) for d, y in m.shown if plain]
+            got = done[key] = (float(np.interp(vote(m, at, cos, plain), *m.knots)), [(d, -c, y) for c, _, d, y in sorted(near)[:3]])
         return got
 
     return one

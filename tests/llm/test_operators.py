@@ -450,6 +450,41 @@ def test_toxicity(spark, corpus):
     assert toxicity.score(frame, empty).where("score <> 0").count() == 0
 
 
+def test_toxicity_of_few_labels_with_defaults(spark):
+    """Few labelled rows have terms too, and each text with words is compared with examples."""
+    r = random.Random(8)
+    rows = []
+    for i in range(80):
+        words = sentence(r, 40).split()
+        if i % 8 == 0:
+            words[r.randrange(40)] = "wretch!"
+        rows.append((i, " ".join(words), "en", "s"))
+    frame = docs(spark, [*rows, (1000, "", None, None)])
+    lab = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(40)], "doc_id long, toxic int")
+    got = {x["doc_id"]: x for x in toxicity.score(frame, toxicity.fit(frame, lab)).collect()}
+    assert all(got[i]["predicted"] == (i % 8 == 0) for i in range(40, 80))
+    assert all(got[i]["evidence"] for i in range(80)) and not got[1000]["evidence"]
+
+
+def test_plain_examples_are_neighbours():
+    """Votes equal those of a search of all examples, with and without terms, where ties share."""
+    terms, idf = {"t0": 0, "t1": 1, toxicity.ANY: 2}, np.array([3.0, 2.0, 1.0])
+    rows = {d: (Counter({toxicity.ANY: 50}), int(d < 2)) for d in range(10)} | {d: (Counter({f"t{d % 2}": 1 + d % 3, toxicity.ANY: 5 * d}), 1) for d in range(10, 30)}
+    m = toxicity.assemble(rows, 8, 22, terms, idf, 15, 0.05, 4)
+    for counts in ({"t0": 1, toxicity.ANY: 4}, {"t1": 1, toxicity.ANY: 100_000}, {toxicity.ANY: 1}):
+        col, w = toxicity.vector(Counter(counts), terms, idf)
+        full = []
+        for c, y in rows.values():
+            q = np.zeros(3)
+            a, b = toxicity.vector(c, terms, idf)
+            q[a] = b
+            full.append((float(q[col] @ w), y if len(a) > 1 else m.none_rate))
+        best = sorted(full, reverse=True)[:15]
+        want = sum(y / (1 - c + 0.05) for c, y in best) / sum(1 / (1 - c + 0.05) for c, _ in best)
+        at, cos = toxicity.nearest(m, col, w)
+        assert abs(toxicity.vote(m, at, cos, toxicity.plain_cosine(m, col, w)) - want) < 1e-9
+
+
 def test_nearest_is_exact():
     r = np.random.default_rng(2)
     terms = {f"t{i}": i for i in range(40)} | {toxicity.ANY: 40}
