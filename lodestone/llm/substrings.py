@@ -2,16 +2,19 @@
 
 A gear hash rolls over the bytes of a text: h = (h << 1) + gear[byte], kept to 16
 bits, so it depends on the last 16 bytes only and all positions are computed at
-once. A chunk ends where the hash falls below a threshold; boundaries follow the
-content, so insertions shift nothing beyond the chunk that they touch. Chunks are
+once. A chunk ends at the smallest hash of each window of 2 * mean - 1 places, so that
+two cuts are never further apart; boundaries follow the content, so insertions shift
+nothing beyond a window. A chunk is taken with the 16 bytes before it. Chunks are
 grouped by digest; of a digest's occurrences in several documents the first (by
 doc_id, then place) is the original. Runs of chunks that repeat the same stretch
 of one original document are then grown byte by byte against the original's text
 on both sides (up to `reach` bytes), and reported if the whole passage has
 `least_words` words or more.
 
-Chunks average `mean` bytes, so a passage of 50 words holds nine on average;
-fewer than about 1 in 500 such passages hold no complete chunk.
+Chunks average about `mean` bytes. Places that are a window from both ends of a passage
+are cut alike wherever it stands, so a passage of 16 + 4 * (2 * mean - 1) bytes holds a
+complete chunk for certain, whatever its text (204 with the default), and a shorter one
+with a high probability.
 
 Defined results: null and empty texts have no chunks; passages that repeat only
 inside one document are left alone; rows that repeat a doc_id or have none are
@@ -33,7 +36,7 @@ from .common import by_value, remove, saved, slices
 
 by_value(__name__)
 
-MEAN, LEAST_WORDS, REACH = 40, 50, 600
+MEAN, LEAST_WORDS, REACH = 24, 50, 600
 CHUNKS = "digest long, doc_id long, start int, size int"
 
 
@@ -45,6 +48,24 @@ def gear_hash(raw: np.ndarray) -> np.ndarray:
     return h
 
 
+def cuts(raw: np.ndarray, at: np.ndarray, mean: int) -> np.ndarray:
+    """Ends of chunks inside texts: the leftmost smallest hash of each window that
+    lies in one text, 16 bytes or more into it, where no text before has a part."""
+    wide = 2 * mean - 1
+    if len(raw) < wide:
+        return np.zeros(0, np.int64)
+    least = (gear_hash(raw).astype(np.uint64) << np.uint64(32)) | np.arange(len(raw), dtype=np.uint64)
+    have = 1
+    while have < wide:
+        step = min(have, wide - have)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        have += step
+    begins = np.arange(len(least))
+    doc = np.searchsorted(at, begins, "right") - 1
+    least = least[(begins >= at[doc] + 15) & (begins + wide <= at[doc + 1])]
+    return np.unique((least & np.uint64(0xFFFFFFFF)).astype(np.int64)) + 1
+
+
 def _chunks(mean):
     def run(batches):
         for batch in batches:
@@ -53,15 +74,15 @@ def _chunks(mean):
                 part, at = raw[off[a] : off[b]], off[a : b + 1] - off[a]
                 if not len(part):
                     continue
-                # a cut 16 bytes or more into its own text does not depend on the text before
-                ends = np.flatnonzero(gear_hash(part) < 65536 // mean) + 1
-                doc = np.searchsorted(at, ends, "left") - 1
-                ends = ends[ends - at[doc] >= 16]
-                ends = np.union1d(ends, at[1:])
+                ends = np.union1d(cuts(part, at, mean), at[1:])
                 ends = ends[ends > 0]
                 starts = np.concatenate(([0], ends[:-1]))
                 doc = np.searchsorted(at, starts, "right") - 1
+                starts = np.maximum(starts - 16, at[doc])
                 h = tc.word_hashes(part, starts, ends, 11).view(np.int64)
+                # in a text that goes on repeating itself, the first of equal chunks
+                new = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
+                h, doc, starts, ends = h[new], doc[new], starts[new], ends[new]
                 ids = batch.column(0).slice(a, b - a).cast(pa.int64())
                 yield pa.record_batch([pa.array(h), ids.take(pa.array(doc)), pa.array((starts - at[doc]).astype(np.int32)), pa.array((ends - starts).astype(np.int32))], names=["digest", "doc_id", "start", "size"])
 
