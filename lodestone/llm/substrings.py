@@ -18,7 +18,7 @@ with a high probability.
 
 Defined results: null and empty texts have no chunks; passages that repeat only
 inside one document are left alone; rows that repeat a doc_id or have none are
-taken as one document; spans are byte offsets of the UTF-8 text, end exclusive;
+taken as one document, the one without an id as the last of all; spans are byte offsets of the UTF-8 text, end exclusive;
 the original keeps its passage; an empty table gives an empty result; extra
 columns are ignored.
 """
@@ -37,6 +37,8 @@ from .common import by_value, remove, saved, slices
 by_value(__name__)
 
 MEAN, LEAST_WORDS, REACH = 24, 50, 600
+#: Stands for the id of rows without one.
+NO_ID = (1 << 63) - 1
 CHUNKS = "digest long, doc_id long, start int, size int"
 
 
@@ -119,7 +121,7 @@ def _grow(batches):
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = MEAN, least_words: int = LEAST_WORDS, reach: int = REACH) -> DataFrame:
     """One row per passage that repeats another document's: doc_id, start, end
     (bytes), n_words, first_doc_id, first_start."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     chunks = narrow.mapInArrow(_chunks(mean), CHUNKS)
     first = F.min(F.struct("doc_id", "start")).alias("o")
     whole = chunks.where("size >= 16")
@@ -142,7 +144,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     raw, s, e = F.col("text").cast("binary"), F.col("s"), F.col("e")
     cut = lambda at, n: F.substring(raw, at + 1, n)
     low = F.greatest(s - reach, F.lit(0))
-    around = narrow.where("doc_id is not null and text is not null").join(asked, "doc_id").select("doc_id", "s", "e", cut(low, s - low).alias("b"), cut(s, e - s).alias("m"), cut(e, F.lit(reach)).alias("a"))
+    around = narrow.where("text is not null").join(asked, "doc_id").select("doc_id", "s", "e", cut(low, s - low).alias("b"), cut(s, e - s).alias("m"), cut(e, F.lit(reach)).alias("a"))
     around = saved(around, "around")
     one = around.select(F.col("doc_id"), F.col("s").alias("s1"), F.col("e").alias("e1"), F.col("b").alias("b1"), F.col("m").alias("m1"), F.col("a").alias("a1"))
     two = around.select(F.col("doc_id").alias("first_doc_id"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("b").alias("b2"), F.col("m").alias("m2"), F.col("a").alias("a2"))
@@ -153,7 +155,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     remove(around)
     out = runs.join(grown, "run")
     # several runs may grow into the same passage
-    return out.select("doc_id", (F.col("s1") + F.col("from")).alias("start"), (F.col("s1") + F.col("to")).alias("end"), "n_words", "first_doc_id", (F.col("s2") + F.col("from")).alias("first_start")).distinct()
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("s1") + F.col("from")).alias("start"), (F.col("s1") + F.col("to")).alias("end"), "n_words", "first_doc_id", (F.col("s2") + F.col("from")).alias("first_start")).distinct()
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

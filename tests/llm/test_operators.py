@@ -384,16 +384,19 @@ def test_repeated_passages(spark, corpus):
     assert substrings.repeated_passages(docs(spark, [])).count() == 0
 
 
-def test_short_passages(spark):
-    """Each passage of 50 words is found, those of short words and of 210 bytes too."""
+def test_short_passages_and_rows_without_id(spark):
+    """Each passage of 50 words is found, those of short words and of 210 bytes too,
+    also where the row that comes first has no id."""
     r = random.Random(12)
     word = lambda lo, hi: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(lo, hi)))
     rows, n = [], 400
     for i in range(n):
         passage = " ".join(word(3, 4) for _ in range(50))
         rows += [(2 * i + k, f"{sentence(r, 30)} #{k} {passage} {k}# {sentence(r, 30)}", "en", "s") for k in (0, 1)]
+        if i == 0:
+            rows.append((None, passage, "en", "s"))
     out = substrings.repeated_passages(docs(spark, rows)).collect()
-    assert {(x["doc_id"], x["first_doc_id"]) for x in out} == {(2 * i + 1, 2 * i) for i in range(n)}
+    assert {(x["doc_id"], x["first_doc_id"]) for x in out} == {(2 * i + 1, 2 * i) for i in range(n)} | {(None, 0)}
 
 
 def test_gear_hash_is_local():
