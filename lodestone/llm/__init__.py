@@ -1,12 +1,13 @@
 """Training-data operators: language ID, HTML extraction, decontamination,
 toxicity, near, substring and exact dedup, secret scans, mixing, sharding.
 
-Python functions that run on executors are pickled by value, so the operators
-work on clusters where this package is installed on the driver only.
+Python functions that run on executors are pickled by value, with all modules of
+this subpackage, so that the operators work on clusters where it is installed on
+the driver only. Broadcast values hold builtins and arrays, no classes of it.
 """
 
-from pyspark import cloudpickle
+import sys
 
-from . import textcore
+from pyspark import cloudpickle
 
-cloudpickle.register_pickle_by_value(textcore)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

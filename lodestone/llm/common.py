@@ -2,32 +2,28 @@
 
 from __future__ import annotations
 
-import sys
+import contextlib
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words everywhere in this subpackage.
 WORD_RE = r"[^\x20\x09-\x0D]+"
-
-
-def by_value(name: str) -> None:
-    """Let the executors receive a module's functions with the task."""
-    cloudpickle.register_pickle_by_value(sys.modules[name])
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where that setting is absent (single-machine tests)."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is
+    unset, a temporary one on a single machine, and an error on a cluster."""
+    context = spark.sparkContext
+    at = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not at:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(at)
+        context.setCheckpointDir(at)
     return at.rstrip("/")
 
 
@@ -35,18 +31,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Jobs inside drop their shuffle files when they end; nothing reads those again,
+    since what is used twice is written to a table."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def saved(df: DataFrame, name: str, drop: tuple = ()) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there,
-    and a lost executor costs no recomputation."""
+    and a lost executor costs no recomputation. Tables in `drop` go afterwards."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
+    for x in drop:
+        remove(x)
     return out
 
 
-def remove(df: DataFrame) -> None:
+def remove(df: DataFrame | None) -> None:
     """Delete a table written by saved()."""
     path = getattr(df, "_lodestone_path", None)
     if path:
@@ -55,6 +66,41 @@ def remove(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def _slot(key: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
+
+
+def marks(keys: DataFrame, col: str, bits: int = 24) -> DataFrame:
+    """A bitmap of 2^bits places with those of the keys set: at most 2^(bits - 6) rows,
+    whatever the number of keys, so that it can be broadcast. Written to a table."""
+    slot = keys.select(_slot(F.col(col), bits).alias("s"))
+    words = slot.groupBy(F.shiftrightunsigned("s", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("_bits"))
+    return saved(words, "marks")
+
+
+def maybe(df: DataFrame, key: Column, marked: DataFrame, bits: int = 24) -> tuple[DataFrame, Column]:
+    """(df with a bitmap's column, condition): true for all rows whose key is among the
+    marked ones, false for most others. The rows are not shuffled."""
+    slot = _slot(key, bits)
+    out = df.join(F.broadcast(marked), F.shiftrightunsigned(slot, 6) == F.col("_word"), "left")
+    bit = F.expr("shiftright(_bits, cast(_at & 63 as int)) & 1")
+    return out.withColumn("_at", slot).withColumn("_maybe", F.coalesce(bit, F.lit(0)) == 1).drop("_word", "_bits", "_at"), F.col("_maybe")
+
+
+def split_off(df: DataFrame, key: Column, keys: DataFrame, col: str, bits: int = 24) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is among `keys`, all others). Rows that a bitmap rules out are
+    passed on as they are; only the rest are joined. Null keys are among the others.
+    A full bitmap rules nothing out: then all rows are joined, with the same result."""
+    marked = marks(keys.where(F.col(col).isNotNull()), col, bits)
+    seen, hit = maybe(df.withColumn("_key", key), F.col("_key"), marked, bits)
+    near, far = seen.where(hit).drop("_maybe"), seen.where(~hit | F.col("_key").isNull()).drop("_maybe", "_key")
+    near = near.where(F.col("_key").isNotNull())
+    with_key = keys.select(F.col(col).alias("_in")).where(F.col("_in").isNotNull())
+    chosen = near.join(with_key, F.col("_key") == F.col("_in"), "left_semi").drop("_key")
+    rest = near.join(with_key, F.col("_key") == F.col("_in"), "left_anti").drop("_key")
+    return chosen, far.unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

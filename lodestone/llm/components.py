@@ -20,7 +20,7 @@ def components(links: DataFrame) -> DataFrame:
     ignored; an empty table gives an empty one."""
     pairs = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, state = saved(pairs, "cc"), None
-    for _ in range(60):
+    while True:  # each round adds links to smaller labels only, so that it ends
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -34,4 +34,4 @@ def components(links: DataFrame) -> DataFrame:
             break
         state = tuple(seen)
     out = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return saved(out.union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), "labels")
+    return saved(out.union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), "labels", (edges,))

@@ -30,9 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import by_value, row_key, saved, slices
-
-by_value(__name__)
+from .common import row_key, saved, slices
 
 #: Masks of weight 8 over 12 or 13 words (fixed values).
 MASKS = ("110110101101", "1110010110011", "1011100101101", "110011101011")

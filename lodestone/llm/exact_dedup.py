@@ -23,9 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import by_value, remove, saved, slices
-
-by_value(__name__)
+from .common import remove, saved, slices
 
 #: Primes under 2^31 and bases of the two fingerprints (fixed values).
 PRIMES = (2147483647, 2147483629)

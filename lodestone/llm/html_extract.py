@@ -30,9 +30,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import html_pages
-from .common import by_value
-
-by_value(__name__)
 
 # Element names with a fixed meaning in HTML.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul button label textarea video audio canvas object".split())

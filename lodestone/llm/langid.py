@@ -33,9 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcore as tc
-from .common import by_value, saved, slices
-
-by_value(__name__)
+from .common import saved, slices
 
 BUCKETS = 1 << 16
 PER_LANG, PENALTY, ALPHA, STEPS = 1500, 2.0, 0.1, 12

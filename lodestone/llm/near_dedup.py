@@ -8,15 +8,22 @@
    partner above the match threshold. Of the t others a class keeps its
    t - least + 1 rarest as prefix: two classes with `least` common coordinates
    share a posting of both prefixes.
-3. Posting lists are merged in rounds. A round compares every member with one
-   pivot of the list unless both have one label already, on full sets; confirmed
-   links give labels, a list with one label is done, and pivots leave their list. What remains after `rounds` is compared block by block,
-   members outside a list's largest label against all members, counting
-   common coordinates first and confirming on full sets. Neither step emits the
-   pairs of a group, and no pair above the threshold is passed over.
+3. Posting lists are merged in rounds. A round takes one pivot of each list and
+   pairs the others with it unless both have one label already; the pairs' common
+   coordinates are counted, and only those that reach the match threshold have their
+   full sets fetched and compared, the best pair of each class first. Links give
+   labels, a list with one label is done, and pivots leave their list. What remains
+   after `rounds` is counted block by block, members outside a list's largest label
+   against all members; the sets of those that reach the threshold with someone
+   of another label are then compared in the same blocks. No step emits the pairs of
+   a group, and no pair above the threshold is passed over.
 
 With 48 coordinates and 22 common ones, a pair at the similarity 0.75 is missed
-with a probability of about 1e-5, one at 0.8 with less than 1e-7.
+with a probability of about 1e-5, one at 0.8 with less than 1e-7. Coordinates have
+64 bits, so unrelated documents share none, however many there are.
+
+A bitmap of fixed size thins what is shuffled (single postings, texts whose sets
+nobody asks for); once it is full it thins nothing and the results are the same.
 
 Defined results: a null or blank text has no shingles, links with nothing and is
 its own component; rows that repeat an id share it; null ids take the component's
@@ -34,12 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import by_value, row_key, saved, slices
+from .common import marks, maybe, remove, row_key, saved, slices, split_off
 from .components import components
 
-by_value(__name__)
-
-COORDS, LEAST, ROUNDS, BLOCK = 48, 22, 2, 256
+COORDS, LEAST, ROUNDS, BLOCK, BITS = 48, 22, 2, 256, 26
+FEATURES = "key long, doc_id long, n long, dig binary, sig array<long>"
 
 
 def shingle_sets(col: pa.Array, k: int):
@@ -60,52 +66,86 @@ def digest(x: np.ndarray) -> bytes | None:
 
 
 def signatures(sets: list[np.ndarray], coords: int) -> np.ndarray:
-    """Rows of minimum hashes, for sets that are not empty."""
+    """Rows of minimum hashes, for sets that are not empty. A value tells its
+    coordinate too, and minima are mixed again, since those of large sets are small."""
     flat = np.concatenate(sets)
     first = np.cumsum([0] + [len(x) for x in sets[:-1]])
-    flip, times = tc.random_u64(5, coords), tc.random_u64(6, coords) | np.uint64(1)
-    out, tmp = np.empty((len(sets), coords), np.int32), np.empty_like(flat)
+    flip, times, salt = tc.random_u64(5, coords), tc.random_u64(6, coords) | np.uint64(1), tc.random_u64(8, coords)
+    out, tmp = np.empty((len(sets), coords), np.int64), np.empty_like(flat)
     for j in range(coords):
         np.bitwise_xor(flat, flip[j], out=tmp)
         tmp *= times[j]
-        out[:, j] = (np.minimum.reduceat(tmp, first) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        out[:, j] = tc.mix(np.minimum.reduceat(tmp, first) + salt[j]).view(np.int64)
     return out
 
 
 def _features(k: int, coords: int):
+    """key, doc_id, text -> FEATURES"""
+
     def run(batches):
         for batch in batches:
-            for a, sets in shingle_sets(batch.column(1), k):
+            for a, sets in shingle_sets(batch.column(2), k):
                 full = [x for x in sets if len(x)]
                 sig = iter(signatures(full, coords)) if full else iter(())
                 sigs = [next(sig) if len(x) else None for x in sets]
-                yield pa.record_batch([batch.column(0).slice(a, len(sets)).cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([digest(x) for x in sets], pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "n", "dig", "sig"])
+                ids = [batch.column(c).slice(a, len(sets)) for c in (0, 1)]
+                yield pa.record_batch([*ids, pa.array([len(x) for x in sets], pa.int64()), pa.array([digest(x) for x in sets], pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], names=["key", "doc_id", "n", "dig", "sig"])
 
     return run
 
 
-def _sets(k: int, coords: int):
+def _sets(k: int):
     def run(batches):
         for batch in batches:
             for _, sets in shingle_sets(batch.column(0), k):
                 full = [x for x in sets if len(x)]
                 if full:
-                    yield pa.record_batch([pa.array([digest(x) for x in full], pa.binary()), tc.list_array([x.view(np.int64) for x in full], pa.int64()), pa.array(list(signatures(full, coords)), pa.list_(pa.int32()))], names=["dig", "items", "sig"])
+                    yield pa.record_batch([pa.array([digest(x) for x in full], pa.binary()), tc.list_array([x.view(np.int64) for x in full], pa.int64())], names=["dig", "items"])
+
+    return run
+
+
+def _places(table: pa.Table):
+    side = np.array(table.column("side").to_pylist(), int)
+    return np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    return np.asarray(table.column("sig").combine_chunks().flatten()).reshape(table.num_rows, -1)
+
+
+def _alike(sig, size, i, data, least, num, den):
+    """Members of data that share `least` coordinates with i and have a size that allows a link."""
+    return data[((sig[data] == sig[i]).sum(axis=1) >= least) & (den * np.minimum(size[data], size[i]) >= num * np.maximum(size[data], size[i]))]
+
+
+def _count_block(least: int, num: int, den: int):
+    """The members of one block pair that reach the threshold with a member of another label."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sig, size = _matrix(table), table.column("n").to_numpy()
+        _, lab = np.unique(np.array(table.column("lab").to_pylist(), object).astype("S16"), return_inverse=True)
+        ask, data = _places(table)
+        hit = np.zeros(table.num_rows, bool)
+        for i in ask:
+            near = _alike(sig, size, i, data, least, num, den)
+            near = near[lab[near] != lab[i]]
+            hit[near] = True
+            hit[i] = hit[i] or len(near) > 0
+        return table.filter(pa.array(hit)).drop_columns(["sig", "n"])
 
     return run
 
 
-def _blocks(least: int, num: int, den: int):
+def _link_block(num: int, den: int):
     """Confirm links between the two sides of one block pair of a posting list."""
 
     def run(table: pa.Table) -> pa.Table:
-        dig, lab, side = (table.column(c).to_pylist() for c in ("dig", "lab", "side"))
+        dig, lab = table.column("dig").to_pylist(), table.column("lab").to_pylist()
         col = table.column("items").combine_chunks()
         off, flat = np.asarray(col.offsets), np.asarray(col.values).view(np.uint64)
-        items = [flat[off[i] : off[i + 1]] for i in range(len(dig))]
-        sig = np.asarray(table.column("sig").combine_chunks().flatten()).reshape(len(dig), -1)
-        size = np.diff(off)
-        ask, data = [i for i in range(len(dig)) if side[i] == 0], np.array([i for i in range(len(dig)) if side[i] == 1], int)
+        items, size = [flat[off[i] : off[i + 1]] for i in range(len(dig))], np.diff(off)
+        ask, data = _places(table)
         root = {x: x for x in lab}
 
         def find(x):
@@ -114,10 +154,8 @@ def _blocks(least: int, num: int, den: int):
             return x
 
         out = []
-        for i in ask:
-            if not len(data):
-                break
-            near = data[((sig[data] == sig[i]).sum(axis=1) >= least) & (den * np.minimum(size[data], size[i]) >= num * np.maximum(size[data], size[i]))]
+        for i in ask.tolist():
+            near = data[den * np.minimum(size[data], size[i]) >= num * np.maximum(size[data], size[i])]
             for j in near.tolist():
                 a, b = find(lab[i]), find(lab[j])
                 if a == b:
@@ -131,45 +169,38 @@ def _blocks(least: int, num: int, den: int):
     return run
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, coords: int = COORDS, least: int = LEAST, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, coords: int = COORDS, least: int = LEAST, rounds: int = ROUNDS, block: int = BLOCK, bits: int = BITS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Documents
     link if 100 * |A and B| >= percent * |A or B| for their shingle sets."""
     spark = docs.sparkSession
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = saved(narrow.mapInArrow(_features(k, coords), "doc_id long, n long, dig binary, sig array<int>"), "features")
-    classes = rows.where("n > 0").groupBy("dig").agg(F.max("sig").alias("sig"), F.min("doc_id").alias("rep"))
+    narrow = docs.select(row_key(docs, id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = saved(narrow.mapInArrow(_features(k, coords), FEATURES), "features")
+    classes = rows.where("n > 0").groupBy("dig").agg(F.first("sig").alias("sig"), F.first("n").alias("n"), F.count("*").alias("copies"), F.min("key").alias("rep"), F.min("doc_id").alias("least"))
     classes = saved(classes, "classes")
-    posted = classes.select("dig", F.posexplode("sig").alias("c", "v")).select("dig", (F.shiftleft(F.col("c").cast("long"), 32) + F.col("v").cast("long").bitwiseAND(0xFFFFFFFF)).alias("tok"))
-    shared = posted.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
-    lists = posted.join(shared, "tok").groupBy("dig").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("t")).where(F.size("t") >= least)
+    posted = classes.select("dig", F.explode("sig").alias("tok"))
+    shared = saved(posted.select("tok").groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    seen, hit = maybe(posted, F.col("tok"), marks(shared, "tok", bits), bits)
+    lists = seen.where(hit).select("dig", "tok").join(shared, "tok").groupBy("dig").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("t")).where(F.size("t") >= least)
     lists = lists.select("dig", F.explode(F.slice("t", F.lit(1), F.size("t") - least + 1)).alias("t")).select("dig", F.col("t.tok").alias("tok"))
-    lists = saved(lists, "lists")
-    links, labels = spark.createDataFrame([], "a binary, b binary"), None
+    lists = saved(lists, "lists", (shared,))
+    labels = None
     if lists.head(1):
-        need = lists.select("dig").distinct().join(classes.select("dig", "rep"), "dig").select(F.col("dig").alias("_dig"), F.col("rep"))
+        need = classes.join(lists.select("dig").distinct(), "dig", "left_semi").select("dig", "sig", "n", "rep")
         need = saved(need, "need")
-        chosen = narrow.join(need.select("rep"), F.expr("doc_id <=> rep"), "left_semi").select("text")
-        sets = chosen.mapInArrow(_sets(k, coords), "dig binary, items array<long>, sig array<int>")
-        sets = saved(sets.join(need, F.expr("dig = _dig"), "left_semi").dropDuplicates(["dig"]), "sets")
-        for r in range(rounds):
-            found, lists = _pivot_round(lists, labels, sets, r, percent)
-            if found is None:
-                break
-            links = saved(links.union(found), "links")
-            labels = _shortcuts(links)
-        if lists is not None:
-            found = _block_round(lists, labels, sets, least, percent, block)
-            links = links if found is None else links.union(found)
-        labels = components(links)
+        chosen, _ = split_off(narrow.select("key", "text"), F.col("key"), need.select("rep").distinct(), "rep")
+        sets = chosen.select("text").mapInArrow(_sets(k), "dig binary, items array<long>")
+        sets = saved(sets.join(need.select("dig"), "dig", "left_semi").dropDuplicates(["dig"]), "sets")
+        labels = _merge(spark, lists, need, sets, least, rounds, percent, block)
+        remove(need), remove(sets)
+    remove(lists)
     if labels is None:
         labels = spark.createDataFrame([], "node binary, label binary")
-    best = rows.where("n > 0").select("dig", "doc_id").join(labels, F.col("dig") == F.col("node"))
-    best = saved(best.groupBy("label").agg(F.min("doc_id").alias("least")), "best")
-    linked = labels.join(best, "label").select("node", "least")
-    alone = classes.select("dig", "rep").join(linked, F.col("dig") == F.col("node"), "left").select(F.col("dig").alias("node"), F.coalesce("least", "rep").alias("least"))
-    alone = saved(alone, "class-ids")
-    out = rows.select("doc_id", "n", "dig").join(alone, F.col("dig") == F.col("node"), "left")
-    comp = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least"))
+    mine = classes.select("dig", "copies", "least").join(labels, F.col("dig") == F.col("node"), "left")
+    mine = saved(mine.where("copies > 1 or label is not null").select("dig", F.coalesce("label", "dig").alias("label"), "least"), "grouped", (classes, labels))
+    best = mine.groupBy("label").agg(F.min("least").alias("least"))
+    ids = saved(mine.select("dig", "label").join(best, "label").select(F.col("dig").alias("node"), F.col("least"), F.lit(True).alias("found")), "class-ids", (mine,))
+    out = rows.select("doc_id", "n", "dig").join(ids, F.col("dig") == F.col("node"), "left")
+    comp = F.when(F.col("found"), F.col("least")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
 
@@ -179,54 +210,99 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     key = row_key(docs, id_col, text_col)
     rows = saved(near_groups(docs.select(key.alias("doc_id"), docs[text_col].alias("text")), **options), "near")
     gone = rows.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(gone, key == gone["_gone"], "left_anti")
-    again = rows.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").head(1)
-    return out.dropDuplicates([id_col, text_col]) if again else out
+    again = rows.where("kept").groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again")
+    again = saved(again, "again")
+    _, out = split_off(docs, key, gone, "_gone")
+    if not again.head(1):
+        return out
+    twice, once = split_off(out, row_key(out, id_col, text_col), again, "_again")
+    return twice.dropDuplicates([id_col, text_col]).unionByName(once)
+
+
+def _merge(spark, lists, need, sets, least, rounds, percent, block) -> DataFrame | None:
+    """Labels of the classes that have links, from the posting lists."""
+    links, labels = spark.createDataFrame([], "a binary, b binary"), None
+    for r in range(rounds):
+        here = _open(lists, labels)
+        if not here.head(1):
+            lists = None
+            break
+        for found in _pivot_round(here, need, sets, least, r, percent):
+            links = saved(links.union(found), "links", (links, found))
+        pivots = _pivots(here, r)
+        lists = saved(here.join(pivots, "tok").where("dig <> p").select("tok", "dig"), "lists", (here, labels))
+        labels = _shortcuts(links)
+    here = _open(lists, labels) if lists is not None else None
+    if here is not None and here.head(1):
+        links = links.union(_block_round(here, need, sets, least, percent, block))
+    out = components(links)
+    for x in (here, lists, labels, links):
+        remove(x)
+    return out
 
 
 def _shortcuts(links: DataFrame) -> DataFrame:
-    """(node, label) with equal labels inside a component only: the smallest pivot
-    that a node is linked with, and that pivot's own. Enough to skip comparisons;
+    """(node, label) with equal labels inside a component only: the smallest class
+    that a node is linked with as `a`, and that one's own. Enough to skip comparisons;
     components() has the last word."""
     up = saved(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")), "up")
     over = up.select(F.col("node").alias("label"), F.col("label").alias("top"))
-    return saved(up.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
+    return saved(up.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels", (up,))
 
 
 def _open(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members of the posting lists that hold more than one label."""
     if labels is None:
-        return lists.withColumn("lab", F.col("dig"))
+        return saved(lists.withColumn("lab", F.col("dig")), "open")
     here = saved(lists.join(labels, F.col("dig") == F.col("node"), "left").select("tok", "dig", F.coalesce("label", "dig").alias("lab")), "labelled")
-    mixed = here.groupBy("tok").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo <> hi").select("tok")
-    return saved(here.join(mixed, "tok"), "open")
-
-
-def _pivot_round(lists, labels, sets, r, percent):
-    """(confirmed links, lists without their pivots), or (None, None) if all lists are done."""
-    here = _open(lists, labels)
-    if not here.head(1):
-        return None, None
-    pivots = here.groupBy("tok").agg(F.min(F.struct(F.xxhash64("dig", F.lit(r)).alias("h"), F.col("dig").alias("p"), F.col("lab").alias("pl"))).alias("x")).select("tok", "x.p", "x.pl")
-    near = saved(here.join(pivots, "tok").where("dig <> p"), "near")
-    pairs = near.where("lab <> pl").select("dig", "p").distinct()
-    left = sets.select("dig", F.col("items").alias("x"))
-    right = sets.select(F.col("dig").alias("p"), F.col("items").alias("y"))
+    mixed = saved(here.groupBy("tok").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo <> hi").select("tok"), "mixed")
+    return saved(here.join(mixed, "tok"), "open", (here, mixed))
+
+
+def _pivots(here: DataFrame, r: int) -> DataFrame:
+    """A pivot of each list: the smallest hash of the round."""
+    return here.groupBy("tok").agg(F.min(F.struct(F.xxhash64("dig", F.lit(r)).alias("h"), F.col("dig").alias("p"), F.col("lab").alias("pl"))).alias("x")).select("tok", "x.p", "x.pl")
+
+
+def _pivot_round(here, need, sets, least, r, percent):
+    """Yield the links of the members with the pivots of their lists."""
+    pivots = saved(_pivots(here, r), "pivots")
+    pairs = here.join(pivots, "tok").where("lab <> pl").select(F.col("dig").alias("a"), F.col("p").alias("b")).distinct()
+    one = need.select(F.col("dig").alias("a"), F.col("sig").alias("x"), F.col("n").alias("nx"))
+    two = need.select(F.col("dig").alias("b"), F.col("sig").alias("y"), F.col("n").alias("ny"))
+    counted = pairs.join(one, "a").join(two, "b").where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    counted = counted.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common")).where(F.col("common") >= least)
+    counted = saved(counted, "counted", (pivots,))
+    best = counted.groupBy("a").agg(F.max(F.struct("common", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
+    best = saved(best, "best")
+    found = saved(_linked(best, sets, percent), "found")
+    labels = _shortcuts(found)
+    yield found
+    # the others, where the best pairs leave two labels
+    lab = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+    rest = counted.select("a", "b").join(best, ["a", "b"], "left_anti").join(lab("a"), "a", "left").join(lab("b"), "b", "left")
+    rest = rest.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    yield saved(_linked(rest, sets, percent), "found", (counted, best, labels))
+
+
+def _linked(pairs, sets, percent):
+    """Pairs of classes whose full sets link."""
+    left = sets.select(F.col("dig").alias("a"), F.col("items").alias("x"))
+    right = sets.select(F.col("dig").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    sure = pairs.join(left, "dig").join(right, "p").where(100 * both >= percent * (F.size("x") + F.size("y") - both))
-    return saved(sure.select(F.col("dig").alias("a"), F.col("p").alias("b")), "found"), near.select("tok", "dig")
+    sure = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both))
+    return sure.select("a", "b")
 
 
-def _block_round(lists, labels, sets, least, percent, block):
-    here = _open(lists, labels)
-    if not here.head(1):
-        return None
+def _block_round(here, need, sets, least, percent, block):
     parts = here.groupBy("tok", "lab").agg(F.count("*").alias("n"))
-    sizes = saved(parts.groupBy("tok").agg(F.sum("n").alias("size"), F.max(F.struct("n", "lab")).alias("top")).select("tok", "size", F.col("top.lab").alias("top"), (F.col("size") - F.col("top.n")).alias("others")), "sizes")
-    side = here.join(sizes, "tok").join(sets, "dig")
-    na, nd = F.ceil(F.col("others") / block).cast("int"), F.ceil(F.col("size") / block).cast("int")
+    sizes = saved(parts.groupBy("tok").agg(F.sum("n").alias("all"), F.max(F.struct("n", "lab")).alias("top")).select("tok", "all", F.col("top.lab").alias("top"), (F.col("all") - F.col("top.n")).alias("others")), "sizes")
+    side = here.join(sizes, "tok").join(need.select("dig", "sig", "n"), "dig")
+    na, nd = F.ceil(F.col("others") / block).cast("int"), F.ceil(F.col("all") / block).cast("int")
     place = lambda n: F.pmod(F.xxhash64("dig"), n).cast("int")
-    ask = side.where("lab <> top").select("tok", place(na).alias("qa"), F.explode(F.sequence(F.lit(0), nd - 1)).alias("qd"), F.lit(0).alias("side"), "dig", "lab", "items", "sig")
-    data = side.select("tok", F.explode(F.sequence(F.lit(0), na - 1)).alias("qa"), place(nd).alias("qd"), F.lit(1).alias("side"), "dig", "lab", "items", "sig")
-    out = ask.union(data).groupBy("tok", "qa", "qd").applyInArrow(_blocks(least, percent, 100), "a binary, b binary")
-    return saved(out.distinct(), "found")
+    ask = side.where("lab <> top").select("tok", place(na).alias("qa"), F.explode(F.sequence(F.lit(0), nd - 1)).alias("qd"), F.lit(0).alias("side"), "dig", "lab", "sig", "n")
+    data = side.select("tok", F.explode(F.sequence(F.lit(0), na - 1)).alias("qa"), place(nd).alias("qd"), F.lit(1).alias("side"), "dig", "lab", "sig", "n")
+    alike = ask.union(data).groupBy("tok", "qa", "qd").applyInArrow(_count_block(least, percent, 100), "tok long, qa int, qd int, side int, dig binary, lab binary")
+    alike = saved(alike, "alike", (sizes,))
+    out = alike.join(sets, "dig").groupBy("tok", "qa", "qd").applyInArrow(_link_block(percent, 100), "a binary, b binary")
+    return saved(out.distinct(), "found", (alike,))

@@ -30,9 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import by_value, slices
-
-by_value(__name__)
+from .common import slices
 
 
 class Rule(NamedTuple):

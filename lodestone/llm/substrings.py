@@ -32,9 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import by_value, remove, saved, slices
-
-by_value(__name__)
+from .common import remove, saved, slices
 
 MEAN, LEAST_WORDS, REACH = 24, 50, 600
 #: Stands for the id of rows without one.

@@ -36,9 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_value, saved
-
-by_value(__name__)
+from .common import saved
 
 EXAMPLES, TERMS, SUPPORT, GAIN, NEIGHBOURS, SOFTEN, BLOCK = 12000, 3000, 4, 5.0, 25, 0.05, 32
 #: The term that stands for any word.
