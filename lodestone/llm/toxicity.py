@@ -1,129 +1,235 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Fitting: a bounded sample of the labelled rows (`examples`, by hash of the id) is
-tokenised into words and word beginnings; the terms that tell the labels apart
-best by the likelihood-ratio statistic (at most `terms`, seen in `support` rows or
-more and with a statistic over `gain`, both lower where labelled rows are few), and one term that stands for any word, span the TF-IDF space, so that a
-long text with one such term points elsewhere than a short one. The examples become a block-max inverted index:
-examples are ordered so that like ones are neighbours, and for each term every
-block of examples knows its largest weight. Blocks hold their examples as padded
-rows, so a batch of blocks is scored in one step.
-
-Scoring: for a document, sum(query weight * block maximum) bounds the cosine of
-every example of a block. Blocks are opened in falling order of the bound until
-it is below the k-th best cosine, so the neighbours are exact. They vote with
-weight 1 / (1 - cosine + `soften`), and isotonic regression over leave-one-out
-votes of the examples turns votes into calibrated scores. Examples without any of
-the terms are one vector, that of any word; they are neighbours like others, at one
-cosine and with their smoothed rate, and need no blocks.
-
-Defined results: null texts and texts without words take the plain examples' rate; labels other
-than 0 and 1 are ignored; a doc_id with several labels counts as toxic if one
-says so, one with several rows as one example; without any labelled example every score is 0; neighbours that tie are
-taken in order of the index; extra columns are kept by score_column().
+Fitting: a bounded sample of the labelled rows (`examples` rows by hash of the id, and
+as many of them as have `cells` distinct words together) spans the space: every word
+of every example is a coordinate, a hash of 64 bits. A word weighs (1 + log tf) * idf,
+scaled by g / (g + `gain`) squared, where g is the likelihood ratio of its occurrence
+in toxic and other examples, so that words that tell nothing still count a little and
+none is left out. The examples become a block-max inverted index: like examples are
+neighbours, a word's postings hold its weight in each example, and for the words that
+many examples have every block of examples knows the largest weight.
+
+Scoring: the postings of the rarer words are summed exactly; adding to that, for each
+block, query weight times block maximum of the frequent words bounds the cosine of all
+its examples. The blocks of the largest bounds are scored first, then all those whose
+bound reaches the k-th best cosine found, so the neighbours are exact. They vote with
+weight 1 / (1 - cosine + `soften`), and isotonic regression over leave-one-out votes
+of the examples turns votes into calibrated scores. Documents go through in batches,
+the frequent words as products of dense matrices.
+
+Defined results: null texts and texts that share no word with an example take the
+examples' rate of toxic ones; labels other than 0 and 1 and null ids are ignored; a
+doc_id with several labels counts as toxic if one says so, one with several rows as
+one example with all their words; without any labelled example every score is 0;
+neighbours that tie are taken in order of the index; repeated rows are scored each; an
+empty table gives an empty result; extra columns are kept by without_toxic().
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from typing import NamedTuple
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from . import textcore as tc
+from .common import saved, slices
 
-EXAMPLES, TERMS, SUPPORT, GAIN, NEIGHBOURS, SOFTEN, BLOCK = 12000, 3000, 4, 5.0, 25, 0.05, 32
-#: The term that stands for any word.
-ANY = ""
-WORD = r"[^\W\d_]+"
+EXAMPLES, CELLS, GAIN, NEIGHBOURS, SOFTEN, BLOCK, BATCH = 6000, 4_000_000, 30.0, 25, 0.05, 32, 128
 OUT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("toxic", T.IntegerType())])))])
 
 
-def terms_of(word: str) -> list[str]:
-    """A word's terms: itself and its beginnings of 3 to 6 letters."""
-    return [word, *("^" + word[:k] for k in range(3, 7) if len(word) > k)]
-
-
-def term_counts(words: Counter) -> Counter:
-    out: Counter = Counter()
-    for w, n in words.items():
-        for t in terms_of(w):
-            out[t] += n
-    return out
-
-
-class Model(NamedTuple):
-    terms: dict  # term -> column
-    idf: np.ndarray
-    ids: np.ndarray  # of the examples, in index order
-    toxic: np.ndarray
-    rows: tuple  # examples as padded (columns, weights); the pad column has no weight
-    bounds: np.ndarray  # terms x blocks, largest weights
-    none_rate: float  # of texts without terms
-    plain: int  # examples without terms, all of them the unit vector of ANY
-    shown: tuple  # (doc_id, toxic) of the first plain ones
-    knots: tuple  # calibration: votes, scores
-    k: int
-    soften: float
-    block: int
-
-
-def vector(counts: Counter, terms: dict, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and unit-length weights (1 + log tf) * idf of a text."""
-    pairs = sorted((terms[t], n) for t, n in counts.items() if t in terms)
-    if not pairs:
-        return np.zeros(0, np.int64), np.zeros(0)
-    col = np.array([p[0] for p in pairs])
-    w = (1 + np.log([p[1] for p in pairs])) * idf[col]
-    return col, w / np.linalg.norm(w)
-
-
-def nearest(m: Model, col: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """Index places and cosines of those of the k nearest examples that hold terms,
-    with a cosine over 0."""
-    bound = w @ m.bounds[col]
-    # the plain examples fill all places below their cosine if they are enough
-    floor = plain_cosine(m, col, w) if m.plain >= m.k else 0.0
-    order = np.argsort(-bound, kind="stable")
-    cols, weights = m.rows
-    dense = np.zeros(len(m.idf) + 1)
-    dense[col] = w
-    at, cos, i, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
-    while i < len(order):
-        least = cos[m.k - 1] - 1e-12 if len(cos) >= m.k else 0.0
-        blocks = order[i : i + step]
-        blocks = blocks[(bound[blocks] >= least) & (bound[blocks] > floor)]
-        if not len(blocks):
-            break
-        rows = (blocks[:, None] * m.block + np.arange(m.block)).ravel()
-        rows = rows[(rows < len(m.ids)) & (rows != skip)]
-        got = (dense[cols[rows]] * weights[rows]).sum(axis=1)
-        rows, got = rows[got > floor], got[got > floor]
-        at, cos = np.concatenate((at, rows)), np.concatenate((cos, got))
-        best = np.lexsort((at, -cos))[: m.k]
-        at, cos = at[best], cos[best]
-        i, step = i + step, step * 2
-    return at, np.minimum(cos, 1.0)
-
-
-def plain_cosine(m: Model, col: np.ndarray, w: np.ndarray) -> float:
-    return float(w[-1]) if len(col) and col[-1] == m.terms.get(ANY) else 0.0
-
-
-def vote(m: Model, at: np.ndarray, cos: np.ndarray, plain: float) -> float:
-    """The vote of the k nearest, plain examples at their cosine among them. Those
-    tie with each other, so that each votes with the rate of all."""
-    over = int((cos > plain).sum())
-    n = min(m.plain, m.k - over) if plain > 0 else 0
-    at, cos = at[: m.k - n], cos[: m.k - n]
-    w, v = 1 / (1 - cos + m.soften), n / (1 - plain + m.soften)
-    return float(((w * m.toxic[at]).sum() + v * m.none_rate) / (w.sum() + v))
+def letters_table() -> np.ndarray:
+    """True for ASCII letters and bytes of non-ASCII characters."""
+    t = tc.alnum_table()
+    t[0x30:0x3A] = False
+    return t
+
+
+def term_counts(col, rows: int, most: int = 1 << 20):
+    """Yield (first row, rows, row of each term, term, count) for at most `rows` texts
+    of a string column at a time; the terms of a row are distinct and sorted."""
+    raw, off = tc.buffers(pc.utf8_lower(col))
+    table = letters_table()
+    for x, y in slices(np.diff(off).tolist(), most):
+        for a in range(x, y, rows):
+            b = min(y, a + rows)
+            part, at = raw[off[a] : off[b]], off[a : b + 1] - off[a]
+            if not len(part):
+                none = np.zeros(0, np.int64)
+                yield a, b - a, none, none.astype(np.uint64), none
+                continue
+            s, e, to = tc.words(part, at, table)
+            h = tc.word_hashes(part, s, e, 21)
+            row = np.repeat(np.arange(b - a), np.diff(to))
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            first = np.flatnonzero(new)
+            yield a, b - a, row[first], h[first], np.diff(np.append(first, len(h)))
+
+
+def _example_terms(batches):
+    """doc_id, toxic, text -> doc_id, toxic, terms, counts"""
+    for batch in batches:
+        for a, n, row, h, count in term_counts(batch.column(2), 256):
+            ends = np.searchsorted(row, np.arange(n + 1))
+            parts = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
+            terms, counts = tc.list_array([h[i:j].view(np.int64) for i, j in parts], pa.int64()), tc.list_array([count[i:j] for i, j in parts], pa.int64())
+            yield pa.record_batch([batch.column(0).slice(a, n), batch.column(1).slice(a, n), terms, counts], names=["doc_id", "toxic", "terms", "counts"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, cells: int = CELLS, gain: float = GAIN, k: int = NEIGHBOURS, soften: float = SOFTEN, block: int = BLOCK) -> dict:
+    """Learn from the rows of `labels` (doc_id, label) that documents have. At most
+    `examples` rows with `cells` words together reach the driver."""
+    given = labels.select(F.col("doc_id").cast("long").alias("_l"), F.col(label_col).cast("int").alias("toxic")).where("_l is not null and toxic in (0, 1)")
+    given = given.groupBy("_l").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_l"), "_l").limit(examples)
+    given = saved(given, "labelled")  # bounded by `examples` rows of two numbers
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(given), F.col("doc_id") == F.col("_l"))
+    rows = saved(rows.select("doc_id", "toxic", "text").mapInArrow(_example_terms, "doc_id long, toxic int, terms array<long>, counts array<long>"), "example-terms")
+    # rows of one id are one example; ids in hash order until the cells are used up
+    sizes = rows.groupBy("doc_id").agg(F.sum(F.size("terms")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    room = np.cumsum([r["n"] for r in sizes]) <= cells
+    chosen = docs.sparkSession.createDataFrame([(r["doc_id"],) for r, ok in zip(sizes, room) if ok], "_c long")
+    got = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_c")).drop("_c").toArrow()
+    ids, at = np.unique(got.column("doc_id").to_numpy(), return_inverse=True)
+    toxic = np.zeros(len(ids), int)
+    np.maximum.at(toxic, at, got.column("toxic").to_numpy())
+    lists = [got.column(c).combine_chunks() for c in ("terms", "counts")]
+    flat = [np.asarray(x.flatten()) for x in lists]
+    row = np.repeat(at, np.asarray(pc.list_value_length(lists[0])))
+    order = np.lexsort((flat[0], row))
+    row, term, count = row[order], flat[0][order].view(np.uint64), flat[1][order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (term[1:] != term[:-1])
+    first = np.flatnonzero(new)
+    count = np.add.reduceat(count, first) if len(first) else count
+    return index(ids, toxic, row[first], term[first], count, gain, k, soften, block)
+
+
+def relevance(df: np.ndarray, a: np.ndarray, n0: int, n1: int, gain: float) -> np.ndarray:
+    """The factor of a word that `a` of n1 toxic and df - a of n0 other examples have."""
+    n, rate = n0 + n1, n1 / max(1, n0 + n1)
+
+    def part(seen, due):
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) / np.maximum(due, 1e-300)), 0.0)
+
+    b = df - a
+    g = 2 * (part(a, df * rate) + part(b, df * (1 - rate)) + part(n1 - a, (n - df) * rate) + part(n0 - b, (n - df) * (1 - rate)))
+    # few examples can tell little: the scale is at most a fifth of their labels' entropy
+    told = -2 * (n1 * np.log(rate) + n0 * np.log(1 - rate)) if n0 and n1 else 0.0
+    scale = min(gain, told / 5) if told else gain
+    g = np.maximum(g, 0.0)
+    return np.maximum((g / (g + scale)) ** 2, 1e-3)
+
+
+def index(ids, toxic, row, term, count, gain=GAIN, k=NEIGHBOURS, soften=SOFTEN, block=BLOCK) -> dict:
+    """The model: builtins and arrays only. row, term, count: the examples' words, sorted."""
+    n = len(ids)
+    vocab, col = np.unique(term, return_inverse=True)
+    df = np.bincount(col, minlength=len(vocab))
+    a = np.bincount(col, toxic[row] if n else None, minlength=len(vocab))
+    n1 = int(toxic.sum())
+    scale = (np.log((1 + n) / (1 + df)) + 1) * relevance(df, a, n - n1, n1, gain)
+    w = (1 + np.log(count)) * scale[col] if n else np.zeros(0)
+    norm = np.sqrt(np.bincount(row, w * w, minlength=n))
+    w = w / norm[row]
+    # like examples become neighbours: by strongest word, then by the next
+    order = np.lexsort((-w, row))
+    begin = np.searchsorted(row[order], np.arange(n))
+    last = np.searchsorted(row[order], np.arange(n), "right")
+    top = [np.where(begin + j < last, col[order][np.minimum(begin + j, max(len(row) - 1, 0))], -1) if len(row) else np.zeros(n) for j in range(3)]
+    place = np.lexsort((ids, top[2], top[1], top[0])) if n else np.zeros(0, np.int64)
+    rank = np.empty(n, np.int64)
+    rank[place] = np.arange(n)
+    wide = -(-n // block) * block
+    # the words of many examples as dense columns, with the largest weight of each block
+    many = np.flatnonzero(df * 16 >= n)
+    dense = np.full(len(vocab), -1, np.int32)
+    dense[many] = np.arange(len(many))
+    full = np.zeros((len(many), wide))
+    is_many = dense[col] >= 0
+    full[dense[col[is_many]], rank[row[is_many]]] = w[is_many]
+    few = np.flatnonzero(~is_many)
+    few = few[np.lexsort((rank[row[few]], col[few]))]
+    start = np.searchsorted(col[few], np.arange(len(vocab) + 1))
+    m = {
+        "vocab": vocab, "scale": scale, "dense": dense, "full": full, "bounds": full.reshape(len(many), -1, block).max(axis=2) if wide else np.zeros((len(many), 0)),
+        "start": start, "post": rank[row[few]].astype(np.int32), "weight": w[few], "ids": ids[place], "toxic": toxic[place].astype(float),
+        "rate": n1 / n if n else 0.0, "k": k, "soften": soften, "block": block, "knots": (np.zeros(1), np.zeros(1)),
+    }
+    if n:
+        votes, at = np.empty(n), 0
+        mine = np.argsort(rank[row], kind="stable")
+        r, t, c = rank[row][mine], term[mine], count[mine]
+        for at in range(0, n, BATCH):
+            i, j = np.searchsorted(r, (at, at + BATCH))
+            size = min(BATCH, n - at)
+            votes[at : at + size] = vote(m, size, *nearest(m, size, r[i:j] - at, t[i:j], c[i:j], skip=at))
+        m["knots"] = isotonic(votes, m["toxic"])
+    return m
+
+
+def nearest(m: dict, n: int, row: np.ndarray, term: np.ndarray, count: np.ndarray, skip: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in the index, cosine) of the k nearest examples of n texts, best
+    first in each row; cosines are over 0. skip: text i leaves out the example skip + i."""
+    vocab, block, k = m["vocab"], m["block"], m["k"]
+    wide = m["bounds"].shape[1] * block
+    col = np.minimum(np.searchsorted(vocab, term), max(len(vocab) - 1, 0))
+    known = np.flatnonzero(vocab[col] == term) if len(vocab) else np.zeros(0, np.int64)
+    row, col = row[known], col[known]
+    w = (1 + np.log(count[known])) * m["scale"][col] if len(known) else np.zeros(0)
+    norm = np.sqrt(np.bincount(row, w * w, minlength=n))
+    w = w / norm[row]
+    ask = np.zeros((n, len(m["full"])))
+    often = m["dense"][col] >= 0
+    ask[row[often], m["dense"][col[often]]] = w[often]
+    row, col, w = row[~often], col[~often], w[~often]
+    size = m["start"][col + 1] - m["start"][col]
+    at = np.repeat(m["start"][col] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    score = np.bincount(np.repeat(row * wide, size) + m["post"][at], np.repeat(w, size) * m["weight"][at], minlength=n * wide).reshape(n, wide)
+    if not wide:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0)
+    bound = ask @ m["bounds"] + score.reshape(n, -1, block).max(axis=2)
+    rare, score = score, np.full((n, wide), -1.0)
+    opened = np.zeros(bound.shape, bool)
+
+    def open_blocks(which):
+        opened[which] = True
+        for b in np.flatnonzero(which.any(axis=0)):
+            docs, to = np.flatnonzero(which[:, b]), slice(b * block, (b + 1) * block)
+            score[docs, to] = rare[docs, to] + ask[docs] @ m["full"][:, to]
+        if skip is not None:
+            score[np.arange(n), np.arange(skip, skip + n)] = -1.0
+
+    # the best blocks hold more than k examples, their own left out; then all that may beat the k-th
+    first = min(bound.shape[1], -(-(k + 1) // block) + 1)
+    best = np.zeros(bound.shape, bool)
+    np.put_along_axis(best, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
+    open_blocks(best)
+    edge = np.partition(score, max(wide - k, 0), axis=1)[:, max(wide - k, 0)]
+    open_blocks((bound >= np.maximum(edge, 0)[:, None] - 1e-9) & ~opened)
+    score[:, len(m["ids"]) :] = -1.0
+    edge = np.partition(score, max(wide - k, 0), axis=1)[:, max(wide - k, 0)]
+    row, at = np.nonzero((score >= edge[:, None]) & (score > 0))
+    cos = np.minimum(score[row, at], 1.0)
+    order = np.lexsort((at, -cos, row))
+    row, at, cos = row[order], at[order], cos[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], at[keep], cos[keep]
+
+
+def vote(m: dict, n: int, row: np.ndarray, at: np.ndarray, cos: np.ndarray) -> np.ndarray:
+    """Distance-weighted votes; the rate of all examples without a neighbour."""
+    w = 1 / (1 - cos + m["soften"])
+    total = np.bincount(row, w, minlength=n)
+    toxic = np.bincount(row, w * m["toxic"][at], minlength=n)
+    return np.where(total > 0, toxic / np.maximum(total, 1e-12), m["rate"])
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,148 +245,35 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([k[0] for k in knots]), np.array([k[1] for k in knots])
 
 
-def _example_terms(batches):
-    """doc_id, toxic, text -> a row for each distinct term with its count."""
-    word = re.compile(WORD)
-    for batch in batches:
-        ids, ys, terms, ns = [], [], [], []
-        rows = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
-        for at, (i, y, text) in enumerate(rows, 1):
-            words = word.findall((text or "").lower())
-            counts = term_counts(Counter(words))
-            counts[ANY] = len(words)
-            ids += [i] * len(counts)
-            ys += [y] * len(counts)
-            terms += counts
-            ns += counts.values()
-            if len(ids) > 100_000 or at == len(rows):
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(terms, pa.string()), pa.array(ns, pa.int64())], names=["doc_id", "toxic", "term", "n"])
-                ids, ys, terms, ns = [], [], [], []
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS, support: int = SUPPORT, gain: float = GAIN, k: int = NEIGHBOURS, soften: float = SOFTEN, block: int = BLOCK) -> Model:
-    """Learn from the rows of `labels` (doc_id, label) that documents have. At most
-    `examples` rows and `terms` terms reach the driver."""
-    given = labels.select(F.col("doc_id").cast("long").alias("_l"), F.col(label_col).cast("int").alias("toxic")).where("_l is not null and toxic in (0, 1)")
-    given = given.groupBy("_l").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_l"), "_l").limit(examples)
-    given = saved(given, "labelled")  # bounded by `examples` rows of two numbers
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(given), F.col("doc_id") == F.col("_l"))
-    long = saved(rows.select("doc_id", "toxic", "text").mapInArrow(_example_terms, "doc_id long, toxic int, term string, n long"), "example-terms")
-    base = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = base.get(1, 0), base.get(0, 0)
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    n, rate = n0 + n1, n1 / max(1, n0 + n1)
-    part = lambda o, e: F.when(o > 0, o * F.ln(o / e)).otherwise(0.0)
-    g2 = part(a, (a + b) * rate) + part(b, (a + b) * (1 - rate)) + part(n1 - a, (n - a - b) * rate) + part(n0 - b, (n - a - b) * (1 - rate))
-    # few labelled rows: what a term must tell, of all there is to tell, and how often
-    support, gain = least(n0, n1, support, gain)
-    stats = long.groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("a")).withColumn("b", F.col("df") - F.col("a")).where((F.col("df") >= support) & (F.col("term") != ANY))
-    best = stats.withColumn("g", g2).where(f"g > {gain} and a * {max(1, n0)} > b * {max(1, n1)}").orderBy(F.desc("g"), "term").limit(terms)
-    chosen = best.select("term", "df").collect() if n1 and n0 else []
-    index = {r["term"]: i for i, r in enumerate(chosen)}
-    index[ANY] = len(chosen)
-    idf = np.array([np.log((1 + n) / (1 + r["df"])) + 1 for r in chosen] + [1.0])
-    space = docs.sparkSession.createDataFrame([(t,) for t in index], "_t string")
-    vecs = long.join(F.broadcast(space), F.col("term") == F.col("_t")).groupBy("doc_id", "term").agg(F.sum("n").alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("counts"))
-    counts = {r["doc_id"]: r["counts"] for r in vecs.collect()}
-    known = {r["_l"]: r["toxic"] for r in given.collect()}
-    return assemble({d: (Counter(c), known[d]) for d, c in counts.items()}, n0, n1, index, idf, k, soften, block)
-
-
-def least(n0: int, n1: int, support: int, gain: float) -> tuple[int, float]:
-    """Support and gain that are asked of a term, lower where labelled rows are few:
-    a tenth of the toxic rows, and a fifth of the labels' entropy."""
-    rate = n1 / max(1, n0 + n1)
-    told = -(n1 * np.log(rate) + n0 * np.log(1 - rate)) if n0 and n1 else 0.0
-    return min(support, max(2, -(-n1 // 10))), float(min(gain, told / 5))
-
-
-def assemble(rows: dict, n0: int, n1: int, terms: dict, idf: np.ndarray, k: int, soften: float, block: int) -> Model:
-    """rows: doc_id -> (counts of chosen terms and ANY, label), for the examples with words."""
-    vecs = {d: vector(c, terms, idf) for d, (c, _) in rows.items() if set(c) - {ANY}}
-    # like examples become neighbours: by strongest term, then by the next
-    key = lambda d: (*vecs[d][0][np.argsort(-vecs[d][1], kind="stable")][:3].tolist(), d)
-    ids = sorted((d for d in vecs if len(vecs[d][0])), key=key)
-    toxic = np.array([rows[d][1] for d in ids], float)
-    wide = max((len(vecs[d][0]) for d in ids), default=1)
-    cols, weights = np.full((len(ids), wide), len(idf), np.int32), np.zeros((len(ids), wide))
-    bounds = np.zeros((len(idf), -(-len(ids) // block)))
-    for i, d in enumerate(ids):
-        c, w = vecs[d]
-        cols[i, : len(c)], weights[i, : len(c)] = c, w
-        bounds[c, i // block] = np.maximum(bounds[c, i // block], w)
-    bare = sorted(d for d, (c, _) in rows.items() if c.get(ANY) and not set(c) - {ANY})
-    rest = n0 + n1 - len(ids)
-    none = (n1 - toxic.sum() + 0.5) / (rest + 1.0) if n0 + n1 else 0.0
-    m = Model(terms, idf, np.array(ids, np.int64), toxic, (cols, weights), bounds, float(min(max(none, 0.0), 1.0)), len(bare), tuple((d, rows[d][1]) for d in bare[:3]), (np.zeros(1), np.zeros(1)), k, soften, block)
-    if not rows:
-        return m
-    votes = [m.none_rate] * len(bare)
-    for i in range(len(ids)):
-        at, cos = nearest(m, *vecs[ids[i]], skip=i)
-        plain = plain_cosine(m, *vecs[ids[i]])
-        votes.append(vote(m, at, cos, plain) if len(at) or m.plain and plain > 0 else m.none_rate)
-    return m._replace(knots=isotonic(np.array(votes), np.concatenate(([rows[d][1] for d in bare], toxic))))
-
-
-def scorer(m: Model):
-    """A function from a text to (score, [(doc_id, cosine, toxic)])."""
-    word, memo, done = re.compile(WORD), {}, {}
-
-    def known(w):
-        got = memo.get(w)
-        if got is None:
-            if len(memo) > 500_000:
-                memo.clear()
-            got = memo[w] = tuple(t for t in terms_of(w) if t in m.terms)
-        return got
-
-    def one(text):
-        words = Counter(word.findall(text.lower())) if text else {}
-        counts: Counter = Counter()
-        for w, n in words.items():
-            for t in known(w):
-                counts[t] += n
-        if not words or not (counts or m.plain):
-            return m.none_rate, []
-        counts[ANY] = sum(words.values()) if counts else 1
-        key = tuple(sorted(counts.items()))
-        got = done.get(key)
-        if got is None:
-            if len(done) > 50_000:
-                done.clear()
-            col, w = vector(counts, m.terms, m.idf)
-            at, cos = nearest(m, col, w)
-            plain = plain_cosine(m, col, w) if m.plain else 0.0
-            if not len(at) and not plain:
-                return m.none_rate, []
-            near = [(-float(c), 1, int(m.ids[i]), int(m.toxic[i])) for i, c in zip(at[:3], cos[:3])] + [(-plain, 0, d, y) for d, y in m.shown if plain]
-            got = done[key] = (float(np.interp(vote(m, at, cos, plain), *m.knots)), [(d, -c, y) for c, _, d, y in sorted(near)[:3]])
-        return got
-
-    return one
-
-
-def score_column(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
+def scores(m: dict, col):
+    """Yield (first row, scores, evidence lists) by batches of a string column."""
+    for a, n, row, term, count in term_counts(col, BATCH):
+        row, at, cos = nearest(m, n, row, term, count)
+        score = np.interp(vote(m, n, row, at, cos), *m["knots"])
+        few = np.arange(len(row)) - np.searchsorted(row, row) < 3
+        shown: list = [[] for _ in range(n)]
+        for r, d, c, y in zip(row[few].tolist(), m["ids"][at[few]].tolist(), cos[few].tolist(), m["toxic"][at[few]].astype(int).tolist()):
+            shown[r].append({"doc_id": d, "cosine": c, "toxic": y})
+        yield a, score, shown
+
+
+def score_column(docs: DataFrame, model: dict, text_col: str = "text") -> Column:
     """A struct column (score, evidence) for the texts of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = {}
 
     def run(texts: pd.Series) -> pd.DataFrame:
-        if "f" not in kept:
-            kept["f"] = scorer(shared.value)
-        got = [kept["f"](t) for t in texts]
-        return pd.DataFrame({"score": [g[0] for g in got], "evidence": [[{"doc_id": d, "cosine": c, "toxic": y} for d, c, y in g[1]] for g in got]})
+        got = list(scores(shared.value, pa.array(texts, pa.string(), from_pandas=True)))
+        return pd.DataFrame({"score": np.concatenate([g[1] for g in got]) if got else [], "evidence": [e for g in got for e in g[2]]})
 
     return F.pandas_udf(run, OUT)(F.col(text_col))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, score, predicted, evidence."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), score_column(docs, model, text_col).alias("t"))
     return rows.select("doc_id", F.col("t.score").alias("score"), (F.col("t.score") >= 0.5).cast("int").alias("predicted"), F.col("t.evidence").alias("evidence"))
 
 
-def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+def without_toxic(docs: DataFrame, model: dict, limit: float = 0.5, text_col: str = "text") -> DataFrame:
     """docs whose score is below the limit."""
     return docs.where(score_column(docs, model, text_col)["score"] < limit)
