@@ -11,14 +11,17 @@ equal word and -2 for another counts as an overlap if it is `least_words` long
 (or the whole of a shorter item) with `share` of its words equal.
 
 Words are maximal runs of letters and digits in lower case, so changes of case,
-punctuation and spacing do not matter. Items shorter than the masks are looked up
-as a whole; items of fewer than `shortest` words are too common to tell and match
-nothing.
-
-Defined results: null or empty texts and items match nothing; an item that
-repeats under another id is reported under each; rows that repeat a doc_id or
-have none are compared each, and overlaps carry that id; empty tables give an
-empty result; extra columns are ignored by overlaps() and kept by clean().
+punctuation and spacing do not matter. Items of 5 to 12 words have shorter masks of
+their own and are compared as a whole, `share` of their words equal; items of 3 and 4
+words must occur unchanged; items of 1 and 2 words, which occur everywhere, match
+the documents that consist of nothing else.
+
+Defined results: null or empty texts and items match nothing, nor do items without an
+id; an item that repeats under another id is reported under each, one that repeats
+with its id once; rows that repeat a doc_id are compared each and the best overlap
+with an item is reported, the first of equal ones; rows without an id are told apart by
+their texts and have a null doc_id; empty tables give an empty result; extra columns are
+ignored by overlaps() and kept by clean().
 """
 
 from __future__ import annotations
@@ -30,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import row_key, saved, slices
+from .common import row_key, saved, slices, split_off
 
 #: Masks of weight 8 over 12 or 13 words (fixed values).
 MASKS = ("110110101101", "1110010110011", "1011100101101", "110011101011")
-LEAST_WORDS, SHARE, SHORTEST, BITS = 13, 0.8, 5, 26
-SEEDS = "doc_id long, pos int, mask int, hash long"
+#: Masks for items of 5 to 12 words (fixed values).
+SHORT_MASKS = ("1111", "10111", "11011", "11101")
+LEAST_WORDS, SHARE, BITS = 13, 0.8, 26
+SEEDS = "key long, pos int, mask int, hash long"
 
 
 def _hashed(col, seed: int = 3):
@@ -68,26 +73,29 @@ def _row_of(rows: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(rows) - 1), np.diff(rows))
 
 
-def _item_seeds(masks, shortest):
-    """Seeds of the benchmark: all windows, or the whole of a short item."""
+def _family(n: int, masks: tuple) -> list[tuple[int, str]]:
+    """(number, mask) of the masks for an item of n words; 100 + n: whole of so many words."""
+    if n >= max(map(len, masks)):
+        return list(enumerate(masks))
+    if n >= 5:
+        return [(50 + k, m) for k, m in enumerate(SHORT_MASKS)]
+    return [(100 + n, "1" * n)]
+
+
+def _item_seeds(masks):
+    """Seeds of the benchmark: all windows, or the whole of a tiny item."""
 
     def run(batches):
-        span = max(map(len, masks))
         for batch in batches:
             for a, h, rows in _hashed(batch.column(1)):
-                ids = batch.column(0).slice(a, len(rows) - 1).to_numpy(zero_copy_only=False)
-                out = []
+                ids, out = batch.column(0).slice(a, len(rows) - 1).to_pylist(), []
                 for i, (x, y) in enumerate(zip(rows[:-1].tolist(), rows[1:].tolist())):
-                    if y - x < shortest or ids[i] is None or ids[i] != ids[i]:
-                        continue
-                    mine = masks if y - x >= span else ("1" * (y - x),)
-                    for m in mine:
-                        k = masks.index(m) if y - x >= span else -(y - x)
-                        v = _spaced(h[x:y], m, k & 0xFFFF)
-                        out.append((np.full(len(v), int(ids[i])), np.arange(len(v)), np.full(len(v), k), v.view(np.int64)))
+                    for k, m in _family(y - x, masks) if y > x else ():
+                        v = _spaced(h[x:y], m, k)
+                        out.append((np.full(len(v), ids[i]), np.arange(len(v)), np.full(len(v), k), v.view(np.int64)))
                 if out:
                     c = [np.concatenate(z) for z in zip(*out)]
-                    yield pa.record_batch([pa.array(c[0], pa.int64()), pa.array(c[1].astype(np.int32)), pa.array(c[2].astype(np.int32)), pa.array(c[3])], names=["doc_id", "pos", "mask", "hash"])
+                    yield pa.record_batch([pa.array(c[0], pa.int64()), pa.array(c[1].astype(np.int32)), pa.array(c[2].astype(np.int32)), pa.array(c[3])], names=["key", "pos", "mask", "hash"])
 
     return run
 
@@ -100,20 +108,23 @@ def _probe(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     return ok[((bitmap[two >> 3] >> (two & 7).astype(np.uint8)) & 1).astype(bool)]
 
 
-def _doc_seeds(bitmap, masks, short, bits):
+def _doc_seeds(bitmap, seeds, bits):
+    """key, text -> the windows whose hash the benchmark may have."""
+
     def run(batches):
-        seeds = [(k, m) for k, m in enumerate(masks)] + [(-n, "1" * n) for n in short]
         for batch in batches:
             for a, h, rows in _hashed(batch.column(1)):
                 ids = batch.column(0).slice(a, len(rows) - 1)
                 row = _row_of(rows)
                 for k, m in seeds:
-                    v = _spaced(h, m, k & 0xFFFF)
+                    v = _spaced(h, m, k)
                     at = _probe(bitmap.value, v, bits) if len(v) else np.zeros(0, np.int64)
                     at = at[row[at] == row[at + len(m) - 1]]
+                    if k in (101, 102):  # nothing else in the document
+                        at = at[np.diff(rows)[row[at]] == k - 100]
                     if len(at):
                         r = row[at]
-                        yield pa.record_batch([ids.take(pa.array(r)).cast(pa.int64()), pa.array((at - rows[r]).astype(np.int32)), pa.array(np.full(len(at), k, np.int32)), pa.array(v[at].view(np.int64))], names=["doc_id", "pos", "mask", "hash"])
+                        yield pa.record_batch([ids.take(pa.array(r)), pa.array((at - rows[r]).astype(np.int32)), pa.array(np.full(len(at), k, np.int32)), pa.array(v[at].view(np.int64))], names=["key", "pos", "mask", "hash"])
 
     return run
 
@@ -126,25 +137,33 @@ def best_run(equal: np.ndarray) -> tuple[int, int]:
     return int(np.argmax(s[: end + 1] == low[end])), end
 
 
+def overlap(equal: np.ndarray, size: int, least: int, share: float) -> tuple[int, int] | None:
+    """Start and end of the overlap on a diagonal of an item of `size` words, if there is one."""
+    if size < least:
+        return (0, size) if len(equal) == size and equal.sum() >= share * size else None
+    s, e = best_run(equal)
+    return (s, e) if e - s >= least and equal[s:e].sum() >= share * (e - s) else None
+
+
 def _verify(least, share):
     def run(docs: pa.Table, cands: pa.Table) -> pa.Table:
-        out = []
+        out, doc_id = [], None
         if cands.num_rows and docs.num_rows:
             rows = list(zip(cands.column("item_id").to_pylist(), cands.column("diag").to_pylist(), (np.array(x, np.int64).view(np.uint64) for x in cands.column("words").to_pylist())))
-            doc_id = docs.column("doc_id")[0].as_py()
-            best = {}
+            doc_id, best = docs.column("doc_id")[0].as_py(), {}
             for _, h, at in _hashed(docs.column("text").combine_chunks()):
                 for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
                     for item, diag, words in rows:
                         lo, hi = max(0, -diag), min(len(words), y - x - diag)
-                        if hi <= lo:
+                        if hi <= lo or (len(words) < 3 and y - x != len(words)):
                             continue
                         equal = h[x + diag + lo : x + diag + hi] == words[lo:hi]
-                        s, e = best_run(equal)
-                        n, same = e - s, int(equal[s:e].sum())
-                        if n >= min(least, len(words)) and same >= share * n and (same, n) > best.get(item, (0, 0))[:2]:
-                            best[item] = (same, n, diag + lo + s)
-            out = [(doc_id, item, same, n, start) for item, (same, n, start) in best.items()]
+                        got = overlap(equal, len(words), least, share)
+                        if got:
+                            s, e = got
+                            new = (int(equal[s:e].sum()), e - s, -(diag + lo + s))
+                            best[item] = max(best.get(item, new), new)
+            out = [(doc_id, item, same, n, -start) for item, (same, n, start) in best.items()]
         cols = list(zip(*out)) or [()] * 5
         return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("doc_id", "item_id", "words_equal", "words_long", "first_word"), cols)})
 
@@ -158,30 +177,36 @@ def _item_words(batches):
             yield pa.record_batch([batch.column(0).slice(a, len(parts)).cast(pa.int64()), tc.list_array(parts, pa.int64())], names=["item_id", "words"])
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks=MASKS, least_words: int = LEAST_WORDS, share: float = SHARE, shortest: int = SHORTEST, bits: int = BITS) -> DataFrame:
+def _bitmap(tests: DataFrame, bits: int) -> np.ndarray:
+    """Two bits for each hash: at most 2^(bits - 6) words of 64 bits reach the driver,
+    whatever the benchmark's size."""
+    h = F.col("hash")
+    slot = F.explode(F.array(F.shiftrightunsigned(h, 64 - bits), h.bitwiseAND((1 << bits) - 1)))
+    words = tests.select(slot.alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bit")).toArrow()
+    out = np.zeros(1 << (bits - 6), "<i8")
+    out[words.column("word").to_numpy()] = words.column("bit").to_numpy()
+    return out.view(np.uint8)
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks=MASKS, least_words: int = LEAST_WORDS, share: float = SHARE, bits: int = BITS) -> DataFrame:
     """One row per document and benchmark item that overlap: doc_id, item_id,
     words_equal, words_long, first_word (place of the overlap in the document)."""
-    spark = docs.sparkSession
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null")
-    tests = saved(items.mapInArrow(_item_seeds(tuple(masks), shortest), SEEDS).withColumnsRenamed({"doc_id": "item_id", "pos": "off"}), "test-seeds")
-    # the bitmap: at most 2^(bits - 6) rows of 64 bits reach the driver, whatever the benchmark's size
-    hash64 = F.col("hash")
-    slot = F.explode(F.array(F.shiftrightunsigned(hash64, 64 - bits), hash64.bitwiseAND((1 << bits) - 1)))
-    marks = tests.select(slot.alias("b")).select(F.shiftright("b", 3).alias("byte"), F.expr("shiftleft(1, cast(b & 7 as int))").alias("bit"))
-    marks = marks.groupBy("byte").agg(F.bit_or("bit").alias("bit")).toPandas()
-    bitmap = np.zeros(1 << (bits - 3), np.uint8)
-    bitmap[marks["byte"].to_numpy(np.int64)] = marks["bit"].to_numpy().astype(np.uint8)
-    short = sorted(-r[0] for r in tests.where("mask < 0").select("mask").distinct().collect())
-    shared = spark.sparkContext.broadcast(bitmap)
-    hits = narrow.mapInArrow(_doc_seeds(shared, tuple(masks), short, bits), SEEDS)
-    cands = hits.join(tests, ["mask", "hash"]).select("doc_id", "item_id", (F.col("pos") - F.col("off")).alias("diag")).distinct()
-    cands = saved(cands, "candidates")
-    ids = cands.select(F.col("doc_id").alias("_d")).distinct()
-    chosen = narrow.join(ids, F.expr("doc_id <=> _d"), "left_semi")
+    spark, masks = docs.sparkSession, tuple(masks)
+    narrow = docs.select(row_key(docs, id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null").distinct()
+    tests = saved(items.mapInArrow(_item_seeds(masks), SEEDS).withColumnsRenamed({"key": "item_id", "pos": "off"}), "test-seeds")
+    used = {r[0] for r in tests.select("mask").distinct().collect()}
+    seeds = [(k, m) for n in (1, 2, 3, 4, 5, max(map(len, masks))) for k, m in _family(n, masks) if k in used]
+    shared = spark.sparkContext.broadcast(_bitmap(tests, bits))
+    hits = narrow.select("key", "text").mapInArrow(_doc_seeds(shared, seeds, bits), SEEDS)
+    cands = hits.join(tests, ["mask", "hash"]).select("key", "item_id", (F.col("pos") - F.col("off")).alias("diag")).distinct()
+    cands = saved(cands, "candidates", (tests,))
+    chosen, _ = split_off(narrow, F.col("key"), cands.select("key").distinct(), "key")
     words = items.mapInArrow(_item_words, "item_id long, words array<long>")
-    cands = cands.join(words, "item_id").select("doc_id", "item_id", "diag", "words")
-    return chosen.groupBy("doc_id").cogroup(cands.groupBy("doc_id")).applyInArrow(_verify(least_words, share), "doc_id long, item_id long, words_equal long, words_long long, first_word long")
+    cands = cands.join(words, "item_id").select("key", "item_id", "diag", "words")
+    # a document's rows and its diagonals meet; rows without an id have keys of their own
+    both = chosen.groupBy("key").cogroup(cands.groupBy("key"))
+    return both.applyInArrow(_verify(least_words, share), "doc_id long, item_id long, words_equal long, words_long long, first_word long")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -189,4 +214,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     key = row_key(docs, id_col, text_col)
     found = overlaps(docs.select(key.alias("doc_id"), docs[text_col].alias("text")), benchmark, **options)
     bad = saved(found.select(F.col("doc_id").alias("_bad")).distinct(), "leaks")
-    return docs.join(bad, key == bad["_bad"], "left_anti")
+    return split_off(docs, key, bad, "_bad")[1]
