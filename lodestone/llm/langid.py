@@ -116,12 +116,12 @@ def _counts(batches):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, alpha: float = ALPHA) -> Model:
     """Learn from rows with a language and a text; at most languages * 2^16
     counts reach the driver."""
-    all_rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    given = all_rows.select(F.col("id").alias("_i"), F.col("lang").alias("_l"))
-    order = Window.partitionBy("_l").orderBy(F.xxhash64("_i"), "_i")
-    chosen = saved(given.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_lang).select("_i", "_l").distinct(), "sample")
-    few = chosen.count() <= 1_000_000  # languages * per_lang rows of an id and a code
-    rows = all_rows.join(F.broadcast(chosen) if few else chosen, F.expr("id <=> _i and lang = _l")).select("lang", "text")
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), 11).alias("h"))
+    # about twice as many rows as asked for pass a language's edge, all of a small one
+    sizes = saved(rows.groupBy(F.col("lang").alias("_l")).agg((F.lit(float(1 << 53)) * F.least(F.lit(1.0), (2.0 * per_lang + 100) / F.count("*"))).alias("edge")), "languages")
+    near = rows.join(sizes, F.expr("lang = _l and h < edge")).select("lang", "text", "h")
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    rows = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_lang).select("lang", "text")
     counts = rows.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     table = np.full((BUCKETS, len(langs)), alpha)
@@ -212,10 +212,10 @@ def predictor(model: Model, penalty: float = PENALTY):
 
 def language_column(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = PENALTY) -> Column:
     """A struct column (lang, score, mixture, n_langs) for the texts of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def run(texts: pd.Series) -> pd.DataFrame:
-        got = predictor(shared.value, penalty)(pa.array(texts, pa.string(), from_pandas=True))
+        got = predictor(Model(*shared.value), penalty)(pa.array(texts, pa.string(), from_pandas=True))
         return pd.DataFrame(dict(zip(("lang", "score", "mixture", "n_langs"), got)))
 
     return F.pandas_udf(run, OUT)(F.col(text_col))
