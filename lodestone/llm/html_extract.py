@@ -38,9 +38,10 @@ RAW = frozenset("script style noscript template textarea title iframe svg math h
 CLOSES_P = BLOCK - frozenset("button label option select body html".split())
 #: An open element of the first kind ends when one of the second begins.
 ENDS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
+ENDED = {new: tuple(old for old, by in ENDS.items() if new in by) for new in frozenset().union(*ENDS.values())}
 FENCE = frozenset("ul ol dl table article section div nav aside body form".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 GOLD = re.compile(r"\sdata-gold=")
 PIECE = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
@@ -61,11 +62,47 @@ def path_tokens(tag: str, attrs: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
-def blocks(page: str, marked: bool = False) -> list[tuple]:
-    """(path of token tuples, text, linked letters, marked) of each leaf block.
-    `marked` looks for the training attribute."""
+class Stack:
+    """Open elements. A node (parent, tokens, depth) stands for an element with all
+    above it, so that a path costs the same at any depth."""
+
+    def __init__(self):
+        self.open: list[tuple] = []  # (tag, node, gold)
+        self.count: dict[str, int] = {}
+        self.nodes: list[tuple] = []
+        self.gold = 0
+
+    def push(self, tag: str, tokens: tuple, gold: bool):
+        above = self.open[-1][1] if self.open else -1
+        self.nodes.append((above, tokens, self.nodes[above][2] + 1 if above >= 0 else 1))
+        self.open.append((tag, len(self.nodes) - 1, gold))
+        self.count[tag] = self.count.get(tag, 0) + 1
+        self.gold += gold
+
+    def close(self, tags, fence):
+        """Close up to the innermost element of `tags`, unless one of `fence` is nearer."""
+        if not any(self.count.get(t) for t in tags):
+            return
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] in tags:
+                for tag, _, gold in self.open[i:]:
+                    self.count[tag] -= 1
+                    self.gold -= gold
+                del self.open[i:]
+                return
+            if self.open[i][0] in fence:
+                return
+
+    @property
+    def top(self) -> int:
+        return self.open[-1][1] if self.open else -1
+
+
+def blocks(page: str, marked: bool = False) -> tuple[list[tuple], list[tuple]]:
+    """(node, text, linked letters, marked) of each leaf block, and the nodes (see
+    Stack). `marked` looks for the training attribute."""
     out: list[tuple] = []
-    stack: list[tuple] = []  # (tag, tokens, gold)
+    stack = Stack()
     text: list[str] = []
     linked = 0
     at = 0
@@ -75,19 +112,16 @@ def blocks(page: str, marked: bool = False) -> list[tuple]:
         if text:
             s = SPACE.sub(" ", entities.unescape("".join(text))).strip(" ")
             if s:
-                out.append((tuple(x[1] for x in stack), s, linked, any(x[2] for x in stack)))
+                out.append((stack.top, s, linked, stack.gold > 0))
             text.clear()
         linked = 0
 
-    def close(i):
-        del stack[i:]
-
     while True:
         m = TOKEN.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
         if piece:
             text.append(piece)
-            if any(x[0] == "a" for x in stack):
+            if stack.count.get("a"):
                 linked += len(piece.strip())
         if not m:
             break
@@ -98,12 +132,7 @@ def blocks(page: str, marked: bool = False) -> list[tuple]:
         if m[1]:
             if tag in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if stack[i][0] in FENCE and tag not in BLOCK:
-                    break
+            stack.close((tag,), frozenset() if tag in BLOCK else FENCE)
             continue
         if tag in RAW:
             if tag in BLOCK:
@@ -123,24 +152,13 @@ def blocks(page: str, marked: bool = False) -> list[tuple]:
         if tag in BLOCK:
             flush()
             if tag in CLOSES_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        close(i)
-                        break
-                    if stack[i][0] in FENCE:
-                        break
-            for i in range(len(stack) - 1, -1, -1):
-                if tag in ENDS.get(stack[i][0], ()):
-                    close(i)
-                    break
-                if stack[i][0] in FENCE:
-                    break
+                stack.close(("p",), FENCE)
+            if tag in ENDED:
+                stack.close(ENDED[tag], FENCE)
         if tag not in VOID and not m[3].endswith("/"):
-            stack.append((tag, path_tokens(tag, m[3]), bool(marked and GOLD.search(m[3]))))
-            if len(stack) > 400:
-                del stack[200:300]  # absurd nesting: the middle of the path is dropped, no text
+            stack.push(tag, path_tokens(tag, m[3]), bool(marked and GOLD.search(m[3])))
     flush()
-    return out
+    return out, stack.nodes
 
 
 class Features:
@@ -158,28 +176,42 @@ class Features:
             got = self.memo[(token, salt)] = (h % size, 1.0 if h & 0x80000000 else -1.0)
         return got
 
-    def path(self, path: tuple) -> np.ndarray:
-        got = self.memo.get(path)
+    def tokens(self, tokens: tuple) -> np.ndarray:
+        got = self.memo.get(tokens)
         if got is None:
             got = np.zeros(PATHS, np.float32)
-            for depth, tokens in enumerate(reversed(path)):
-                for t in tokens:
-                    i, sign = self.place(t, PATHS, "p")
-                    got[i] += sign * (1.0 if depth < 3 else 0.7)
-            self.memo[path] = got
+            for t in tokens:
+                i, sign = self.place(t, PATHS, "p")
+                got[i] += sign
+            self.memo[tokens] = got
         return got
 
-    def page(self, found: list[tuple]) -> np.ndarray:
+    def paths(self, nodes: list[tuple], wanted: set) -> dict[int, np.ndarray]:
+        """Path vectors of the wanted nodes: 0.7 of all elements above, and 0.3 more of the inner three."""
+        sums, out = {-1: np.zeros(PATHS, np.float32)}, {-1: np.zeros(PATHS, np.float32)}
+        for n, (above, tokens, _) in enumerate(nodes):
+            sums[n] = sums[above] + np.float32(0.7) * self.tokens(tokens)
+            if n in wanted:
+                inner, up = sums[n].copy(), n
+                for _ in range(3):
+                    if up >= 0:
+                        inner += np.float32(0.3) * self.tokens(nodes[up][1])
+                        up = nodes[up][0]
+                out[n] = inner
+        return out
+
+    def page(self, found: list[tuple], nodes: list[tuple]) -> np.ndarray:
         x = np.zeros((len(found), INPUT), np.float32)
-        for i, (path, text, linked, _) in enumerate(found):
-            x[i, :PATHS] = self.path(path)
+        paths = self.paths(nodes, {f[0] for f in found})
+        for i, (node, text, linked, _) in enumerate(found):
+            x[i, :PATHS] = paths[node]
             words = WORD.findall(text)
-            for w in words[:64]:
+            for w in words:
                 j, sign = self.place(w.lower(), WORDS, "w")
                 x[i, PATHS + j] += sign
-            x[i, PATHS : PATHS + WORDS] /= 4 * np.sqrt(max(1, min(64, len(words))))
+            x[i, PATHS : PATHS + WORDS] /= 4 * np.sqrt(max(1, len(words)))
             n = len(text)
-            x[i, PATHS + WORDS :] = (np.log1p(len(words)) / 4, min(1.0, linked / n), text.count(",") * 8 / (n + 8), text[-1] in ".!?", len(path) / 12, 1.0)
+            x[i, PATHS + WORDS :] = (np.log1p(len(words)) / 4, min(1.0, linked / n), text.count(",") * 8 / (n + 8), text[-1] in ".!?", min(8.0, (nodes[node][2] if node >= 0 else 0) / 12), 1.0)
         return x
 
 
@@ -261,9 +293,9 @@ def train(n_pages: int = 1500, epochs: int = 8, batch: int = 32, rate: float = 0
     """Weights learned with Adam from synthetic pages; the same on each call."""
     feats, data = Features(), []
     for page in html_pages.pages(n_pages, seed):
-        found = blocks(page, marked=True)
+        found, nodes = blocks(page, marked=True)
         if found:
-            data.append((feats.page(found), np.array([b[3] for b in found], np.float32)))
+            data.append((feats.page(found, nodes), np.array([b[3] for b in found], np.float32)))
     p = initial()
     m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     r, step = np.random.default_rng(seed), 0
@@ -327,9 +359,9 @@ def label(p: dict, seqs: list[np.ndarray], cells: int = 4096) -> list[np.ndarray
 
 
 def main_texts(p: dict, feats: Features, pages: list[str | None]) -> list[str]:
-    found = [blocks(h) if h else [] for h in pages]
-    probs = label(p, [feats.page(b) for b in found])
-    return ["\n".join(b[1] for b, q in zip(bs, qs) if q >= 0.5) for bs, qs in zip(found, probs)]
+    found = [blocks(h) if h else ([], []) for h in pages]
+    probs = label(p, [feats.page(*f) for f in found])
+    return ["\n".join(b[1] for b, q in zip(bs, qs) if q >= 0.5) for (bs, _), qs in zip(found, probs)]
 
 
 def text_column(pages: DataFrame, html_col: str = "html", model: dict | None = None) -> Column:
