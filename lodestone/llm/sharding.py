@@ -4,10 +4,12 @@ append() writes arrivals as small immutable shards, one or more Parquet files fo
 each input partition, without a shuffle. compact() puts the manifest's shards into
 tiers of similar size and merges the runs of a tier into files of about the target
 size; shards that already have it are left alone. Each step ends with one new
-manifest version: a table with a row for each shard, published by renaming a small
-pointer file to version-<n>.json, which fails if another writer took that number.
-Readers see the newest version only; a job that dies leaves files that no version
-names, and vacuum() removes those and the ones that compaction replaced.
+manifest version: a table with a row for each shard, published by creating a small
+pointer file version-<n>.json, which fails if another writer took that number.
+Readers see the newest version whose pointer is whole; a job that dies leaves files
+that no version names, and vacuum() removes those and the ones that compaction replaced.
+A compaction takes at most `batch` runs, so the files that one job opens are bounded;
+each run of a job is merged by a task of its own.
 
 Defined results: nulls in any column are stored as they are; a row without text
 counts as a few bytes; repeated rows and ties are kept; an empty table commits an
@@ -17,6 +19,7 @@ empty manifest; extra columns are stored too; columns named like the store's own
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 
@@ -24,6 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import remove, saved, tidy
+
 #: Columns that the store adds to its files.
 BYTES, FILE, RUN = "_lodestone_bytes", "_lodestone_file", "_lodestone_run"
 OWN = {BYTES, FILE, RUN}
@@ -42,13 +47,15 @@ class ShardStore:
 
     target_bytes: uncompressed bytes that merged files aim at; least_bytes: edge
     of the lowest tier; fanout: ratio between tiers; runs: shards of one tier
-    that are needed before it is merged; rows_per_shard: most rows of an arrival."""
+    that are needed before it is merged; rows_per_shard: most rows of an arrival; batch:
+    most runs of one compaction; wide: most shards whose table is broadcast."""
 
-    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 128 << 20, least_bytes: int = 1 << 20, fanout: int = 4, runs: int = 2, rows_per_shard: int = 1_000_000, codec: str = "zstd"):
+    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 128 << 20, least_bytes: int = 1 << 20, fanout: int = 4, runs: int = 2, rows_per_shard: int = 1_000_000, codec: str = "zstd", batch: int = 1024, wide: int = 1_000_000):
         if not 0 < least_bytes <= target_bytes or fanout < 2 or runs < 2:
             raise ValueError("need 0 < least_bytes <= target_bytes, fanout >= 2, runs >= 2")
         self.spark, self.path, self.codec = spark, path.rstrip("/"), codec
         self.target, self.least, self.fanout, self.runs, self.rows = target_bytes, least_bytes, fanout, runs, rows_per_shard
+        self.batch, self.wide = batch, wide
 
     # -- versions -----------------------------------------------------------
     def _jpath(self, name: str = ""):
@@ -63,12 +70,19 @@ class ShardStore:
     def _names(self) -> list[str]:
         return [x.getPath().getName() for x in self._fs().listStatus(self._jpath())]
 
+    def _numbers(self) -> list[int]:
+        return sorted((int(n[8:-5]) for n in self._names() if n.startswith("version-") and n.endswith(".json")), reverse=True)
+
     def version(self) -> int:
-        return max((int(n[8:-5]) for n in self._names() if n.startswith("version-") and n.endswith(".json")), default=0)
+        return next((v for v in self._numbers() if self._pointer(v)), 0)
 
-    def _pointer(self, version: int) -> dict:
-        text = self.spark.read.text(f"{self.path}/version-{version:08d}.json", wholetext=True).first()[0]
-        return json.loads(text)
+    def _pointer(self, version: int) -> dict | None:
+        """The pointer's content; None while its writer is at it, or if that one died."""
+        rows = self.spark.read.text(f"{self.path}/version-{version:08d}.json", wholetext=True).head(1)
+        try:
+            return json.loads(rows[0][0])
+        except (IndexError, ValueError):
+            return None
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """One row per shard: shard (path inside the store), rows, bytes, tier, born."""
@@ -80,15 +94,15 @@ class ShardStore:
     def _commit(self, entries: DataFrame, base: int, schema: str) -> int:
         fs, v = self._fs(), base + 1
         name = f"manifest-{v:08d}-{uuid.uuid4().hex}"
-        entries.coalesce(1).write.parquet(f"{self.path}/{name}")
-        tmp, final = self._jpath(f".{name}.json"), self._jpath(f"version-{v:08d}.json")
-        out = fs.create(tmp, True)
+        with tidy(self.spark):
+            entries.coalesce(1).write.parquet(f"{self.path}/{name}")
+        try:
+            out = fs.create(self._jpath(f"version-{v:08d}.json"), False)
+        except Exception as error:
+            fs.delete(self._jpath(name), True)
+            raise RuntimeError(f"version {v} exists: another writer committed first") from error
         out.write(bytearray(json.dumps({"version": v, "manifest": name, "schema": schema}).encode()))
         out.close()
-        if fs.exists(final) or not fs.rename(tmp, final):
-            fs.delete(tmp, False)
-            fs.delete(self._jpath(name), True)
-            raise RuntimeError(f"version {v} exists: another writer committed first")
         return v
 
     # -- shards ---------------------------------------------------------------
@@ -118,7 +132,8 @@ class ShardStore:
         base = self.version()
         folder = f"arrived-{uuid.uuid4().hex}"
         sized = df.withColumn(BYTES, self._row_bytes(df))
-        sized.write.option("maxRecordsPerFile", self.rows).option("compression", self.codec).parquet(f"{self.path}/{folder}")
+        with tidy(self.spark):
+            sized.write.option("maxRecordsPerFile", self.rows).option("compression", self.codec).parquet(f"{self.path}/{folder}")
         return self._commit(self.manifest(base).unionByName(self._measured(folder, base + 1)), base, df.schema.json())
 
     def plan(self, version: int | None = None) -> DataFrame:
@@ -137,19 +152,23 @@ class ShardStore:
         base = self.version()
         if not base:
             return 0
-        # names of shard files only, as many as there are files to open
-        todo = {r["shard"]: r[RUN] for r in self.plan(base).collect()}
-        if not todo:
+        # the runs of one job: the names of the files that it opens, a bounded number
+        plan = whole = saved(self.plan(base), "shard-plan")
+        names = [r[0] for r in plan.select(RUN).distinct().orderBy(RUN).limit(self.batch).collect()]
+        if not names:
+            remove(plan)
             return base
+        numbers = self.spark.createDataFrame(list(enumerate(names)), f"_n int, {RUN} string")
+        todo = plan.join(F.broadcast(numbers), RUN).select(F.col("shard").alias(FILE), RUN, "_n")
+        files = [r[0] for r in todo.select(FILE).collect()]
         pointer, folder = self._pointer(base), f"merged-{uuid.uuid4().hex}"
         schema = T.StructType.fromJson(json.loads(pointer["schema"])).add(BYTES, T.LongType())
-        rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/{x}" for x in sorted(todo)])
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/{x}" for x in sorted(files)])
         rows = rows.withColumn(FILE, _shard_of_row())
-        plan = self.spark.createDataFrame(sorted(todo.items()), f"{FILE} string, {RUN} string")
-        runs = len(set(todo.values()))
-        # a row for each file to open: small enough to broadcast unless there are very many
-        rows = rows.join(F.broadcast(plan) if len(todo) <= 100_000 else plan, FILE).drop(FILE).repartition(runs, RUN)
-        rows.write.partitionBy(RUN).option("compression", self.codec).parquet(f"{self.path}/{folder}")
+        rows = rows.join(F.broadcast(todo) if len(files) <= self.wide else todo, FILE).drop(FILE).repartitionById(len(names), F.col("_n")).drop("_n")
+        with tidy(self.spark):
+            rows.write.partitionBy(RUN).option("compression", self.codec).parquet(f"{self.path}/{folder}")
+        plan = todo
         entries = self.manifest(base)
         merged = self._measured_runs(folder, base + 1)
         count = lambda df: df.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
@@ -158,20 +177,21 @@ class ShardStore:
             self._fs().delete(self._jpath(folder), True)
             raise RuntimeError(f"merged {got} rows of shards that hold {want}")
         keep = entries.join(plan, F.col("shard") == F.col(FILE), "left_anti")
-        return self._commit(keep.unionByName(merged), base, pointer["schema"])
+        done = self._commit(keep.unionByName(merged), base, pointer["schema"])
+        remove(whole)
+        return done
 
     def _measured_runs(self, folder: str, born: int) -> DataFrame:
         df = self.spark.read.schema(f"{BYTES} long, {RUN} string").parquet(f"{self.path}/{folder}")
         out = df.groupBy(_shard_of_row().alias("shard")).agg(F.count("*").alias("rows"), F.sum(BYTES).alias("bytes"))
         return out.select("shard", "rows", "bytes", self._tier(F.col("bytes")).alias("tier"), F.lit(born).alias("born"))
 
-    def compact_all(self, most: int = 20) -> int:
-        """Compact until no tier has enough runs left."""
-        for _ in range(most):
+    def compact_all(self) -> int:
+        """Compact until no tier has enough runs left; each step leaves fewer shards."""
+        while True:
             before = self.version()
             if self.compact() == before:
-                break
-        return self.version()
+                return before
 
     def read(self, version: int | None = None, with_shard: bool = False) -> DataFrame:
         """The rows of a version; with_shard adds the column FILE."""
@@ -179,13 +199,17 @@ class ShardStore:
         if not v:
             raise ValueError("the store is empty")
         schema = T.StructType.fromJson(json.loads(self._pointer(v)["schema"]))
-        names = sorted(r["shard"] for r in self.manifest(v).select("shard").collect())
-        if not names:
+        entries = self.manifest(v)
+        # folders, one for each arrival or merge; files that the version does not name drop out by the join
+        folders = sorted(r[0] for r in entries.select(F.element_at(F.split("shard", "/"), 1)).distinct().collect())
+        if not folders:
             return self.spark.createDataFrame([], schema if not with_shard else T.StructType([*schema.fields, T.StructField(FILE, T.StringType())]))
-        df = self.spark.read.schema(schema).parquet(*[f"{self.path}/{x}" for x in names])
-        if with_shard:
-            df = df.select("*", _shard_of_row().alias(FILE))
-        return df
+        parts = [self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/{x}").withColumn(FILE, _shard_of_row()) for x in folders]
+        df = functools.reduce(DataFrame.unionByName, parts)
+        named = entries.select(F.col("shard").alias("_named"))
+        few = entries.count() <= self.wide
+        df = df.join(F.broadcast(named) if few else named, F.col(FILE) == F.col("_named"), "left_semi")
+        return df if with_shard else df.drop(FILE)
 
     def vacuum(self) -> int:
         """Delete files and manifests that the newest version does not use; how many folders went."""
@@ -213,4 +237,5 @@ def shard(docs: DataFrame, path: str, **options) -> DataFrame:
     entries = store.manifest(v).select(F.col("shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"))
     # names of the result win over columns of docs that have them
     rows = store.read(v, with_shard=True).drop(*entries.columns, "version")
-    return rows.join(entries, F.col(FILE) == F.col("shard")).drop(FILE).withColumn("version", F.lit(v))
+    few = entries.count() <= store.wide
+    return rows.join(F.broadcast(entries) if few else entries, F.col(FILE) == F.col("shard")).drop(FILE).withColumn("version", F.lit(v))
