@@ -28,7 +28,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _collectors:
+        paths.append(path)
+    return path
+
+
+#: Lists that take the paths of scratch tables as they are made.
+_collectors: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def collected(paths: list[str]):
+    """The paths of tables made inside go to the list, for drop_paths()."""
+    _collectors.append(paths)
+    try:
+        yield
+    finally:
+        _collectors.pop()
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more, and empty the list."""
+    while paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextlib.contextmanager
@@ -61,9 +85,7 @@ def remove(df: DataFrame | None) -> None:
     """Delete a table written by saved()."""
     path = getattr(df, "_lodestone_path", None)
     if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        drop_paths(df.sparkSession, [path])
 
 
 def _slot(key: Column, bits: int) -> Column:

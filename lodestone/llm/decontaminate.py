@@ -210,8 +210,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those that overlap an item."""
-    key = row_key(docs, id_col, text_col)
-    found = overlaps(docs.select(key.alias("doc_id"), docs[text_col].alias("text")), benchmark, **options)
+    """docs without the rows that overlap an item; rows that share an id are judged each."""
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    found = overlaps(docs.select(key.alias("doc_id"), F.col(text_col).alias("text")), benchmark, **options)
     bad = saved(found.select(F.col("doc_id").alias("_bad")).distinct(), "leaks")
     return split_off(docs, key, bad, "_bad")[1]

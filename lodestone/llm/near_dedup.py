@@ -8,11 +8,12 @@
    partner above the match threshold. Of the t others a class keeps its
    t - least + 1 rarest as prefix: two classes with `least` common coordinates
    share a posting of both prefixes.
-3. Posting lists are merged in rounds. A round takes one pivot of each list and
-   pairs the others with it unless both have one label already; the pairs' common
-   coordinates are counted, and only those that reach the match threshold have their
-   full sets fetched and compared, the best pair of each class first. Links give
-   labels, a list with one label is done, and pivots leave their list. What remains
+3. Posting lists are merged in rounds. A round takes as pivot of each list the member
+   whose postings are the longest together, which is the text that a group of copies
+   derives from, and pairs the others with it unless both have one label already; the
+   pairs' common coordinates are counted, and only those that reach the match threshold
+   have their full sets fetched and compared. Links give labels, a list with one label
+   is done, and pivots leave their list. What remains
    after `rounds` is counted block by block, members outside a list's largest label
    against all members; the sets of those that reach the threshold with someone
    of another label are then compared in the same blocks. No step emits the pairs of
@@ -181,7 +182,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = saved(posted.select("tok").groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     seen, hit = maybe(posted, F.col("tok"), marks(shared, "tok", bits), bits)
     lists = seen.where(hit).select("dig", "tok").join(shared, "tok").groupBy("dig").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("t")).where(F.size("t") >= least)
-    lists = lists.select("dig", F.explode(F.slice("t", F.lit(1), F.size("t") - least + 1)).alias("t")).select("dig", F.col("t.tok").alias("tok"))
+    weight = F.aggregate("t", F.lit(0).cast("long"), lambda total, x: total + x["df"])
+    lists = lists.select("dig", weight.alias("weight"), F.explode(F.slice("t", F.lit(1), F.size("t") - least + 1)).alias("t")).select("dig", "weight", F.col("t.tok").alias("tok"))
     lists = saved(lists, "lists", (shared,))
     labels = None
     if lists.head(1):
@@ -221,68 +223,55 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _merge(spark, lists, need, sets, least, rounds, percent, block) -> DataFrame | None:
     """Labels of the classes that have links, from the posting lists."""
-    links, labels = spark.createDataFrame([], "a binary, b binary"), None
-    for r in range(rounds):
-        here = _open(lists, labels)
+    links, labels, here = [], None, saved(lists.withColumn("lab", F.col("dig")), "open")
+    for _ in range(rounds):
         if not here.head(1):
-            lists = None
             break
-        for found in _pivot_round(here, need, sets, least, r, percent):
-            links = saved(links.union(found), "links", (links, found))
-        pivots = _pivots(here, r)
-        lists = saved(here.join(pivots, "tok").where("dig <> p").select("tok", "dig"), "lists", (here, labels))
-        labels = _shortcuts(links)
-    here = _open(lists, labels) if lists is not None else None
-    if here is not None and here.head(1):
-        links = links.union(_block_round(here, need, sets, least, percent, block))
-    out = components(links)
-    for x in (here, lists, labels, links):
+        pivots = here.groupBy("tok").agg(F.max(F.struct("weight", F.col("dig").alias("p"), F.col("lab").alias("pl"))).alias("x")).select("tok", "x.p", "x.pl")
+        pivots = saved(pivots, "pivots")
+        pairs = here.join(pivots, "tok").where("lab <> pl").select(F.col("dig").alias("a"), F.col("p").alias("b")).distinct()
+        links.append(saved(_linked(_counted(pairs, need, least, percent), sets, percent), "found"))
+        old, labels = labels, _shortcuts(_union(spark, links))
+        here, last = _open(here.join(pivots, "tok").where("dig <> p").select("tok", "dig", "weight"), labels), here
+        for x in (old, last, pivots):
+            remove(x)
+    if here.head(1):
+        links.append(_block_round(here, need, sets, least, percent, block))
+    out = components(_union(spark, links))
+    for x in (here, labels, *links):
         remove(x)
     return out
 
 
+def _union(spark, links: list[DataFrame]) -> DataFrame:
+    out = spark.createDataFrame([], "a binary, b binary")
+    for x in links:
+        out = out.union(x)
+    return out
+
+
 def _shortcuts(links: DataFrame) -> DataFrame:
     """(node, label) with equal labels inside a component only: the smallest class
     that a node is linked with as `a`, and that one's own. Enough to skip comparisons;
     components() has the last word."""
-    up = saved(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")), "up")
+    up = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
     over = up.select(F.col("node").alias("label"), F.col("label").alias("top"))
-    return saved(up.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels", (up,))
+    return saved(up.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
 
 
-def _open(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the posting lists that hold more than one label."""
-    if labels is None:
-        return saved(lists.withColumn("lab", F.col("dig")), "open")
-    here = saved(lists.join(labels, F.col("dig") == F.col("node"), "left").select("tok", "dig", F.coalesce("label", "dig").alias("lab")), "labelled")
+    here = saved(lists.join(labels, F.col("dig") == F.col("node"), "left").select("tok", "dig", "weight", F.coalesce("label", "dig").alias("lab")), "labelled")
     mixed = saved(here.groupBy("tok").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo <> hi").select("tok"), "mixed")
     return saved(here.join(mixed, "tok"), "open", (here, mixed))
 
 
-def _pivots(here: DataFrame, r: int) -> DataFrame:
-    """A pivot of each list: the smallest hash of the round."""
-    return here.groupBy("tok").agg(F.min(F.struct(F.xxhash64("dig", F.lit(r)).alias("h"), F.col("dig").alias("p"), F.col("lab").alias("pl"))).alias("x")).select("tok", "x.p", "x.pl")
-
-
-def _pivot_round(here, need, sets, least, r, percent):
-    """Yield the links of the members with the pivots of their lists."""
-    pivots = saved(_pivots(here, r), "pivots")
-    pairs = here.join(pivots, "tok").where("lab <> pl").select(F.col("dig").alias("a"), F.col("p").alias("b")).distinct()
+def _counted(pairs, need, least, percent):
+    """Pairs that share `least` coordinates and have sizes that allow a link."""
     one = need.select(F.col("dig").alias("a"), F.col("sig").alias("x"), F.col("n").alias("nx"))
     two = need.select(F.col("dig").alias("b"), F.col("sig").alias("y"), F.col("n").alias("ny"))
-    counted = pairs.join(one, "a").join(two, "b").where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    counted = counted.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common")).where(F.col("common") >= least)
-    counted = saved(counted, "counted", (pivots,))
-    best = counted.groupBy("a").agg(F.max(F.struct("common", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
-    best = saved(best, "best")
-    found = saved(_linked(best, sets, percent), "found")
-    labels = _shortcuts(found)
-    yield found
-    # the others, where the best pairs leave two labels
-    lab = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
-    rest = counted.select("a", "b").join(best, ["a", "b"], "left_anti").join(lab("a"), "a", "left").join(lab("b"), "b", "left")
-    rest = rest.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    yield saved(_linked(rest, sets, percent), "found", (counted, best, labels))
+    both = pairs.join(one, "a").join(two, "b").where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    return both.where(F.size(F.array_intersect("x", "y")) >= least).select("a", "b")
 
 
 def _linked(pairs, sets, percent):

@@ -307,6 +307,7 @@ def test_compaction_keeps_rows_or_fails(spark, corpus, monkeypatch):
     monkeypatch.setattr(sharding, "_shard_of_row", lambda: F.lit("elsewhere"))
     with pytest.raises(RuntimeError):
         store.compact()
+    monkeypatch.undo()
     assert store.version() == 1 and store.read().count() == len(corpus)
 
 
@@ -362,16 +363,15 @@ def test_overlaps_of_short_items(spark):
 
 
 def brute_overlap(text, item, least=13, share=0.8):
+    """Whether a best run (+1 for an equal word, -2 for another) of some diagonal is an overlap."""
     a, b = re.findall(r"[a-z0-9]+", text.lower()), re.findall(r"[a-z0-9]+", item.lower())
     for diag in range(-len(b) + 1, len(a)):
         lo, hi = max(0, -diag), min(len(b), len(a) - diag)
         equal = [a[diag + j] == b[j] for j in range(lo, hi)]
-        for i in range(len(equal)):
-            total = 0
-            for j in range(i, len(equal)):
-                total += 1 if equal[j] else -2
-                if j - i + 1 >= least and sum(equal[i : j + 1]) >= share * (j - i + 1) and total >= 11:
-                    return True
+        runs = [(sum(1 if x else -2 for x in equal[i:j]), i, j) for i in range(len(equal)) for j in range(i + least, len(equal) + 1)]
+        best = max((r[0] for r in runs), default=0)
+        if best > 0 and any(sum(equal[i:j]) >= share * (j - i) for t, i, j in runs if t == best):
+            return True
     return False
 
 
@@ -388,7 +388,7 @@ def test_overlaps_under_substitution(spark):
         rows.append((i, f"{sentence(r, 9)} {' '.join(words)}", None, None))
     want = {(i, k) for i, t, *_ in rows for k, item in items if brute_overlap(t, item)}
     got = {(x["doc_id"], x["item_id"]) for x in decontaminate.overlaps(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert len(want & got) >= 0.95 * len(want) and len(want) > 100 and len(got - want) <= 0.02 * len(want)
+    assert len(want & got) >= 0.95 * len(want) and len(want) > 100 and got <= want
 
 
 # -- secrets --------------------------------------------------------------------
