@@ -109,7 +109,7 @@ def maybe(df: DataFrame, key: Column, marked: DataFrame, bits: int = 24) -> tupl
     return out.withColumn("_at", slot).withColumn("_maybe", F.coalesce(bit, F.lit(0)) == 1).drop("_word", "_bits", "_at"), F.col("_maybe")
 
 
-def split_off(df: DataFrame, key: Column, keys: DataFrame, col: str, bits: int = 24) -> tuple[DataFrame, DataFrame]:
+def split_off(df: DataFrame, key: Column, keys: DataFrame, col: str, bits: int = 22) -> tuple[DataFrame, DataFrame]:
     """(rows whose key is among `keys`, all others). Rows that a bitmap rules out are
     passed on as they are; only the rest are joined. Null keys are among the others.
     A full bitmap rules nothing out: then all rows are joined, with the same result."""

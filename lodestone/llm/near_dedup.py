@@ -45,7 +45,7 @@ from . import textcore as tc
 from .common import marks, maybe, remove, row_key, saved, slices, split_off
 from .components import components
 
-COORDS, LEAST, ROUNDS, BLOCK, BITS = 48, 22, 2, 256, 26
+COORDS, LEAST, ROUNDS, BLOCK, BITS = 48, 22, 2, 256, 24
 FEATURES = "key long, doc_id long, n long, dig binary, sig array<long>"
 
 

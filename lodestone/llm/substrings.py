@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import textcore as tc
 from .common import marks, maybe, remove, saved, slices, split_off
 
-MEAN, PICK, LEAST_WORDS, REACH, BITS = 16, 3, 50, 256, 26
+MEAN, PICK, LEAST_WORDS, REACH, BITS = 16, 3, 50, 256, 24
 #: Stands for the id of rows without one.
 NO_ID = (1 << 63) - 1
 CHUNKS = "digest long, doc_id long, start int, size int"

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from . import textcore as tc
 from .common import saved, slices
 
-EXAMPLES, CELLS, GAIN, NEIGHBOURS, SOFTEN, BLOCK, BATCH = 6000, 4_000_000, 30.0, 25, 0.05, 32, 128
+EXAMPLES, CELLS, GAIN, NEIGHBOURS, SOFTEN, BLOCK, BATCH = 4000, 2_000_000, 30.0, 25, 0.05, 32, 128
 OUT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("toxic", T.IntegerType())])))])
 
 
