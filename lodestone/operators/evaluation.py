@@ -79,3 +79,26 @@ def newest_runs(runs: DataFrame) -> DataFrame:
 def predictions(runs: DataFrame) -> DataFrame:
     """runs(pipeline, records array<struct>) -> one flat row per question."""
     return runs.select("pipeline", F.explode("records").alias("r")).select("pipeline", "r.*")
+
+
+def llm_totals(calls: DataFrame, *keys: str) -> DataFrame:
+    """calls(input_tokens, output_tokens, ms) -> per key: calls, tokens and latency."""
+    return calls.groupBy(*keys).agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"), F.round(F.sum("ms"), 2).cast("double").alias("latency_total_ms"))
+
+
+def agent_summary(results: DataFrame) -> DataFrame:
+    """investigate.assemble() rows -> one row: questions, steps a question, share of those
+    that changed their strategy, tokens a step."""
+    return results.agg(F.count("*").alias("n"), F.round(F.avg("steps"), 2).alias("avg_steps"), F.round(F.avg(F.col("strategy_changed").cast("int")), 4).alias("strategy_change_rate"), F.round(F.sum("tokens") / F.sum("steps"), 2).alias("tokens_per_op"))
+
+
+def time_per_tool(trace: DataFrame) -> DataFrame:
+    """trace(qid, tool, ms, tokens) -> per question and tool: calls, time and tokens a call."""
+    return trace.groupBy("qid", "tool").agg(F.count("*").alias("calls"), F.sum("ms").cast("double").alias("ms"), F.round(F.sum("tokens") / F.count("*"), 2).alias("tokens_per_op"))
+
+
+def question_types(records: DataFrame, questions: DataFrame) -> DataFrame:
+    """records(qid, qtype?) with the type of their question, their own where there is none,
+    else 'unknown'."""
+    known = questions.select("qid", F.col("qtype").alias("_asked")).dropDuplicates(["qid"])
+    return records.join(known, "qid", "left").withColumn("qtype", F.coalesce("_asked", "qtype", F.lit("unknown"))).drop("_asked")

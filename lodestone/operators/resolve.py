@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import context as cx
 from lodestone.functions import text as tx
+from lodestone.sources.shared import shared_copy
 
 # The ontology (fixed values).
 ENTITY_TYPES = ("Person", "Company", "Organization", "Team", "Country", "Location", "Venue", "Sport", "Outcome", "Entity")
@@ -106,8 +107,8 @@ def grounding(vertices: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def resolve(records: DataFrame) -> Graph:
-    ents, evs = entities(records), raw_events(records)
-    vertices, events, aliases = entity_merge(ents), event_merge(evs), alias_map(ents)
+    ents, evs = shared_copy(entities(records), "entities"), shared_copy(raw_events(records), "events")
+    vertices, events, aliases = shared_copy(entity_merge(ents), "vertices"), shared_copy(event_merge(evs), "merged-events"), alias_map(ents)
     return Graph(vertices, events, relation_edges(evs, aliases).unionByName(grounding(vertices, events)), aliases)
 
 
@@ -141,14 +142,34 @@ def validate(records: DataFrame) -> DataFrame:
     return rows.select("chunk_id", F.size("ents").cast("long").alias("n_entities"), F.size("evs").cast("long").alias("n_events"), stay.cast("long").alias("n_relations"), ((F.col("n0") - F.size("ents")) + (F.col("v0") - F.size("evs")) + there - stay).cast("long").alias("dropped"))
 
 
-def context_index(events: DataFrame) -> DataFrame:
-    """events(vid, context) -> key, display, vertex_ids. Games keys are shown as
-    '<year> olympics'; where one year has both seasons, each season has a key."""
+def context_members(events: DataFrame) -> DataFrame:
+    """events(vid, context) -> key, display, vid: the events of each context key, a row
+    each. Games keys are shown as '<year> olympics'; where one year has both seasons, each
+    season has a key too."""
     rows = events.where("context is not null").select("vid", F.col("context.root_context").alias("root"), F.explode("context.context_keys").alias("key"))
-    plain = rows.groupBy("key").agg(F.sort_array(F.collect_set("vid")).alias("vertex_ids"))
     year = F.regexp_replace("key", "^[^:]*:", "")
-    plain = plain.select("key", F.when(F.startswith("key", F.lit("olympics:")), F.concat(year, F.lit(" olympics"))).otherwise(cx.key_display(F.col("key"))).alias("display"), "vertex_ids")
+    display = F.when(F.startswith("key", F.lit("olympics:")), F.concat(year, F.lit(" olympics"))).otherwise(cx.key_display(F.col("key")))
+    plain = rows.select("key", display.alias("display"), "vid").distinct()
     games = rows.where(F.startswith("key", F.lit("olympics:"))).withColumn("season", cx.season_of(F.col("root"))).where("season <> ''")
-    both = games.groupBy("key").agg(F.count_distinct("season").alias("n")).where("n > 1").select("key")
-    sub = games.join(both, "key").groupBy("key", "season").agg(F.max("root").alias("root"), F.sort_array(F.collect_set("vid")).alias("vertex_ids"))
-    return plain.unionByName(sub.select(F.concat_ws("_", "key", "season").alias("key"), F.lower("root").alias("display"), "vertex_ids"))
+    both = games.groupBy("key").agg(F.min("season").alias("lo"), F.max("season").alias("hi"), F.max("root").alias("top")).where("lo <> hi").select("key")
+    roots = games.join(both, "key").groupBy("key", "season").agg(F.lower(F.max("root")).alias("display"))
+    sub = games.join(roots, ["key", "season"]).select(F.concat_ws("_", "key", "season").alias("key"), "display", "vid").distinct()
+    return plain.unionByName(sub)
+
+
+def context_index(events: DataFrame) -> DataFrame:
+    """context_members() as one row for each key, for export: key, display, vertex_ids."""
+    return context_members(events).groupBy("key", "display").agg(F.sort_array(F.collect_set("vid")).alias("vertex_ids"))
+
+
+def entity_index(vertices: DataFrame, embed=None) -> DataFrame:
+    """vertices(vtype, vid, name) -> idx, vtype, vid, name, norm [, embedding]: chunks and
+    nameless vertices aside, numbered by type and id. embed(norm) adds vectors."""
+    rows = vertices.where("vtype <> 'Chunk'").withColumn("norm", tx.normalize_name(F.col("name"))).where("norm <> ''")
+    # numbers that grow with (vtype, vid): a range sort, then a place inside its part
+    parts = shared_copy(rows.repartitionByRange("vtype", "vid").sortWithinPartitions("vtype", "vid").withColumn("_part", F.spark_partition_id()), "catalog")
+    lead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(lead), F.lit(0)).alias("_lead"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("vtype", "vid"))
+    out = parts.join(sizes, "_part").select((F.col("_lead") + rank - 1).alias("idx"), "vtype", "vid", "name", "norm")
+    return out if embed is None else out.withColumn("embedding", embed(F.col("norm")))

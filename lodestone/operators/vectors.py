@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.functions.text import tokens
+
 TOP = 20
 #: A block of query vectors that one broadcast may hold (rows).
 QUERY_BLOCK = 4096
@@ -97,8 +99,21 @@ def _best(shared, k, names):
     return run
 
 
+def hash_vectors(docs: DataFrame, id_col: str, text: Column, dim: int = 64) -> DataFrame:
+    """id, embedding: counts of hashed tokens with signs, the offline embedder. One
+    aggregate and no Python; a text without tokens has the zero vector."""
+    digit = lambda h, i: F.instr(F.lit("0123456789abcdef"), F.substring(h, i, 1)) - 1
+    toks = docs.select(F.col(id_col).alias("id"), F.explode(F.concat(F.array(F.lit("")), tokens(text))).alias("tok"))
+    h = F.md5(F.col("tok").cast("binary"))
+    coded = toks.select("id", F.when(F.col("tok") != "", ((digit(h, 1) * 16 + digit(h, 2)) * 16 + digit(h, 3)) * 16 + digit(h, 4)).alias("h"))
+    slot, sign = F.col("h") % dim, F.when(F.floor(F.col("h") / dim) % 2 == 0, 1).otherwise(-1)
+    parts = [F.coalesce(F.sum(F.when(slot == i, sign)), F.lit(0)).cast("double") for i in range(dim)]
+    return coded.groupBy("id").agg(F.array(*parts).alias("embedding"))
+
+
 def hash_embedder(dim: int = 64):
-    """text -> unit vector of hashed words: the offline embedder. Empty text raises."""
+    """text -> unit vector of hashed words, as a pandas UDF: the seam for models that
+    Spark cannot run. Empty text raises."""
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:

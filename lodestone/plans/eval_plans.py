@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators import evaluation, ingest, investigate
-from lodestone.sources import tables
 
 from . import fixtures as fx
 from . import sql
@@ -119,8 +118,10 @@ def slot_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = _table(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
-    rows = l.select((F.col("l_orderkey") % 200).alias("qid"), (F.col("l_partkey") % 30).cast("string").alias("chunk_id"), (F.col("l_suppkey") % 6).alias("support"), (F.col("l_quantity") % 10).alias("rerank_score"), F.when(F.col("l_suppkey") % 3 == 0, "graph").otherwise("dense").alias("source"), F.repeat(F.col("l_returnflag"), F.lit(1500)).alias("text"), F.struct("l_orderkey", "l_linenumber").alias("ord"))
+    every = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    copy = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*every))
+    l = _table(spark, sf_dir, "lineitem").withColumn("copy", copy)
+    rows = l.select((F.col("l_orderkey") % 200).alias("qid"), (F.col("l_partkey") % 30).cast("string").alias("chunk_id"), (F.col("l_suppkey") % 6).alias("support"), (F.col("l_quantity") % 10).alias("rerank_score"), F.when(F.col("l_suppkey") % 3 == 0, "graph").otherwise("dense").alias("source"), F.repeat(F.col("l_returnflag"), F.lit(1500)).alias("text"), F.struct("l_orderkey", "l_linenumber", "copy").alias("ord"))
     out = investigate.build_context(rows)
     return out.select("qid", "chunk_id", "support", "source", "rerank_score", F.length("text").cast("long").alias("chars"), F.col("position").cast("long").alias("position"), "duplicates")
 
@@ -144,24 +145,7 @@ def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return investigate.prompt_blocks(c)
 
 
-def agent_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The loop over the regions: every question proposes scopes, then vectors."""
-    q = _table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("qid"), F.array(F.lit("a"), F.lit("b")).alias("candidates"))
-    folder = tables.shared_folder(spark)
-
-    def propose(state):
-        proposal = F.when(F.col("step") < F.col("qid"), F.lit("GRAPH_SCOPE")).when(F.col("step") < 4, F.lit("VECTOR_SEARCH")).otherwise(F.lit("STOP"))
-        return state.withColumn("proposal", proposal).withColumn("reason", F.lit("all_slots_supported")).withColumn("target", F.lit("a"))
-
-    def tool(state):
-        return state.select("qid", F.concat_ws("_", "action", "step").alias("chunk_id"), F.col("target_context").alias("event_id"), F.lit("t").alias("text"), F.lit(1).cast("long").alias("support"), F.lit(0.5).alias("rerank_score"), F.lit("graph").alias("source"))
-
-    tools = {a: tool for a in investigate.CAPS}
-    state, _ = investigate.run(q, propose, tools, lambda df, name: tables.shared_copy(df, folder, name))
-    return state.select("qid", "step", "graph_calls", "scope_calls", "vector_calls", "community_calls", "action", "reason_code")
-
-
-QUERIES = {f.__name__: f for f in (answer_match, gold_coverage, eval_summary, class_rollup, qtype_pivot, latency_split, metrics_summary, metrics_contract, newest_run, resume_checkpoint, upsert_latest, prediction_export, supervisor_policy, evidence_stats, slot_status, context_builder, result_assembly, citation_remap, prompt_assembly, agent_loop)}
+QUERIES = {f.__name__: f for f in (answer_match, gold_coverage, eval_summary, class_rollup, qtype_pivot, latency_split, metrics_summary, metrics_contract, newest_run, resume_checkpoint, upsert_latest, prediction_export, supervisor_policy, evidence_stats, slot_status, context_builder, result_assembly, citation_remap, prompt_assembly)}
 
 _REC = f"rec AS (SELECT qid, qtype, pipeline, hit AS answer_match, err AS error, event_id % 1000 AS tokens, ms FROM ({fx.duck(fx.RECORDS)}))"
 _N = [*evaluation.CORE_METRICS, "steps"]
@@ -199,8 +183,8 @@ SQL = {
       p AS (SELECT qid, step, rows, coalesce(nc, 0) AS nc, coalesce(ne, 0) AS ne FROM n LEFT JOIN (SELECT qid, step, count(*) AS nc FROM f GROUP BY 1, 2) USING (qid, step) LEFT JOIN (SELECT qid, step, count(*) AS ne FROM h GROUP BY 1, 2) USING (qid, step))
       SELECT qid, step, sum(rows) OVER w::BIGINT AS total_chunks, sum(nc) OVER w::BIGINT AS distinct_chunks, sum(ne) OVER w::BIGINT AS distinct_events, nc::BIGINT AS new_chunks, CASE WHEN nc >= 3 THEN 'increasing' WHEN nc >= 1 THEN 'flat' ELSE 'diminishing' END AS gain FROM p WINDOW w AS (PARTITION BY qid ORDER BY step ROWS UNBOUNDED PRECEDING)""",
     "slot_status": "WITH q AS (SELECT DISTINCT conv_id FROM conversations), s AS (SELECT conv_id, unnest(['user', 'assistant', 'system']) AS slot FROM q), v AS (SELECT conv_id, role AS slot, arg_max(CASE WHEN turn % 2 = 0 THEN 'supported' ELSE 'partial' END, turn) AS status FROM conversations GROUP BY 1, 2) SELECT conv_id AS qid, slot, coalesce(status, 'missing') AS status FROM s LEFT JOIN v USING (conv_id, slot)",
-    "context_builder": """WITH l AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber),
-      r AS (SELECT l_orderkey % 200 AS qid, CAST(l_partkey % 30 AS VARCHAR) AS chunk_id, l_suppkey % 6 AS support, l_quantity % 10 AS rs, CASE WHEN l_suppkey % 3 = 0 THEN 'graph' ELSE 'dense' END AS source, (l_orderkey, l_linenumber) AS o FROM l),
+    "context_builder": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS copy FROM lineitem),
+      r AS (SELECT l_orderkey % 200 AS qid, CAST(l_partkey % 30 AS VARCHAR) AS chunk_id, l_suppkey % 6 AS support, l_quantity % 10 AS rs, CASE WHEN l_suppkey % 3 = 0 THEN 'graph' ELSE 'dense' END AS source, (l_orderkey, l_linenumber, copy) AS o FROM l),
       m AS (SELECT qid, chunk_id, max(support) AS support, CASE WHEN bool_or(source = 'graph') THEN 'graph' ELSE 'dense' END AS source, arg_min(rs, o) AS rerank_score, count(*) AS hits, min(o) AS o FROM r GROUP BY 1, 2),
       p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY support DESC, rerank_score DESC, o) AS position, sum(hits - 1) OVER (PARTITION BY qid)::BIGINT AS duplicates FROM m)
       SELECT qid, chunk_id, support, source, rerank_score, 1402::BIGINT AS chars, position, duplicates FROM p WHERE position <= 8""",

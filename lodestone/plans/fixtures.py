@@ -23,8 +23,8 @@ SELECT DISTINCT 'INITIATED_BY' AS etype, 'ActionEvent' AS from_type, CAST(o_orde
 UNION ALL SELECT DISTINCT 'TOOK_PLACE_AT', 'ActionEvent', CAST(o_orderkey AS S), 'Country', n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 UNION ALL SELECT DISTINCT 'AFFECTED', 'ActionEvent', CAST(l_orderkey AS S), 'Company', CAST(l_suppkey AS S) FROM lineitem
 UNION ALL SELECT DISTINCT 'RESULTED_IN', 'ActionEvent', CAST(o_orderkey AS S), 'Outcome', o_orderstatus FROM orders
-UNION ALL SELECT DISTINCT 'MENTIONED_IN', 'ActionEvent', CAST(l_orderkey AS S), 'Chunk', concat(CAST(l_orderkey % 500 AS S), '_chunk_', CAST(l_linenumber - 1 AS S)) FROM lineitem
-UNION ALL SELECT DISTINCT 'MENTIONED_IN', 'Person', CAST(o_custkey AS S), 'Chunk', concat(CAST(o_orderkey % 500 AS S), '_chunk_0') FROM orders
+UNION ALL SELECT DISTINCT 'MENTIONED_IN', 'ActionEvent', CAST(l_orderkey AS S), 'Chunk', concat(CAST(l_orderkey % (SELECT count(*) FROM documents) AS S), '_chunk_', CAST(l_linenumber - 1 AS S)) FROM lineitem
+UNION ALL SELECT DISTINCT 'MENTIONED_IN', 'Person', CAST(o_custkey AS S), 'Chunk', concat(CAST(o_orderkey % (SELECT count(*) FROM documents) AS S), '_chunk_0') FROM orders
 """
 
 #: Searches start from every customer whose key is divisible by 100.
@@ -44,9 +44,11 @@ UNION ALL SELECT r_regionkey, CASE r_regionkey WHEN 0 THEN 'sport:building' WHEN
 UNION ALL SELECT r_regionkey, CASE r_regionkey % 2 WHEN 0 THEN 'event:1-urgent' ELSE 'event:5-low' END FROM region
 """
 
-#: Extraction records, a row per item: a line is an entity pair and an event.
+#: Extraction records, a row per item: a line is an entity pair and an event. Line numbers
+#: repeat inside an order, so items are numbered by all columns.
 ITEMS = """
-SELECT l_orderkey AS ord, l_linenumber AS item, concat(CAST(l_orderkey % 500 AS S), '_chunk_', CAST(l_linenumber - 1 AS S)) AS chunk_id,
+SELECT l_orderkey AS ord, l_linenumber * 1000000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS item,
+  concat(CAST(l_orderkey % (SELECT count(*) FROM documents) AS S), '_chunk_', CAST(l_linenumber - 1 AS S)) AS chunk_id,
   concat(CASE l_partkey % 3 WHEN 0 THEN 'The ' WHEN 1 THEN 'the ' ELSE '' END, 'Part ', CAST(l_partkey % 97 AS S), CASE l_suppkey % 2 WHEN 0 THEN '.' ELSE '' END) AS name,
   CASE l_suppkey % 4 WHEN 0 THEN 'Person' WHEN 1 THEN 'Company' WHEN 2 THEN 'Venue' ELSE 'Gadget' END AS vtype,
   CASE WHEN l_partkey % 5 = 0 THEN '' ELSE concat('about ', CAST(l_partkey AS S)) END AS description,

@@ -15,7 +15,7 @@ from . import sql, text_plans
 
 def _records(spark, sf_dir):
     """One record per chunk: its items as entities and as events."""
-    items = fx.view(spark, sf_dir, fx.ITEMS, "lineitem").dropDuplicates(["ord", "item"])
+    items = fx.view(spark, sf_dir, fx.ITEMS, "lineitem", "documents")
     entity = F.struct("name", F.col("vtype").alias("type"), "description")
     targets = F.array("name", F.lit("nobody"))
     event = F.struct(F.concat(F.lit("Deal "), (F.col("ord") % 1000).cast("string")).alias("name"), F.col("l_returnflag").alias("action_type"), "description", F.lit("").alias("impact_summary"), targets.alias("initiated_by"), F.array("name").alias("took_place_at"), F.array().cast("array<string>").alias("affected"), F.array().cast("array<string>").alias("resulted_in"))
@@ -98,19 +98,19 @@ def match_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("qid").cast("long").alias("qid"), "vid", F.round("score", 6).alias("score"))
 
 
-def _matches(spark, sf_dir):
+def _members(spark, sf_dir):
+    """A row for each event of the keys that the regions ask for."""
     keys = fx.view(spark, sf_dir, fx.KEYS, "orders", "customer")
-    members = keys.groupBy("ckey").agg(F.collect_list("vid").alias("vertex_ids"))
-    return fx.view(spark, sf_dir, fx.ASKED, "region").join(members, "ckey").select("qid", F.col("ckey").alias("key"), F.col("ckey").alias("display"), "vertex_ids")
+    return fx.view(spark, sf_dir, fx.ASKED, "region").join(keys, "ckey").select("qid", F.col("ckey").alias("key"), F.col("ckey").alias("display"), "vid")
 
 
 def scope_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = graph.roots(_matches(spark, sf_dir))
+    rows = graph.roots(_members(spark, sf_dir))
     return rows.select("qid", "key", "level", F.col("specificity").cast("long").alias("specificity"), "n_events", F.col("root_rank").cast("long").alias("root_rank"))
 
 
 def _edges(spark, sf_dir):
-    return fx.view(spark, sf_dir, fx.EDGES, "orders", "customer", "nation", "lineitem")
+    return fx.view(spark, sf_dir, fx.EDGES, "orders", "customer", "nation", "lineitem", "documents")
 
 
 def _seeds(spark, sf_dir):
@@ -118,7 +118,7 @@ def _seeds(spark, sf_dir):
 
 
 def _flat(rows):
-    lists = [F.array_join(c, "|").alias(c) for c in ("event_ids",)]
+    lists = [F.array_join(c, "|").alias(c) for c in ("via", "event_ids", "context_keys") if c in rows.columns]
     return rows.select("qid", "chunk_id", F.col("support").cast("long").alias("support"), *lists)
 
 
@@ -131,11 +131,13 @@ def traverse_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scope(spark, sf_dir):
-    return graph.traverse_scope(graph.candidate_events(graph.roots(_matches(spark, sf_dir))), _edges(spark, sf_dir))
+    members = _members(spark, sf_dir)
+    return graph.traverse_scope(graph.candidate_events(graph.roots(members), members), _edges(spark, sf_dir))
 
 
 def candidate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = graph.candidate_events(graph.roots(_matches(spark, sf_dir)))
+    members = _members(spark, sf_dir)
+    rows = graph.candidate_events(graph.roots(members), members)
     return rows.select("qid", "eid", F.col("event_ord").cast("long").alias("event_ord"), F.array_join("keys", "|").alias("context_keys"))
 
 
@@ -163,7 +165,7 @@ def _asked(spark, sf_dir):
 
 def _chunk_texts(spark, sf_dir):
     """Documents as the chunks that the graph's edges name."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 500")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.concat_ws("_chunk_", F.col("doc_id").cast("string"), i.cast("string")))).alias("chunk_id"), "text")
 
 
@@ -183,14 +185,15 @@ def coverage_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rank_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With dense hits that take chunk 0 of the documents from the question's id on."""
-    dense = _asked(spark, sf_dir).select("qid", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")).select("qid", F.concat(((F.col("qid") + F.col("k")) % 500).cast("string"), F.lit("_chunk_0")).alias("chunk_id"), (F.col("k") + 1).cast("int").alias("rank"))
+    n = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.count("*").alias("n"))
+    dense = _asked(spark, sf_dir).select("qid", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")).join(F.broadcast(n)).select("qid", F.concat(((F.col("qid") + F.col("k")) % F.col("n")).cast("string"), F.lit("_chunk_0")).alias("chunk_id"), (F.col("k") + 1).cast("int").alias("rank"))
     rows = ranking.rank_chunks(_found(spark, sf_dir), _chunk_texts(spark, sf_dir), _asked(spark, sf_dir), dense)
     return rows.select("qid", "chunk_id", "source", F.col("position").cast("long").alias("position"))
 
 
 QUERIES = {f.__name__: f for f in (ontology_validate, entity_merge, alias_map, event_merge, edges_build, graph_counts, merge_context, context_index, context_match_exact, match_entities_exact, match_fuzzy, scope_resolve, candidate_events, traverse_local, traverse_distinct, traverse_scope, merge_traversals, relationship_paths, rank_composite, coverage_verdict, rank_final)}
 
-_ITEMS = f"items AS (SELECT DISTINCT ON (ord, item) * FROM ({fx.duck(fx.ITEMS)}) ORDER BY ord, item)"
+_ITEMS = f"items AS ({fx.duck(fx.ITEMS)})"
 _ENTS = f"{_ITEMS}, ents AS (SELECT *, {sql.name('name')} AS vid FROM items WHERE vtype <> 'Gadget')"
 _EVS = f"evs AS (SELECT *, concat('deal ', ord % 1000) AS vid, concat('Deal ', ord % 1000) AS ename FROM items)"
 _ALIAS = "al AS (SELECT name, arg_min(vtype, (ord, item)) AS vtype, arg_min(vid, (ord, item)) AS vid FROM ents GROUP BY 1)"
@@ -202,17 +205,20 @@ direct AS (SELECT * FROM (SELECT qid, vtype, vid, chunk_id, row_number() OVER (P
 near AS (SELECT DISTINCT qid, s.vid, from_id AS eid FROM seeds s JOIN e ON etype <> 'MENTIONED_IN' AND to_type = vtype AND to_id = s.vid),
 med AS (SELECT qid, near.vid, eid, chunk_id FROM near JOIN men ON men.vtype = 'ActionEvent' AND men.vid = eid),
 hit AS (SELECT qid, chunk_id, vid, NULL AS eid FROM direct UNION ALL SELECT qid, chunk_id, vid, eid FROM med)"""
-_ROOTS = f"""k AS ({fx.duck(fx.KEYS)}), asked AS ({fx.duck(fx.ASKED)}),
+_VIA = "array_to_string(list_sort(list(DISTINCT CASE WHEN eid IS NULL THEN concat('direct:', vid) ELSE concat('event:', left(eid, 48)) END)), '|') AS via"
+_ROOTS_OF = """k AS ({keys}), asked AS ({asked}),
 m AS (SELECT qid, ckey AS key, vid FROM asked JOIN k USING (ckey)),
 r0 AS (SELECT qid, key, list_sort(list(DISTINCT vid)) AS vids, count(DISTINCT vid) AS n_events, CASE split_part(key, ':', 1) WHEN 'event' THEN 4 WHEN 'sport' THEN 3 WHEN 'olympics' THEN 2 ELSE 1 END AS specificity FROM m GROUP BY 1, 2),
 roots AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY specificity DESC, n_events DESC, key) AS root_rank FROM r0) WHERE root_rank <= 4),
 cand0 AS (SELECT qid, root_rank, key, unnest(vids[1:40]) AS eid, unnest(range(1, least(40, len(vids)) + 1)) AS pos FROM roots),
 cand AS (SELECT qid, eid, array_to_string(list(key ORDER BY root_rank), '|') AS context_keys, row_number() OVER (PARTITION BY qid ORDER BY min((root_rank, pos))) AS event_ord FROM cand0 GROUP BY 1, 2)"""
+_ROOTS = _ROOTS_OF.format(keys=fx.duck(fx.KEYS), asked=fx.duck(fx.ASKED))
 _SCOPE = f"""{_ROOTS}, {_EDGES}, pr AS (SELECT * FROM (SELECT qid, eid, event_ord, to_id AS chunk_id, row_number() OVER (PARTITION BY qid, eid ORDER BY {_ORD.replace('chunk_id', 'to_id')}) AS k FROM cand JOIN e ON etype = 'MENTIONED_IN' AND from_type = 'ActionEvent' AND from_id = eid) WHERE k <= 2),
 fr AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY qid, chunk_id ORDER BY event_ord, k) = 1 THEN 1 ELSE 0 END AS fresh FROM pr),
 kept AS (SELECT * FROM (SELECT *, coalesce(sum(fresh) OVER (PARTITION BY qid ORDER BY event_ord, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM fr) WHERE before < 90)"""
+_KEYS_OF = """keys_of AS (SELECT qid, chunk_id, string_agg(key, '|' ORDER BY o) AS context_keys FROM (SELECT kept.qid, chunk_id, key, min(event_ord * 100 + root_rank) AS o FROM kept JOIN cand0 USING (qid, eid) GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
 _SCORED = f"""{_LOCAL}, found AS (SELECT qid, chunk_id, count(*) AS support, min(eid) AS tag FROM hit GROUP BY 1, 2),
-tx AS (SELECT concat(doc_id, '_chunk_', i) AS chunk_id, len(list_intersect(['the', 'of', 'and', 'is'], {sql.tokens('text')})) AS nboth FROM documents, (SELECT unnest(range(7)) AS i) WHERE doc_id < 500),
+tx AS (SELECT concat(doc_id, '_chunk_', i) AS chunk_id, len(list_intersect(['the', 'of', 'and', 'is'], {sql.tokens('text')})) AS nboth FROM documents, (SELECT unnest(range(7)) AS i)),
 x AS (SELECT *, 1 / (1 + exp(-(8.0::DOUBLE * nboth / 4 - 4))) AS s, row_number() OVER (PARTITION BY qid ORDER BY support DESC, chunk_id) AS pos FROM found JOIN tx USING (chunk_id)),
 y AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, pos) AS rerank, round(0.6::DOUBLE * s + 0.25::DOUBLE * least(support, 5) / 5.0::DOUBLE + CASE WHEN support > 1 THEN 0.15::DOUBLE ELSE 0 END, 4) AS fs FROM x),
 z AS (SELECT *, CASE WHEN tag IS NULL THEN false ELSE row_number() OVER (PARTITION BY qid, tag ORDER BY fs DESC, rerank) > CASE WHEN qid % 200 = 0 THEN 2 ELSE 3 END END AS sunk FROM y),
@@ -251,11 +257,15 @@ SQL = {
       SELECT p.p_partkey AS qid, v.p_type AS vtype, CAST(top AS VARCHAR) AS vid, concat('The ', v.p_name) AS name FROM part p JOIN b ON {sql.name('p.p_name')} = norm JOIN part v ON v.p_partkey = top""",
     "scope_resolve": f"WITH {_ROOTS} SELECT qid, key, CASE specificity WHEN 4 THEN 'event' WHEN 3 THEN 'sport' ELSE 'edition' END AS level, specificity::BIGINT AS specificity, n_events, root_rank FROM roots",
     "candidate_events": f"WITH {_ROOTS} SELECT qid, eid, event_ord, context_keys FROM cand",
-    "traverse_local": f"WITH {_LOCAL} SELECT qid, chunk_id, count(*) AS support, coalesce(array_to_string(list_sort(list(DISTINCT eid) FILTER (eid IS NOT NULL)), '|'), '') AS event_ids FROM hit GROUP BY 1, 2",
-    "traverse_distinct": f"WITH {_LOCAL} SELECT qid, chunk_id, count(DISTINCT eid) + count(DISTINCT CASE WHEN eid IS NULL THEN vid END) AS support, coalesce(array_to_string(list_sort(list(DISTINCT eid) FILTER (eid IS NOT NULL)), '|'), '') AS event_ids FROM hit GROUP BY 1, 2",
-    "traverse_scope": f"WITH {_SCOPE} SELECT qid, chunk_id, count(DISTINCT eid) AS support, array_to_string(list_sort(list(DISTINCT eid)), '|') AS event_ids FROM kept GROUP BY 1, 2",
-    "merge_traversals": f"""WITH {_LOCAL}, {_SCOPE.replace(_EDGES + ', ', '')}, b AS (SELECT qid::BIGINT AS qid, chunk_id, count(DISTINCT eid) AS s, list(DISTINCT eid) AS ev FROM kept GROUP BY 1, 2 UNION ALL SELECT (qid // 100) % 5, chunk_id, count(*), list(DISTINCT eid) FILTER (eid IS NOT NULL) FROM hit GROUP BY 1, 2)
-      SELECT qid, chunk_id, sum(s)::BIGINT AS support, coalesce(array_to_string(list_sort(list_distinct(flatten(list(ev)))), '|'), '') AS event_ids FROM b GROUP BY 1, 2""",
+    "traverse_local": f"WITH {_LOCAL} SELECT qid, chunk_id, count(*) AS support, {_VIA}, coalesce(array_to_string(list_sort(list(DISTINCT eid) FILTER (eid IS NOT NULL)), '|'), '') AS event_ids FROM hit GROUP BY 1, 2",
+    "traverse_distinct": f"WITH {_LOCAL} SELECT qid, chunk_id, count(DISTINCT eid) + count(DISTINCT CASE WHEN eid IS NULL THEN vid END) AS support, {_VIA}, coalesce(array_to_string(list_sort(list(DISTINCT eid) FILTER (eid IS NOT NULL)), '|'), '') AS event_ids FROM hit GROUP BY 1, 2",
+    "traverse_scope": f"""WITH {_SCOPE}, {_KEYS_OF}, sc AS (SELECT qid, chunk_id, count(DISTINCT eid) AS support, array_to_string(list_sort(list(DISTINCT concat('scope:', left(eid, 48)))), '|') AS via, array_to_string(list_sort(list(DISTINCT eid)), '|') AS event_ids FROM kept GROUP BY 1, 2)
+      SELECT sc.*, context_keys FROM sc JOIN keys_of USING (qid, chunk_id)""",
+    "merge_traversals": f"""WITH {_LOCAL}, {_SCOPE.replace(_EDGES + ', ', '')}, b AS (SELECT qid::BIGINT AS qid, chunk_id, count(DISTINCT eid) AS s, list(DISTINCT eid) AS ev, list(DISTINCT concat('scope:', left(eid, 48))) AS vi FROM kept GROUP BY 1, 2
+        UNION ALL SELECT (qid // 100) % 5, chunk_id, count(*), list(DISTINCT eid) FILTER (eid IS NOT NULL), list(DISTINCT CASE WHEN eid IS NULL THEN concat('direct:', vid) ELSE concat('event:', left(eid, 48)) END) FROM hit GROUP BY 1, 2),
+      ky AS (SELECT qid::BIGINT AS qid, chunk_id, array_to_string(list_sort(list(DISTINCT key)), '|') AS context_keys FROM kept JOIN cand0 USING (qid, eid) GROUP BY 1, 2),
+      u AS (SELECT qid, chunk_id, sum(s)::BIGINT AS support, coalesce(array_to_string(list_sort(list_distinct(flatten(list(vi)))), '|'), '') AS via, coalesce(array_to_string(list_sort(list_distinct(flatten(list(ev)))), '|'), '') AS event_ids FROM b GROUP BY 1, 2)
+      SELECT u.*, coalesce(context_keys, '') AS context_keys FROM u LEFT JOIN ky USING (qid, chunk_id)""",
     "relationship_paths": f"""WITH {_EDGES}, p AS (SELECT qid, from_id AS eid, concat('ActionEvent:', from_id, ' -', etype, '-> ', to_type, ':', to_id) AS path FROM seeds JOIN e ON etype <> 'MENTIONED_IN' AND to_type = vtype AND to_id = vid),
       ev AS (SELECT * FROM (SELECT qid, eid, row_number() OVER (PARTITION BY qid ORDER BY eid) AS k FROM (SELECT DISTINCT qid, eid FROM p)) WHERE k <= 5),
       a AS (SELECT qid, path FROM p UNION SELECT qid, concat('ActionEvent:', from_id, ' -', etype, '-> ', to_type, ':', CASE WHEN length(concat(to_type, ':', to_id)) > 44 THEN 'x' ELSE to_id END) FROM ev JOIN e ON from_type = 'ActionEvent' AND from_id = eid AND etype <> 'MENTIONED_IN')
@@ -269,7 +279,7 @@ SQL = {
     "rank_composite": f"WITH {_SCORED} SELECT qid, chunk_id, rerank, round(fs, 3) AS final_score, sunk FROM z",
     "coverage_verdict": f"""WITH {_SCORED} SELECT qid, graph_chunks, distinct_events, scope_coverage, want::BIGINT AS want,
       CASE WHEN want > 0 THEN CASE WHEN wide THEN 'insufficient_graph' ELSE 'dense_supplemented' END WHEN graph_chunks = 0 THEN 'no_evidence' ELSE 'sufficient' END AS gate FROM nfo""",
-    "rank_final": f"""WITH {_SCORED}, dn AS (SELECT qid, concat((qid + k) % 500, '_chunk_0') AS chunk_id, k + 1 AS rank FROM nfo, (SELECT unnest(range(10)) AS k)),
+    "rank_final": f"""WITH {_SCORED}, dn AS (SELECT qid, concat((qid + k) % (SELECT count(*) FROM documents), '_chunk_0') AS chunk_id, k + 1 AS rank FROM nfo, (SELECT unnest(range(10)) AS k)),
       mo AS (SELECT * FROM (SELECT qid, chunk_id, rank, row_number() OVER (PARTITION BY qid ORDER BY 1 / (1 + exp(-(8.0::DOUBLE * nboth / 4 - 4))) DESC, rank) AS rerank, want FROM dn JOIN tx USING (chunk_id) JOIN nfo USING (qid) WHERE want > 0 AND (qid, chunk_id) NOT IN (SELECT (qid, chunk_id) FROM z)) WHERE rerank <= want),
       a AS (SELECT qid, chunk_id, 'graph' AS source, sunk, rerank, 0 AS topup, pos FROM z UNION ALL SELECT qid, chunk_id, 'dense', false, rerank, 1, rank FROM mo),
       r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sunk, rerank, topup, pos) AS position FROM a)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import eval_plans, graph_plans, text_plans
+from . import eval_plans, graph_plans, search_plans, text_plans
 
-_MODULES = (text_plans, graph_plans, eval_plans)
+_MODULES = (text_plans, graph_plans, eval_plans, search_plans)
 
 
 def queries() -> dict:

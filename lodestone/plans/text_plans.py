@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import context as cx
 from lodestone.functions import text as tx
-from lodestone.operators import bm25, ingest, ranking, rerank, vectors
+from lodestone.operators import bm25, ingest, ranking, rerank, splitter, vectors
 
 from . import fixtures as fx
 from . import sql
@@ -106,22 +106,26 @@ def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"), F.round(F.get(vectors.unit(F.col("embedding")), F.lit(0)), 6).alias("first"))
 
 
-def _second(spark, sf_dir):
-    """A stand-in for dense hits: documents by an id distance to the question."""
-    n = _docs(spark, sf_dir).select("doc_id")
-    q = _questions(spark, sf_dir).select("qid")
-    near = q.select("qid", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k")).select("qid", ((F.col("qid") * 7 + F.col("k")) % 1000).alias("id"), (F.col("k") + 1).cast("int").alias("rank"), (F.lit(1.0) - F.col("k") / 100).alias("similarity"))
-    return near.join(n, near["id"] == n["doc_id"], "left_semi")
+def _dense_hits(spark, sf_dir):
+    """The documents nearest to the questions: cleaned, embedded, searched exactly."""
+    stored = vectors.hash_vectors(_docs(spark, sf_dir), "doc_id", F.col("text"))
+    asked = vectors.hash_vectors(_questions(spark, sf_dir), "qid", tx.clean_query(F.col("query"))).select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
+    return vectors.nearest(asked, stored)
+
+
+def query_embed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _dense_hits(spark, sf_dir)
+    return hits.select("qid", F.col("id").alias("doc_id"), F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
 def hybrid_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     sparse = bm25.top(_bm25(spark, sf_dir))
-    both = ingest.union_first(_second(spark, sf_dir).withColumn("source", F.lit("dense")), sparse.withColumn("source", F.lit("bm25")), key="id")
+    both = ingest.union_first(_dense_hits(spark, sf_dir).withColumn("source", F.lit("dense")), sparse.withColumn("source", F.lit("bm25")), key="id")
     return both.select("qid", F.col("id").alias("doc_id"), "source", F.col("position").cast("long").alias("position"))
 
 
 def hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rerank.hybrid(_questions(spark, sf_dir), _docs(spark, sf_dir), _second(spark, sf_dir))
+    rows = rerank.hybrid(_questions(spark, sf_dir), _docs(spark, sf_dir), _dense_hits(spark, sf_dir))
     return rows.select("qid", F.col("id").alias("doc_id"), F.round("rerank_score", 6).alias("rerank_score"), F.col("rerank").cast("long").alias("rerank"))
 
 
@@ -160,10 +164,27 @@ def title_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).where("trim(text) <> ''").select("doc_id", vectors.hash_embedder()(F.col("text")).alias("embedding"))
+    rows = vectors.hash_vectors(_docs(spark, sf_dir), "doc_id", F.col("text"))
+    return rows.select(F.col("id").alias("doc_id"), F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), ",").alias("embedding"))
+
+
+def lookup_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
+    return ingest.lookup(_table(spark, sf_dir, "documents"), wanted, "doc_id").select("doc_id", "source")
+
+
+def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _titled(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), "title", "text")
+    return splitter.chunks(docs).select("chunk_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("token_count").cast("long").alias("token_count"), "page")
+
 
+def eval_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents before the others, each part in its own order."""
+    docs, gold = _table(spark, sf_dir, "documents").select("doc_id"), _table(spark, sf_dir, "labels").select("doc_id")
+    return ingest.wanted_first(docs, gold, "doc_id", "doc_id").select("doc_id", F.col("place").cast("long").alias("place"))
 
-QUERIES = {f.__name__: f for f in (clean_text, clean_query_html, tokenize, normalize_name, normalize_answer, corpus_dedup_filter, chunk_fixed_window, bm25_stats, bm25_corpus, bm25_topm, bm25_zero_fill, dense_topk, dense_topk_where, unit_vectors, hybrid_dedup, hybrid_rerank, community_search, derive_context, sports_vocab, topup_anti_join, lookup_missing, title_projection, embed_hash)}
+
+QUERIES = {f.__name__: f for f in (clean_text, clean_query_html, tokenize, normalize_name, normalize_answer, corpus_dedup_filter, chunk_fixed_window, bm25_stats, bm25_corpus, bm25_topm, bm25_zero_fill, dense_topk, dense_topk_where, unit_vectors, hybrid_dedup, hybrid_rerank, community_search, derive_context, sports_vocab, topup_anti_join, lookup_missing, lookup_found, title_projection, embed_hash, query_embed_search, chunk_recursive, eval_first)}
 
 _SCORES = f"""
 tok AS (SELECT doc_id, {sql.tokens('text')} AS t FROM documents),
@@ -178,7 +199,21 @@ _ASKED = "asked AS (SELECT item_id AS qid, text AS query FROM benchmark)"
 _TITLED = fx.duck(fx.TITLED)
 _COS = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE))))"
 _KNN = "SELECT * FROM (SELECT a.vec_id AS qid, b.vec_id, round({cos}, 6) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY {cos} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND {where}) WHERE rank <= 20"
-_SECOND = "second AS (SELECT qid, (qid * 7 + k) % 1000 AS doc_id, k + 1 AS rank FROM asked, (SELECT unnest(range(20)) AS k) WHERE (qid * 7 + k) % 1000 IN (SELECT doc_id FROM documents))"
+_DIGIT = "(instr('0123456789abcdef', substr(md5(tok), {i}, 1)) - 1)"
+_HASH = f"((({_DIGIT.format(i=1)} * 16 + {_DIGIT.format(i=2)}) * 16 + {_DIGIT.format(i=3)}) * 16 + {_DIGIT.format(i=4)})"
+
+
+def _vectors_sql(name: str, source: str, key: str, text: str) -> str:
+    """CTE name(key, v): the hashed token counts of a table's texts."""
+    return f"""{name}_h AS (SELECT {key}, {_HASH} AS h FROM (SELECT {key}, unnest({sql.tokens(text)}) AS tok FROM {source})),
+{name}_c AS (SELECT {key}, h % 64 AS slot, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS n FROM {name}_h GROUP BY 1, 2),
+{name} AS (SELECT s.{key}, list(coalesce(n, 0)::BIGINT ORDER BY i) AS v FROM (SELECT {key}, i FROM {source}, (SELECT unnest(range(64)) AS i)) s LEFT JOIN {name}_c c ON c.{key} = s.{key} AND c.slot = s.i GROUP BY 1)"""
+
+
+_SIZE = "sqrt(list_sum(list_transform({v}, lambda x: x * x))::DOUBLE)"
+_SECOND = f"""{_vectors_sql('dv', 'documents', 'doc_id', 'text')}, {_vectors_sql('qv', 'asked', 'qid', sql.clean_query('query'))},
+sim AS (SELECT qid, doc_id, CASE WHEN {_SIZE.format(v='q.v')} * {_SIZE.format(v='d.v')} = 0 THEN 0 ELSE list_sum(list_transform(range(1, 65), lambda i: q.v[i] * d.v[i]))::DOUBLE / ({_SIZE.format(v='q.v')} * {_SIZE.format(v='d.v')}) END AS similarity FROM qv q, dv d),
+second AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, doc_id) AS rank FROM sim) WHERE rank <= 20)"""
 _UNITED = "united AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY l, rank) AS position FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY l, rank) AS k FROM (SELECT qid, doc_id, rank, 'dense' AS source, 0 AS l FROM second UNION ALL SELECT qid, doc_id, rank, 'bm25', 1 FROM ranked WHERE rank <= 20)) WHERE k = 1)"
 _HEAD = "concat('Title: ', title, chr(10), chr(10))"
 
@@ -239,5 +274,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY best_rank) AS place
     "sports_vocab": f"SELECT DISTINCT trim(regexp_extract(title, {sql.quote(cx.CANONICAL)}, 1)) AS sport FROM ({_TITLED}) WHERE regexp_extract(title, {sql.quote(cx.CANONICAL)}, 1) <> ''",
     "topup_anti_join": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "lookup_missing": "SELECT DISTINCT c_custkey AS doc_id FROM customer WHERE c_custkey NOT IN (SELECT doc_id FROM documents)",
+    "lookup_found": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT c_custkey FROM customer)",
+    "embed_hash": f"WITH {_vectors_sql('dv', 'documents', 'doc_id', 'text')} SELECT doc_id, array_to_string(v, ',') AS embedding FROM dv",
+    "query_embed_search": f"WITH {_ASKED}, {_SECOND} SELECT qid, doc_id, round(similarity, 6) AS similarity, rank FROM second",
+    "eval_first": "SELECT doc_id, row_number() OVER (ORDER BY doc_id NOT IN (SELECT doc_id FROM labels), doc_id) AS place FROM documents",
     "title_projection": f"SELECT source AS doc_id, arg_min(title, doc_id) AS title FROM ({_TITLED}) WHERE doc_id % 4 <> 0 GROUP BY 1",
 }

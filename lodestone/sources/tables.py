@@ -1,36 +1,19 @@
-"""Sources and sinks: JSON lines, checkpoints, runs, tables and shared copies."""
+"""Sources and sinks: JSON lines, checkpoints, runs, tables and cached indexes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.operators import ingest
 
+from .shared import shared_copy
+
 CORPUS = "doc_id string, title string, text string, url string, wikidata_qid string, approx_tokens int"
 QUESTION = "qid string, question string, qtype string, answer array<string>, gold_doc_ids array<string>, answer_named_in_question boolean, guess_baseline double, answer_verified boolean, v2_class string, class_note string"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (tests)."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def shared_copy(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back."""
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Corpus JSON lines in file order, blank lines skipped, then ingest.corpus()."""
     lines = spark.read.text(path).where(F.trim("value") != "")
@@ -96,15 +79,34 @@ def missing_columns(have: T.StructType, want: T.StructType) -> list[str]:
 
 
 def top_up(spark: SparkSession, rows: DataFrame, table: str, key: str) -> int:
-    """Append the rows whose key the table lacks; how many. Running it again adds none."""
+    """Append the rows whose key the table lacks, one of each key (the least by all its
+    columns); how many. Columns go by name. Running it again adds none."""
     fresh = ingest.new_rows(rows, spark.table(table), key)
     # the table cannot be read and appended to in one plan: the new rows go through a copy
-    copy = shared_copy(ingest.first_wins(fresh, key, key), shared_folder(spark), "topup")
+    copy = shared_copy(ingest.first_wins(fresh, key, *fresh.columns), "topup")
     n = copy.count()
     if n:
-        copy.write.mode("append").insertInto(table)
+        copy.select(*spark.table(table).columns).write.mode("append").insertInto(table)
     return n
 
 
+def chunk_scan(spark: SparkSession, path: str, doc_ids: list[str] | None = None) -> DataFrame:
+    """Stored chunks, of some documents if given: the filter reaches the scan."""
+    rows = spark.read.parquet(path)
+    return rows if doc_ids is None else rows.where(F.col("doc_id").isin(list(doc_ids)))
+
+
+def cached_index(spark: SparkSession, path: str, live: DataFrame, build) -> DataFrame:
+    """The index stored at path; built again if it is missing or the live rows are more
+    than those it was built from. build(live) gives the index."""
+    n, root = live.count(), path.rstrip("/")
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/count")
+    there = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+    if not there or is_stale(n, spark.read.parquet(f"{root}/count").first()["n"]):
+        build(live).write.mode("overwrite").parquet(f"{root}/index")
+        spark.createDataFrame([(n,)], "n long").write.mode("overwrite").parquet(f"{root}/count")
+    return spark.read.parquet(f"{root}/index")
+
+
 def is_stale(live_count: int, cached_count: int) -> bool:
     return live_count > cached_count
