@@ -1,7 +1,7 @@
 """Context keys: which edition, sport and event a name or title speaks of.
 
-Everything is a Column expression; the vocabulary of sports is a small dimension
-given as a Python list (see vocabulary())."""
+Everything is a Column expression; the vocabulary of sports is a dimension table that
+with_context() joins names with, however many sports there are."""
 
 from __future__ import annotations
 
@@ -25,8 +25,6 @@ EVENTISH = r"(?i)\d|metre|meter|\bkg\b|\bmen\b|\bwomen\b|heat|final|semi|quarter
 LEVELS = {"event": ("event", 4), "discipline": ("event", 4), "sport": ("sport", 3), "olympics": ("edition", 2), "year": ("edition", 1), "topic": ("edition", 1)}
 HIERARCHY = ("event", "sport", "olympics")
 PREFIXES = ("olympics", "sport", "event", "year", "topic", "discipline")
-#: More sports than this are no dimension.
-MOST_SPORTS = 10_000
 
 
 def _trim(x: Column) -> Column:
@@ -50,23 +48,28 @@ def sports(titles: DataFrame, title_col: str = "title") -> DataFrame:
     return titles.select(sport_slot(F.col(title_col)).alias("sport")).where("sport <> ''").distinct()
 
 
-def vocabulary(titles: DataFrame, title_col: str = "title") -> list[str]:
-    """sports() as a sorted list; raises beyond MOST_SPORTS."""
-    rows = sports(titles, title_col).orderBy("sport").limit(MOST_SPORTS + 1).collect()
-    if len(rows) > MOST_SPORTS:
-        raise ValueError(f"over {MOST_SPORTS} sports: not a vocabulary")
-    return [r[0] for r in rows]
+def _sports_in(names: DataFrame, known: DataFrame) -> DataFrame:
+    """names(_name), known(sport, n) -> _name, _sport: the longest sport named in a text
+    (ties: first by name). Runs of words, no longer than the longest sport, meet the
+    dimension in an equi-join."""
+    words = F.split(normalize_name(F.col("_name")), " ")
+    most = known.agg(F.coalesce(F.max(F.size(F.split("n", " "))), F.lit(1)).alias("_w"))  # one row
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.col("_w"), F.size(words) - i + 1)), lambda k: F.array_join(F.slice(words, i, k), " "))))
+    grams = names.join(F.broadcast(most)).select("_name", F.explode(F.array_distinct(runs)).alias("n"))
+    order = F.struct((-F.length("n")).alias("l"), "sport")
+    return grams.join(known, "n").groupBy("_name").agg(F.min(order).alias("o")).select("_name", F.col("o.sport").alias("_sport"))
 
 
-def find_sport(text: Column, vocab: list[str]) -> Column:
-    """The longest sport named in a text (ties: first by name), '' if none."""
-    if not vocab:
-        return F.lit("")
-    known = F.array(*[F.struct(F.lit(v).alias("s"), normalize_name(F.lit(v)).alias("n")) for v in sorted(vocab)])
-    there = F.concat(F.lit(" "), normalize_name(text), F.lit(" "))
-    hits = F.filter(known, lambda v: (v["n"] != "") & F.contains(there, F.concat(F.lit(" "), v["n"], F.lit(" "))))
-    order = F.transform(hits, lambda v: F.struct((-F.length(v["n"])).alias("l"), v["s"].alias("s")))
-    return F.coalesce(F.get(F.array_sort(order), F.lit(0))["s"], F.lit(""))
+def with_context(rows: DataFrame, name_col: str, sports_: DataFrame, out: str = "context") -> DataFrame:
+    """rows with derive_context() of a column, given sports()."""
+    known = sports_.select("sport", normalize_name(F.col("sport")).alias("n")).where("n <> ''").distinct()
+    names = rows.select(F.col(name_col).alias("_name")).where("_name is not null").distinct()
+    slots = names.withColumn("n", normalize_name(sport_slot(F.col("_name")))).join(known.select("n").distinct(), "n", "left_semi").select("_name", F.lit(True).alias("_fits"))
+    none = known.agg((F.count("*") == 0).alias("_none"))  # one row
+    found = names.join(_sports_in(names, known), "_name", "left").join(slots, "_name", "left").join(F.broadcast(none))
+    found = found.select(F.col("_name"), F.coalesce("_sport", F.lit("")).alias("_sport"), (F.coalesce("_fits", F.lit(False)) | F.col("_none")).alias("_fits"))
+    value = F.when(F.col("_name").isNotNull(), derive_context(F.col(name_col), F.col("_sport"), F.col("_fits")))
+    return rows.join(found, F.col(name_col) == F.col("_name"), "left").withColumn(out, value).drop("_name", "_sport", "_fits")
 
 
 def without(text: Column, part: Column) -> Column:
@@ -80,22 +83,21 @@ def _let(x: Column, body) -> Column:
     return F.get(F.transform(F.array(x), body), F.lit(0))
 
 
-def derive_context(name: Column, vocab: list[str]) -> Column:
-    """struct(root_context, context_path, context_keys, context_level); null for
-    null and blank names."""
-    known = [_plain(v) for v in vocab]
+def derive_context(name: Column, sport: Column, fits: Column) -> Column:
+    """struct(root_context, context_path, context_keys, context_level); null for null and
+    blank names. sport: the longest known one that the name holds; fits: whether the
+    sport slot of a canonical title is a known sport."""
 
     def parts(raw):
         mention = F.regexp_extract(raw, EDITION, 0)
-        return _let(F.struct(raw.alias("raw"), mention.alias("mention"), F.position(mention, raw).alias("at"), F.regexp_extract(raw, CANONICAL, 1).alias("slot"), strip(F.regexp_extract(raw, CANONICAL, 4)).alias("slot_event")), choose)
+        return _let(F.struct(raw.alias("raw"), mention.alias("mention"), F.position(mention, raw).alias("at"), F.regexp_extract(raw, CANONICAL, 1).alias("slot"), strip(F.regexp_extract(raw, CANONICAL, 4)).alias("slot_event"), sport.alias("known"), fits.alias("fits")), choose)
 
     def choose(p):
-        fits = normalize_name(p["slot"]).isin(known) if known else F.lit(True)
-        canonical = (p["slot"] != "") & ~F.regexp_like(p["slot"], F.lit(EVENTISH)) & (fits | (F.regexp_count(p["slot"], F.lit(r"\S+")) <= 2))
+        canonical = (p["slot"] != "") & ~F.regexp_like(p["slot"], F.lit(EVENTISH)) & (p["fits"] | (F.regexp_count(p["slot"], F.lit(r"\S+")) <= 2))
         # other names: the texts around the edition, cleaned by words
         before = strip_rounds(_trim(F.regexp_replace(F.substr(p["raw"], F.lit(1), p["at"] - 1), CONNECTOR_TAIL, "")))
         after = strip_rounds(_trim(F.regexp_replace(F.substr(p["raw"], p["at"] + F.length(p["mention"])), CONNECTOR_HEAD, "")))
-        loose = _let(F.struct(F.coalesce(F.nullif(after, F.lit("")), before).alias("event"), find_sport(p["raw"], vocab).alias("sport")), lambda x: _let(F.struct(x["event"].alias("event"), x["sport"].alias("sport"), normalize_name(x["event"]).alias("e"), normalize_name(x["sport"]).alias("s")), apart))
+        loose = _let(F.struct(F.coalesce(F.nullif(after, F.lit("")), before).alias("event"), p["known"].alias("sport")), lambda x: _let(F.struct(x["event"].alias("event"), x["sport"].alias("sport"), normalize_name(x["event"]).alias("e"), normalize_name(x["sport"]).alias("s")), apart))
         both = F.when(canonical, F.struct(strip(p["slot"]).alias("sport"), strip_rounds(p["slot_event"]).alias("event"))).otherwise(loose)
         root = F.concat_ws(" ", F.regexp_extract(p["mention"], EDITION, 1), F.initcap(F.regexp_extract(p["mention"], EDITION, 2)), F.lit("Olympics"))
         games = _let(both, lambda x: _let(F.struct(x["sport"].alias("sport"), x["event"].alias("event"), normalize_name(x["event"]).alias("e"), normalize_name(x["sport"]).alias("s"), root.alias("root")), checked))
@@ -123,14 +125,6 @@ def derive_context(name: Column, vocab: list[str]) -> Column:
     return _let(strip(F.coalesce(name, F.lit(""))), parts)
 
 
-def _plain(name: str) -> str:
-    """normalize_name for a literal of the vocabulary."""
-    from .text import NAME_PUNCTUATION
-
-    words = name.strip().lower().translate(str.maketrans({c: " " for c in NAME_PUNCTUATION})).split()
-    return " ".join(words[1:] if len(words) > 1 and words[0] in ("the", "a", "an") else words)
-
-
 def merge_contexts(event: Column, title: Column) -> Column:
     """The event's context, its gaps filled from the title's."""
 

@@ -112,13 +112,13 @@ def resolve(records: DataFrame) -> Graph:
     return Graph(vertices, events, relation_edges(evs, aliases).unionByName(grounding(vertices, events)), aliases)
 
 
-def event_contexts(events: DataFrame, titles: DataFrame, vocab: list[str]) -> DataFrame:
+def event_contexts(events: DataFrame, titles: DataFrame, sports: DataFrame) -> DataFrame:
     """events with `context`: from their names, gaps filled from the title of the
-    first chunk (by id) whose document has one. titles(doc_id, title)."""
+    first chunk (by id) whose document has one. titles(doc_id, title), cx.sports()."""
     chunks = events.select("vid", F.explode("mentioned_in").alias("chunk_id")).withColumn("doc_id", tx.doc_of_chunk(F.col("chunk_id")))
     first = chunks.join(titles.where(F.coalesce("title", F.lit("")) != ""), "doc_id").groupBy("vid").agg(F.min_by("title", "chunk_id").alias("title"))
-    own, doc = cx.derive_context(F.col("name"), vocab), cx.derive_context(F.col("title"), vocab)
-    return events.join(first, "vid", "left").withColumn("context", cx.merge_contexts(own, doc)).drop("title")
+    both = cx.with_context(cx.with_context(events.join(first, "vid", "left"), "name", sports, "_own"), "title", sports, "_doc")
+    return both.withColumn("context", cx.merge_contexts(F.col("_own"), F.col("_doc"))).drop("title", "_own", "_doc")
 
 
 def validate(records: DataFrame) -> DataFrame:

@@ -58,8 +58,7 @@ def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each title's context, its gaps filled from the one before it."""
     t = fx.view(spark, sf_dir, fx.TITLED, "documents").select("doc_id", "title")
-    vocab = cx.vocabulary(t)
-    c = t.select("doc_id", cx.derive_context(F.col("title"), vocab).alias("c"))
+    c = cx.with_context(t, "title", cx.sports(t), "c").select("doc_id", "c")
     pairs = c.join(c.select((F.col("doc_id") + 1).alias("doc_id"), F.col("c").alias("t")), "doc_id", "left")
     m = pairs.select("doc_id", cx.merge_contexts(F.col("c"), F.col("t")).alias("m"))
     return m.select("doc_id", F.col("m.root_context").alias("root_context"), F.array_join("m.context_path", "|").alias("path"), F.array_join("m.context_keys", "|").alias("context_keys"), F.col("m.context_level").alias("context_level"))
@@ -68,7 +67,7 @@ def merge_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles as events."""
     t = fx.view(spark, sf_dir, fx.TITLED, "documents").select("doc_id", "title")
-    events = t.select(F.col("doc_id").cast("string").alias("vid"), cx.derive_context(F.col("title"), cx.vocabulary(t)).alias("context"))
+    events = cx.with_context(t, "title", cx.sports(t)).select(F.col("doc_id").cast("string").alias("vid"), "context")
     rows = resolve.context_index(events)
     return rows.select("key", "display", F.size("vertex_ids").cast("long").alias("n"), F.array_join("vertex_ids", "|").alias("vertex_ids"))
 

@@ -151,7 +151,7 @@ def context_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles as events; those with an odd id have no context yet and stay as they are."""
     t = fx.view(spark, sf_dir, fx.TITLED, "documents").select("doc_id", "title")
     events = t.select(F.col("doc_id").alias("vid"), F.lit("old").alias("context_level"))
-    contexts = t.where("doc_id % 2 = 0").select(F.col("doc_id").alias("vid"), cx.derive_context(F.col("title"), cx.vocabulary(t)).alias("context"))
+    contexts = cx.with_context(t.where("doc_id % 2 = 0"), "title", cx.sports(t)).select(F.col("doc_id").alias("vid"), "context")
     rows = load.backfill(events, contexts)
     return rows.select("vid", "context_level", "root_context", F.array_join("context_keys", "|").alias("context_keys"))
 

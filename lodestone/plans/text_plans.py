@@ -140,7 +140,7 @@ def community_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derive_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _titled(spark, sf_dir).select("doc_id", "title")
-    c = rows.select("doc_id", cx.derive_context(F.col("title"), cx.vocabulary(rows)).alias("c"))
+    c = cx.with_context(rows, "title", cx.sports(rows), "c")
     return c.select("doc_id", F.col("c.root_context").alias("root_context"), F.array_join("c.context_path", "|").alias("path"), F.array_join("c.context_keys", "|").alias("context_keys"), F.col("c.context_level").alias("context_level"))
 
 

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import context as cx
 from lodestone.functions import text as tx
 
-VOCAB = ["Canoeing", "Swimming", "Speed skating", "Athletics", "Rowing"]
+CONTEXT = "struct<root_context:string,context_path:array<string>,context_keys:array<string>,context_level:string>"
+SPORTS = ["Fencing", "Luge", "Water polo", "Polo", "Cycling"]
 
 
 def values(spark, fn, inputs):
@@ -14,9 +15,10 @@ def values(spark, fn, inputs):
 
 
 def test_normalize_name(spark):
-    got = values(spark, tx.normalize_name, ["  United   States ", "Men's K-2 1000m", "the United States", "A Test Event", "the", "a b – c", None])
-    assert got == ["united states", "men s k 2 1000m", "united states", "test event", "the", "b c", ""]
-    assert values(spark, tx.normalize_name, got) == ["united states", "men s k 2 1000m", "united states", "test event", "the", "b c", ""]
+    raw = ["\tNew\u00a0 Zealand\n", "Women's C-4 (200m)", "THE Hague", "an, Apple_Pie/2", "a", "the", "x—y*z", "", None]
+    got = values(spark, tx.normalize_name, raw)
+    assert got == ["new zealand", "women s c 4 200m", "hague", "apple pie 2", "a", "the", "x y z", "", ""]
+    assert values(spark, tx.normalize_name, got) == got
 
 
 def test_clean_text(spark):
@@ -29,8 +31,8 @@ def test_clean_query(spark):
 
 
 def test_tokens_and_answers(spark):
-    assert values(spark, tx.tokens, ["It's K-2, 1000m!", None]) == [["it", "s", "k", "2", "1000m"], []]
-    assert values(spark, tx.normalize_answer, ["  Chen  Ding! "]) == ["chen ding"]
+    assert values(spark, tx.tokens, ["Don't, C-4 200m?", None]) == [["don", "t", "c", "4", "200m"], []]
+    assert values(spark, tx.normalize_answer, ["\tMax --  Mustermann. "]) == ["max mustermann"]
 
 
 def test_chunk_ids(spark):
@@ -39,32 +41,49 @@ def test_chunk_ids(spark):
 
 
 def test_stop_reason(spark):
-    got = values(spark, tx.stop_reason, ["all_slots_supported", "weird_reason", "budget_exhausted", "max_steps", "duplicate_scope", "ran_out_of_steps"])
-    assert got == ["sufficient_evidence", "no_useful_path", "budget_exhausted", "budget_exhausted", "diminishing_returns", "budget_exhausted"]
+    given = {"answered": "sufficient_evidence", "slots_are_supported_now": "sufficient_evidence", "no_new_evidence": "diminishing_returns", "duplicate_queries": "diminishing_returns", "over_budget": "budget_exhausted", "too_many_steps": "budget_exhausted", "no_useful_path": "no_useful_path", "bored": "no_useful_path", "": "no_useful_path"}
+    assert values(spark, tx.stop_reason, list(given)) == list(given.values())
 
 
 def test_single_digit(spark):
-    assert values(spark, tx.drop_single_digit, ["a 1 b 22 c"]) == ["a   b 22 c"]
+    assert values(spark, tx.drop_single_digit, ["x 7 y 42 z", "7 up"]) == ["x   y 42 z", "7 up"]
 
 
-def context(spark, names):
-    return values(spark, lambda c: cx.derive_context(c, VOCAB), names)
+def test_chunk_id_falls_back(spark):
+    df = spark.createDataFrame([(0, "a", "b", "c"), (1, "", "b", "c"), (2, None, "", "c"), (3, None, "", None)], "i int, x string, y string, z string")
+    assert [r[0] for r in df.orderBy("i").select(tx.chunk_id(F.col("x"), F.col("y"), F.col("z"), ordinal=F.col("i"))).collect()] == ["a", "b", "c", "__index_3"]
+
+
+def context(spark, names, sports=SPORTS):
+    df = spark.createDataFrame(list(enumerate(names)), "i int, x string")
+    known = spark.createDataFrame([(x,) for x in sports], "sport string")
+    return [r["context"] for r in cx.with_context(df, "x", known).orderBy("i").collect()]
 
 
 def test_derive_context(spark):
-    full, sport, heat, final, war, blank = context(spark, ["Canoeing at the 2012 Summer Olympics – Men's K-2 1000 metres", "Swimming at the 2008 Summer Olympics", "Heats of Men's 1000 metres at the 1994 Winter Olympics", "Men's 1000 metres Final A at 1994 Winter Olympics", "2006 Lebanon War", " "])
-    assert full["root_context"] == "2012 Summer Olympics" and full["context_level"] == "event"
-    assert full["context_keys"] == ["olympics:2012", "sport:canoeing", "event:men_s_k_2_1000_metres"]
-    assert sport["context_keys"] == ["olympics:2008", "sport:swimming"] and sport["context_level"] == "sport"
-    assert heat["context_keys"] == final["context_keys"] == ["olympics:1994", "event:men_s_1000_metres"]
-    assert war["context_keys"] == ["topic:2006_lebanon_war", "year:2006"] and war["context_level"] == "edition"
-    assert blank is None
+    names = ["Fencing at the 1996 Summer Olympics – Women's épée team", "Luge at the 2002 Winter Olympics", "Repechage of Women's sabre at the 1988 Summer Olympics", "Women's sabre semi-final in 1988 Summer Olympics", "Mixed water polo contest at the 2000 Summer Olympics", "Battle of Lepanto 1571, told in 1971", " ", None]
+    full, sport, rep, semi, loose, war, blank, none = context(spark, names)
+    assert full["root_context"] == "1996 Summer Olympics" and full["context_level"] == "event"
+    assert full["context_keys"] == ["olympics:1996", "sport:fencing", "event:women_s_épée_team"]
+    assert sport["context_keys"] == ["olympics:2002", "sport:luge"] and sport["context_level"] == "sport"
+    assert rep["context_keys"] == semi["context_keys"] == ["olympics:1988", "event:women_s_sabre"]
+    assert loose["context_keys"][:2] == ["olympics:2000", "sport:water_polo"]  # the longest sport, not polo
+    assert war["context_keys"] == ["topic:battle_of_lepanto_1571_told_in_1971", "year:1971"] and war["context_level"] == "edition"
+    assert blank is None and none is None
+
+
+def test_context_with_many_sports(spark):
+    many = [f"Game {i} of {i % 7}" for i in range(12_000)] + SPORTS
+    (got,) = context(spark, ["Women's game 11999 of 1 race at the 2004 Summer Olympics"], many)
+    assert "sport:game_11999_of_1" in got["context_keys"]
+    assert context(spark, ["Anything at the 2004 Summer Olympics"], [])[0]["context_keys"][:2] == ["olympics:2004", "sport:anything"]
 
 
 def test_merge_contexts(spark):
-    df = spark.createDataFrame([("Men's 1000 metres Final A at 1994 Winter Olympics", "Speed skating at the 1994 Winter Olympics – Men's 1000 metres")], "e string, t string")
-    m = df.select(cx.merge_contexts(cx.derive_context(F.col("e"), VOCAB), cx.derive_context(F.col("t"), VOCAB))).first()[0]
-    assert "sport:speed_skating" in m["context_keys"] and "olympics:1994" in m["context_keys"]
+    e, t = context(spark, ["Qualifications of Women's keirin at the 2012 Summer Olympics", "Cycling at the 2012 Summer Olympics – Women's keirin"])
+    df = spark.createDataFrame([(e, t)], f"e {CONTEXT}, t {CONTEXT}")
+    m = df.select(cx.merge_contexts(F.col("e"), F.col("t"))).first()[0]
+    assert m["context_keys"] == ["olympics:2012", "event:women_s_keirin", "sport:cycling"] and m["root_context"] == "2012 Summer Olympics"
 
 
 def test_keys(spark):

@@ -5,13 +5,15 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import bm25, evaluation, graph, ingest, investigate, matching, ranking, rerank, resolve, vectors
+from lodestone.operators import bm25, evaluation, graph, ingest, investigate, load, matching, prompts, ranking, rerank, resolve, search, splitter, vectors
 from lodestone.sources import tables
+from lodestone.sources.shared import shared_copy
 
 
 def test_dedup_then_length(spark):
@@ -162,11 +164,149 @@ def test_traversal_by_brute_force(spark, seed):
 
 
 def test_roots(spark):
-    rows = [(1, "event:a", "a", ["e1", "e2"]), (1, "event:a", "a", ["e2", "e3", ""]), (1, "sport:b", "b", ["e1"]), (1, "olympics:c", "c", ["e1", "e9"]), (1, "topic:z", "z", [])]
-    m = spark.createDataFrame(rows, "qid int, key string, display string, vertex_ids array<string>")
-    got = graph.roots(m).orderBy("root_rank").collect()
-    assert [(x["key"], x["vertex_ids"]) for x in got] == [("event:a", ["e1", "e2", "e3"]), ("sport:b", ["e1"]), ("olympics:c", ["e1", "e9"])]
+    rows = [(1, "event:a", "a", e) for e in ("e1", "e2", "e2", "e3", "")] + [(1, "sport:b", "b", "e1"), (1, "olympics:c", "c", "e1"), (1, "olympics:c", "c", "e9"), (1, "topic:z", "z", None)]
+    m = spark.createDataFrame(rows, "qid int, key string, display string, vid string")
+    ranked = graph.roots(m)
+    assert [(x["key"], x["n_events"]) for x in ranked.orderBy("root_rank").collect()] == [("event:a", 3), ("sport:b", 1), ("olympics:c", 2)]
     assert [x["key"] for x in graph.roots(m, most=1).collect()] == ["event:a"]
+    got = graph.candidate_events(ranked, m, per_root=2).orderBy("event_ord").collect()
+    assert [(x["eid"], x["keys"]) for x in got] == [("e1", ["event:a", "sport:b", "olympics:c"]), ("e2", ["event:a"]), ("e9", ["olympics:c"])]
+
+
+def test_mode_and_path_seeds(spark):
+    df = spark.createDataFrame([(1, "collection_aggregation", 2), (2, "collection_aggregation", 0), (3, "local_fact", 2)], "qid int, t string, n int")
+    pick = lambda requested: [r[0] for r in df.orderBy("qid").select(graph.mode_of(F.col("t"), F.col("n"), requested)).collect()]
+    assert pick(None) == ["scope", "local", "local"] and pick(F.lit("scope")) == ["scope", "local", "scope"] and pick(F.lit("local")) == ["local"] * 3
+    mode = df.select("qid", graph.mode_of(F.col("t"), F.col("n")).alias("mode"))
+    seeds = spark.createDataFrame([(q, "Person", f"p{q}") for q in (1, 2, 3)], "qid int, vtype string, vid string")
+    events = spark.createDataFrame([(q, f"e{i:02d}", i) for q in (1, 3) for i in range(1, 14)], "qid int, eid string, event_ord int")
+    got = Counter((r["qid"], r["vtype"]) for r in graph.path_seeds(mode, seeds, events).collect())
+    assert got == {(1, "ActionEvent"): 10, (2, "Person"): 1, (3, "Person"): 1}
+
+
+def test_recursive_splitter(spark):
+    para = ["alpha beta gamma", "delta epsilon", "zeta " * 9 + "end"]
+    text = "\n\n".join(para)
+    words = len
+    assert splitter.split("", 5, 1, lambda t: words(t.split())) == []
+    got = splitter.split(text, 6, 2, lambda t: words(t.split()))
+    assert got[0] == "alpha beta gamma\n\ndelta epsilon" and all(words(x.split()) <= 6 for x in got)
+    assert [x for x in got[1:]] == ["zeta " * 5 + "zeta", "zeta zeta zeta zeta zeta end"]
+    # characters are the last resort; chunks overlap by at most two pieces
+    assert splitter.split("abcdefgh", 4, 1, len) == ["abcd", "defg", "gh"]
+    docs = spark.createDataFrame([("d", " T ", text), ("e", None, "one"), ("f", "T", None), ("g", "T", "Title: T is here")], "doc_id string, title string, text string")
+    rows = splitter.chunks(docs, size=60, overlap=5).orderBy("chunk_id").collect()
+    assert [(r["chunk_id"], r["token_count"]) for r in rows] == [("d_chunk_0", 17), ("e_chunk_0", 1), ("g_chunk_0", 4)]
+    assert rows[0]["page"].startswith("Title: T\n\nalpha") and rows[1]["page"] == "one" and rows[2]["page"] == "Title: T is here"
+    with pytest.raises(ValueError):
+        splitter.chunks(docs, size=5, overlap=5)
+
+
+def test_byte_pair_chunks():
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if not Path(path).exists():
+        pytest.skip("no vocabulary file")
+    count = splitter.counter(path)
+    text = "\n".join(" ".join(f"word{i}x{j}" for j in range(20)) for i in range(30))
+    got = splitter.split(text, 100, 20, count)
+    assert all(count(x) <= 100 for x in got) and re.sub(r"\s+", "", text).startswith(re.sub(r"\s+", "", got[0]))
+    assert set(text.split()) == set(" ".join(got).split())
+
+
+def test_load(spark):
+    chunks = spark.createDataFrame([("a_chunk_0", "a"), ("a_chunk_0", "b"), ("b_chunk_1", "b")], "chunk_id string, doc_id string")
+    edges = spark.createDataFrame([("MENTIONED_IN", "Person", "p", "Chunk", "a_chunk_0"), ("AFFECTED", "ActionEvent", "e", "Team", "b_chunk_1")], load.TABLES["edges"])
+    assert [tuple(r) for r in load.referenced_chunks(chunks, edges).collect()] == [("a_chunk_0", "a")]
+    kind = "struct<root_context:string,context_path:array<string>,context_keys:array<string>,context_level:string>"
+    contexts = spark.createDataFrame([("e1", ("r", ["r"], ["olympics:2000"], "edition")), ("e2", ("r", [], [], "edition"))], f"vid string, context {kind}")
+    events = spark.createDataFrame([("e1", "n1"), ("e2", "n2"), ("e3", "n3")], "vid string, name string")
+    got = {r["vid"]: r for r in load.backfill(events, contexts).collect()}
+    assert got["e1"]["context_keys"] == ["olympics:2000"] and got["e2"]["root_context"] is None and got["e3"]["name"] == "n3"
+    assert load.gated(load.backfill(events, contexts), False).columns == ["vid", "name"]
+    for _ in range(2):
+        load.create(spark, "lode_graph")
+    assert load.add_columns(spark, "lode_graph_events", load.CONTEXT_COLUMNS, dry_run=True)["added"] == list(load.CONTEXT)
+    assert load.add_columns(spark, "lode_graph_events", load.CONTEXT_COLUMNS)["present"] == []
+    assert load.add_columns(spark, "lode_graph_events", load.CONTEXT_COLUMNS)["present"] == list(load.CONTEXT)
+    for name in load.TABLES:
+        spark.sql(f"DROP TABLE lode_graph_{name}")
+    odd = spark.createDataFrame([("Person", "a"), ("Robot", "b")], "vtype string, vid string")
+    assert [tuple(r) for r in load.unknown_types(odd).collect()] == [("Robot", 1)]
+    assert load.FIELD_OF_EDGE["AFFECTED"] == "affected"
+
+
+def test_upsert_takes_one_row_of_a_key(spark):
+    stored = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
+    fresh = spark.createDataFrame([("a", 5), ("a", 9), ("c", 2)], "k string, v int")
+    assert {tuple(r) for r in graph.upsert(stored, fresh, ["k"]).collect()} == {("a", 9), ("b", 1), ("c", 2)}
+
+
+def test_cached_index(spark, tmp_path):
+    built = []
+
+    def build(live):
+        built.append(live.count())
+        return live.selectExpr("k", "k * 2 as twice")
+
+    path = f"{tmp_path}/index"
+    for n, times in ((3, 1), (3, 1), (2, 1), (5, 2)):
+        got = tables.cached_index(spark, path, spark.range(n).selectExpr("id as k"), build)
+        assert len(built) == times
+    assert got.count() == 5
+    spark.createDataFrame([("d1", "a_chunk_0"), ("d2", "b_chunk_0")], "doc_id string, chunk_id string").write.parquet(f"{tmp_path}/chunks")
+    assert [r["chunk_id"] for r in tables.chunk_scan(spark, f"{tmp_path}/chunks", ["d2"]).collect()] == ["b_chunk_0"]
+
+
+def test_gold_and_runs(spark, tmp_path):
+    a = spark.createDataFrame([("q1", ["d1", "d2"]), ("q2", [])], "qid string, gold_doc_ids array<string>")
+    b = spark.createDataFrame([("q3", ["d2", "d3"])], "qid string, gold_doc_ids array<string>")
+    assert sorted(r[0] for r in tables.gold_documents(a, b).collect()) == ["d1", "d2", "d3"]
+    run = spark.createDataFrame([("vector", "public", "r1", 0.5), ("graph", "public", "r2", 0.7)], "pipeline string, eval_set string, run_id string, accuracy double")
+    tables.save_run(run, f"{tmp_path}/runs")
+    assert {(r["pipeline"], r["run_id"]) for r in tables.read_runs(spark, f"{tmp_path}/runs").collect()} == {("vector", "r1"), ("graph", "r2")}
+    rows = spark.createDataFrame([("1", 2)], "qid string, v int")
+    tables.append_checkpoint(rows, f"{tmp_path}/cp")
+    tables.append_checkpoint(rows.withColumn("v", F.lit(3)), f"{tmp_path}/cp")
+    assert tables.read_checkpoint(spark, f"{tmp_path}/cp", "qid string, v int").count() == 1
+    assert tables.missing_columns(a.schema, b.withColumn("x", F.lit(1)).schema) == ["x"]
+
+
+def test_judge_and_answer(spark):
+    slots = spark.createDataFrame([(1, "s1", "red green blue"), (1, "s2", "one two three four"), (2, "s1", "x")], "qid int, slot string, question string")
+    found = spark.createDataFrame([(1, "Green and blue, then red"), (1, "one, two")], "qid int, text string")
+    got = {(r["qid"], r["slot"]): r["status"] for r in search.judge_slots(slots, found).collect()}
+    assert got == {(1, "s1"): "supported", (1, "s2"): "partial", (2, "s1"): "missing"}
+    ctx = spark.createDataFrame([(1, i, f"c{i}", f"text {i}", 0.1 * i) for i in (3, 1, 2, 4)], "qid int, position int, chunk_id string, text string, rerank_score double")
+    (one,) = search.answer(ctx).collect()
+    assert (one["predicted"], one["citations"], one["evidence_sufficient"]) == ("text 1", ["c1", "c2", "c3"], True)
+
+
+def test_prompts(spark):
+    q = spark.createDataFrame([(1, "Who?"), (2, "What?")], "qid int, query string")
+    slots = spark.createDataFrame([(1, "s1", "who", "relational")], "qid int, slot string, question string, slot_type string")
+    trace = spark.createDataFrame([(1, i, "VECTOR_SEARCH", "sub", "ok") for i in range(9)], "qid int, step int, tool string, subquery string, result string")
+    state = spark.createDataFrame([(1, 2, 1, 0, 1, 0)], "qid int, step int, graph_calls int, scope_calls int, vector_calls int, community_calls int")
+    statuses = spark.createDataFrame([(1, "s1", "partial", 0.5)], "qid int, slot string, status string, support_score double")
+    roots = spark.createDataFrame([(1, "sport:luge", "sport", 4, 1)], "qid int, key string, level string, n_events int, root_rank int")
+    seen = spark.createDataFrame([(1, "sport:luge")], "qid int, key string")
+    text = {r["qid"]: r["prompt"] for r in prompts.supervisor_prompt(q, slots, statuses, trace, state, roots, seen).collect()}
+    assert "step 3:" in text[1] and "step 2:" not in text[1] and "graph calls 1/3" in text[1] and "~4 events (investigated)" in text[1]
+    assert "(none yet)" in text[2]
+    paths = spark.createDataFrame([(1, f"p{i}", i) for i in range(30)], "qid int, path string, position int")
+    chunks = spark.createDataFrame([(1, 1, "c", "graph", 2, "a\nb")], "qid int, position int, chunk_id string, source string, support int, text string")
+    lost = spark.createDataFrame([(1, 1, "B"), (1, 0, "A")], "qid int, mention_ord int, mention string")
+    text = {r["qid"]: r["prompt"] for r in prompts.evaluator_prompt(q, slots, paths, chunks, lost).collect()}
+    assert "p19" in text[1] and "p20" not in text[1] and "[c] (graph, support=2) a b" in text[1] and "Not in the graph: A, B" in text[1]
+    assert prompts.answer_prompt(q, chunks.select("qid", "position", "text")).count() == prompts.planner_prompt(q).count() == prompts.entity_prompt(q).count() == 2
+    assert prompts.extraction_prompt(spark.createDataFrame([("c", None, "t")], "chunk_id string, title string, text string")).first()["prompt"].startswith("Title: \n")
+
+
+def test_event_contexts(spark):
+    events = spark.createDataFrame([("e1", "Women's keirin at the 2012 Summer Olympics", ["d_chunk_1", "c_chunk_0"]), ("e2", "Opening", ["x_chunk_0"])], "vid string, name string, mentioned_in array<string>")
+    titles = spark.createDataFrame([("d", "Cycling at the 2012 Summer Olympics – Women's keirin"), ("c", "")], "doc_id string, title string")
+    sports = spark.createDataFrame([("Cycling",)], "sport string")
+    got = {r["vid"]: r["context"] for r in resolve.event_contexts(events, titles, sports).collect()}
+    assert "sport:cycling" in got["e1"]["context_keys"] and got["e2"]["context_keys"] == ["topic:opening"]
 
 
 def test_accept_rules(spark):
@@ -195,8 +335,7 @@ def test_loop_ends_and_counts(spark):
     q = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"])], "qid int, candidates array<string>")
     propose = lambda s: s.withColumn("proposal", F.when(F.col("qid") == 1, "GRAPH_SCOPE").otherwise("REFORMULATE")).withColumn("reason", F.lit("")).withColumn("target", F.lit("a"))
     tool = lambda s: s.select("qid", F.col("target_context").alias("chunk_id"))
-    folder = tables.shared_folder(spark)
-    state, evidence = investigate.run(q, propose, {"GRAPH_SCOPE": tool}, lambda df, n: tables.shared_copy(df, folder, n))
+    state, evidence = investigate.run(q, propose, {"GRAPH_SCOPE": tool}, shared_copy)
     got = {r["qid"]: r for r in state.collect()}
     assert got[1]["scope_calls"] == 2 and got[1]["reason_code"] == "diminishing_returns"
     assert got[2]["action"] == "STOP" and got[2]["reason_code"] == "budget_exhausted" and got[2]["step"] == 6
@@ -205,9 +344,9 @@ def test_loop_ends_and_counts(spark):
 
 def test_sinks(spark, tmp_path):
     tables.ensure_table(spark, "lode_chunks", "chunk_id string, n int", reset=True)
-    rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2)], "chunk_id string, n int")
+    rows = spark.createDataFrame([(1, "a"), (3, "b"), (2, "b")], "n int, chunk_id string")
     assert tables.top_up(spark, rows, "lode_chunks", "chunk_id") == 2 and tables.top_up(spark, rows, "lode_chunks", "chunk_id") == 0
-    assert spark.table("lode_chunks").count() == 2
+    assert {tuple(r) for r in spark.table("lode_chunks").collect()} == {("a", 1), ("b", 2)}
     spark.sql("DROP TABLE lode_chunks")
     (tmp_path / "cp.jsonl").write_text('{"qid": "1", "v": 1}\nnot json\n\n{"qid": "1", "v": 2}\n{"qid": "2", "v": 3}\n')
     got = {r["qid"]: r["v"] for r in tables.read_checkpoint(spark, str(tmp_path / "cp.jsonl"), "qid string, v int").collect()}
