@@ -28,7 +28,6 @@ empty table gives an empty result; extra columns are kept by without_toxic().
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -38,7 +37,7 @@ from pyspark.sql import types as T
 from . import textcore as tc
 from .common import saved, slices
 
-EXAMPLES, CELLS, GAIN, NEIGHBOURS, SOFTEN, BLOCK, BATCH = 4000, 2_000_000, 30.0, 25, 0.05, 32, 128
+EXAMPLES, CELLS, GAIN, NEIGHBOURS, SOFTEN, BLOCK, BATCH, POSTINGS = 4000, 2_000_000, 30.0, 25, 0.05, 32, 64, 200_000
 OUT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("toxic", T.IntegerType())])))])
 
 
@@ -108,7 +107,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     new[1:] = (row[1:] != row[:-1]) | (term[1:] != term[:-1])
     first = np.flatnonzero(new)
     count = np.add.reduceat(count, first) if len(first) else count
-    return index(ids, toxic, row[first], term[first], count, gain, k, soften, block)
+    model = index(ids, toxic, row[first], term[first], count, gain, k, soften, block)
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def relevance(df: np.ndarray, a: np.ndarray, n0: int, n1: int, gain: float) -> np.ndarray:
@@ -189,12 +190,21 @@ def nearest(m: dict, n: int, row: np.ndarray, term: np.ndarray, count: np.ndarra
     often = m["dense"][col] >= 0
     ask[row[often], m["dense"][col[often]]] = w[often]
     row, col, w = row[~often], col[~often], w[~often]
-    size = m["start"][col + 1] - m["start"][col]
-    at = np.repeat(m["start"][col] - np.cumsum(size) + size, size) + np.arange(size.sum())
-    score = np.bincount(np.repeat(row * wide, size) + m["post"][at], np.repeat(w, size) * m["weight"][at], minlength=n * wide).reshape(n, wide)
     if not wide:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0)
+    size = m["start"][col + 1] - m["start"][col]
+    upto, score = np.cumsum(size), np.zeros(n * wide)
+    # postings are summed a bounded number at a time, whatever the texts hold
+    edges = np.unique(np.concatenate(([0], np.searchsorted(upto, np.arange(POSTINGS, upto[-1], POSTINGS)) + 1, [len(size)]))) if len(size) else [0]
+    for i, j in zip(edges[:-1], edges[1:]):
+        one = size[i:j]
+        at = np.repeat(m["start"][col[i:j]] - np.cumsum(one) + one, one) + np.arange(one.sum())
+        place = np.repeat(row[i:j] * wide, one) + m["post"][at]
+        first = int(row[i]) * wide
+        last = (int(row[j - 1]) + 1) * wide
+        score[first:last] += np.bincount(place - first, np.repeat(w[i:j], one) * m["weight"][at], minlength=last - first)
+    score = score.reshape(n, wide)
     bound = ask @ m["bounds"] + score.reshape(n, -1, block).max(axis=2)
     rare, score = score, np.full((n, wide), -1.0)
     opened = np.zeros(bound.shape, bool)
@@ -261,11 +271,14 @@ def score_column(docs: DataFrame, model: dict, text_col: str = "text") -> Column
     """A struct column (score, evidence) for the texts of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        got = list(scores(shared.value, pa.array(texts, pa.string(), from_pandas=True)))
-        return pd.DataFrame({"score": np.concatenate([g[1] for g in got]) if got else [], "evidence": [e for g in got for e in g[2]]})
+    kinds = pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])
+
+    def run(texts: pa.Array) -> pa.Array:
+        got = list(scores(shared.value, texts))
+        score = np.concatenate([g[1] for g in got]) if got else np.zeros(0)
+        return pa.StructArray.from_arrays([pa.array(score), pa.array([e for g in got for e in g[2]], pa.list_(kinds))], names=["score", "evidence"])
 
-    return F.pandas_udf(run, OUT)(F.col(text_col))
+    return F.arrow_udf(run, OUT)(F.col(text_col))
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
