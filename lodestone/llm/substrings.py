@@ -99,11 +99,12 @@ def _chunks(mean, pick):
                 doc = np.searchsorted(at, starts, "right") - 1
                 starts = np.maximum(starts - 16, at[doc])
                 h = tc.word_hashes(part, starts, ends, 11)
-                # in a text that goes on repeating itself, the first of equal chunks
-                new = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
-                h, doc, starts, ends = h[new], doc[new], starts[new], ends[new]
                 take = posted(h, doc, pick) & (ends - starts >= 16)
-                h, doc, starts, ends = h[take].view(np.int64), doc[take], starts[take], ends[take]
+                h, doc, starts, ends = h[take], doc[take], starts[take], ends[take]
+                # in a text that goes on repeating itself, the first of equal posts
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                h, doc, starts, ends = h[new].view(np.int64), doc[new], starts[new], ends[new]
                 ids = batch.column(0).slice(a, b - a).cast(pa.int64())
                 yield pa.record_batch([pa.array(h), ids.take(pa.array(doc)), pa.array((starts - at[doc]).astype(np.int32)), pa.array((ends - starts).astype(np.int32))], names=["digest", "doc_id", "start", "size"])
 
