@@ -41,6 +41,7 @@ MASKS = ("110110101101", "1110010110011", "1011100101101", "110011101011")
 SHORT_MASKS = ("1111", "10111", "11011", "11101")
 LEAST_WORDS, SHARE, BITS = 13, 0.8, 26
 SEEDS = "key long, pos int, mask int, hash long"
+FOUND = "key long, doc_id long, item_id long, words_equal long, words_long long, first_word long"
 
 
 def _hashed(col, seed: int = 3):
@@ -146,26 +147,29 @@ def overlap(equal: np.ndarray, size: int, least: int, share: float) -> tuple[int
 
 
 def _verify(least, share):
-    def run(docs: pa.Table, cands: pa.Table) -> pa.Table:
-        out, doc_id = [], None
-        if cands.num_rows and docs.num_rows:
-            rows = list(zip(cands.column("item_id").to_pylist(), cands.column("diag").to_pylist(), (np.array(x, np.int64).view(np.uint64) for x in cands.column("words").to_pylist())))
-            doc_id, best = docs.column("doc_id")[0].as_py(), {}
-            for _, h, at in _hashed(docs.column("text").combine_chunks()):
-                for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
-                    for item, diag, words in rows:
-                        lo, hi = max(0, -diag), min(len(words), y - x - diag)
-                        if hi <= lo or (len(words) < 3 and y - x != len(words)):
+    """key, doc_id, text, items (item_id, diags, words) -> FOUND, row by row."""
+
+    def run(batches):
+        for batch in batches:
+            keys, ids, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            out = []
+            for a, h, at in _hashed(batch.column(2)):
+                for i, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist()), a):
+                    for item in lists[i] or ():
+                        words, best = np.array(item["words"], np.int64).view(np.uint64), None
+                        if len(words) < 3 and y - x != len(words):
                             continue
-                        equal = h[x + diag + lo : x + diag + hi] == words[lo:hi]
-                        got = overlap(equal, len(words), least, share)
-                        if got:
-                            s, e = got
-                            new = (int(equal[s:e].sum()), e - s, -(diag + lo + s))
-                            best[item] = max(best.get(item, new), new)
-            out = [(doc_id, item, same, n, -start) for item, (same, n, start) in best.items()]
-        cols = list(zip(*out)) or [()] * 5
-        return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("doc_id", "item_id", "words_equal", "words_long", "first_word"), cols)})
+                        for diag in item["diags"]:
+                            lo, hi = max(0, -diag), min(len(words), y - x - diag)
+                            got = overlap(h[x + diag + lo : x + diag + hi] == words[lo:hi], len(words), least, share) if hi > lo else None
+                            if got:
+                                s, e = got
+                                same = int((h[x + diag + lo + s : x + diag + lo + e] == words[lo + s : lo + e]).sum())
+                                best = max(best or (0, 0, -(1 << 60)), (same, e - s, -(diag + lo + s)))
+                        if best:
+                            out.append((keys[i], ids[i], item["item_id"], *best[:2], -best[2]))
+            cols = list(zip(*out)) or [()] * 6
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in FOUND.split(", ")])
 
     return run
 
@@ -203,10 +207,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     cands = saved(cands, "candidates", (tests,))
     chosen, _ = split_off(narrow, F.col("key"), cands.select("key").distinct(), "key")
     words = items.mapInArrow(_item_words, "item_id long, words array<long>")
-    cands = cands.join(words, "item_id").select("key", "item_id", "diag", "words")
-    # a document's rows and its diagonals meet; rows without an id have keys of their own
-    both = chosen.groupBy("key").cogroup(cands.groupBy("key"))
-    return both.applyInArrow(_verify(least_words, share), "doc_id long, item_id long, words_equal long, words_long long, first_word long")
+    # one row of candidates for each key, at most as long as its text; rows that share a
+    # key (or have no text apart) meet it in a join that can be split
+    lists = cands.groupBy("key", "item_id").agg(F.sort_array(F.collect_list("diag")).alias("diags")).join(words, "item_id")
+    lists = lists.groupBy("key").agg(F.collect_list(F.struct("item_id", "diags", "words")).alias("items"))
+    rows = chosen.join(lists, "key").select("key", "doc_id", "text", "items").mapInArrow(_verify(least_words, share), FOUND)
+    best = F.max(F.struct("words_equal", "words_long", (-F.col("first_word")).alias("at"))).alias("b")
+    return rows.groupBy("key", "doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.words_equal", "b.words_long", (-F.col("b.at")).alias("first_word"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

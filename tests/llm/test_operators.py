@@ -73,6 +73,21 @@ def test_words_and_hashes():
     assert textcore.word_hashes(again, s2, e2)[1] == h[1]
 
 
+def test_workers_need_no_package(tmp_path):
+    """Functions and broadcast models load where this package is not installed."""
+    import pickle
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    tasks = [near_dedup._features(5, 8), substrings._chunks(16, 3), decontaminate._verify(13, 0.8), toxicity._example_terms, langid._counts, exact_dedup._prints]
+    models = [tuple(langid.Model(["a"], np.zeros((4, 1)))), toxicity.index(np.arange(3), np.array([0, 1, 0]), np.arange(3), np.arange(3).astype(np.uint64), np.ones(3, int))]
+    (tmp_path / "x").write_bytes(pickle.dumps(([cloudpickle.dumps(t) for t in tasks], pickle.dumps(models))))
+    code = "import pickle, sys; t, m = pickle.load(open(sys.argv[1], 'rb')); [pickle.loads(x) for x in t]; pickle.loads(m); assert 'lodestone' not in sys.modules"
+    subprocess.run([sys.executable, "-I", "-c", code, str(tmp_path / "x")], check=True, cwd=tmp_path, timeout=120)
+
+
 def test_components(spark):
     r = random.Random(1)
     pairs = [(r.randint(0, 80), r.randint(0, 80)) for _ in range(60)] + [(None, 1), (3, 3)] + [(200 + i, 201 + i) for i in range(30)]
