@@ -96,7 +96,7 @@ def marks(keys: DataFrame, col: str, bits: int = 24) -> DataFrame:
     """A bitmap of 2^bits places with those of the keys set: at most 2^(bits - 6) rows,
     whatever the number of keys, so that it can be broadcast. Written to a table."""
     slot = keys.select(_slot(F.col(col), bits).alias("s"))
-    words = slot.groupBy(F.shiftrightunsigned("s", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("_bits"))
+    words = slot.groupBy(F.shiftrightunsigned("s", 6).alias("_lode_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("_lode_bits"))
     return saved(words, "marks")
 
 
@@ -104,9 +104,9 @@ def maybe(df: DataFrame, key: Column, marked: DataFrame, bits: int = 24) -> tupl
     """(df with a bitmap's column, condition): true for all rows whose key is among the
     marked ones, false for most others. The rows are not shuffled."""
     slot = _slot(key, bits)
-    out = df.join(F.broadcast(marked), F.shiftrightunsigned(slot, 6) == F.col("_word"), "left")
-    bit = F.expr("shiftright(_bits, cast(_at & 63 as int)) & 1")
-    return out.withColumn("_at", slot).withColumn("_maybe", F.coalesce(bit, F.lit(0)) == 1).drop("_word", "_bits", "_at"), F.col("_maybe")
+    out = df.join(F.broadcast(marked), F.shiftrightunsigned(slot, 6) == F.col("_lode_word"), "left")
+    bit = F.expr("shiftright(_lode_bits, cast(_lode_at & 63 as int)) & 1")
+    return out.withColumn("_lode_at", slot).withColumn("_lode_maybe", F.coalesce(bit, F.lit(0)) == 1).drop("_lode_word", "_lode_bits", "_lode_at"), F.col("_lode_maybe")
 
 
 def split_off(df: DataFrame, key: Column, keys: DataFrame, col: str, bits: int = 22) -> tuple[DataFrame, DataFrame]:
@@ -114,12 +114,12 @@ def split_off(df: DataFrame, key: Column, keys: DataFrame, col: str, bits: int =
     passed on as they are; only the rest are joined. Null keys are among the others.
     A full bitmap rules nothing out: then all rows are joined, with the same result."""
     marked = marks(keys.where(F.col(col).isNotNull()), col, bits)
-    seen, hit = maybe(df.withColumn("_key", key), F.col("_key"), marked, bits)
-    near, far = seen.where(hit).drop("_maybe"), seen.where(~hit | F.col("_key").isNull()).drop("_maybe", "_key")
-    near = near.where(F.col("_key").isNotNull())
-    with_key = keys.select(F.col(col).alias("_in")).where(F.col("_in").isNotNull())
-    chosen = near.join(with_key, F.col("_key") == F.col("_in"), "left_semi").drop("_key")
-    rest = near.join(with_key, F.col("_key") == F.col("_in"), "left_anti").drop("_key")
+    seen, hit = maybe(df.withColumn("_lode_key", key), F.col("_lode_key"), marked, bits)
+    near, far = seen.where(hit).drop("_lode_maybe"), seen.where(~hit | F.col("_lode_key").isNull()).drop("_lode_maybe", "_lode_key")
+    near = near.where(F.col("_lode_key").isNotNull())
+    with_key = keys.select(F.col(col).alias("_lode_in")).where(F.col("_lode_in").isNotNull())
+    chosen = near.join(with_key, F.col("_lode_key") == F.col("_lode_in"), "left_semi").drop("_lode_key")
+    rest = near.join(with_key, F.col("_lode_key") == F.col("_lode_in"), "left_anti").drop("_lode_key")
     return chosen, far.unionByName(rest)
 
 

@@ -154,7 +154,7 @@ def _runs(chunks: DataFrame, mean: int, pick: int, bits: int) -> DataFrame:
     shared = chunks.groupBy("digest").agg(first, F.max("doc_id").alias("last")).where("last <> o.doc_id").select("digest", F.col("o.doc_id").alias("first_doc_id"), F.col("o.start").alias("first_start"))
     shared = saved(shared, "shared")
     seen, hit = maybe(chunks, F.col("digest"), marks(shared, "digest", bits), bits)
-    repeats = seen.where(hit).drop("_maybe").join(shared, "digest").where("doc_id <> first_doc_id").select("doc_id", "first_doc_id", "start", "first_start", "size")
+    repeats = seen.where(hit).drop("_lode_maybe").join(shared, "digest").where("doc_id <> first_doc_id").select("doc_id", "first_doc_id", "start", "first_start", "size")
     # chunks of one document that repeat one original at one shift, joined where posted ones may be neighbours
     shift = F.col("start") - F.col("first_start")
     order = Window.partitionBy("doc_id", "first_doc_id", "shift").orderBy("start")
