@@ -90,6 +90,13 @@ def prediction_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.predictions(runs).groupBy("pipeline", "qid").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
 
 
+def metadata_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of documents without the entries that have no value."""
+    d = _table(spark, sf_dir, "documents")
+    entries = F.create_map(F.lit("lang"), F.when(F.col("doc_id") % 3 > 0, F.col("lang")), F.lit("source"), F.col("source"), F.lit("url"), F.lit(None).cast("string"))
+    return d.select("doc_id", F.array_join(F.array_sort(F.map_keys(ingest.scalars_only(entries))), "|").alias("names"))
+
+
 def _state(spark, sf_dir):
     k = F.col("o_orderkey")
     pick = lambda names: F.get(F.array(*[F.lit(n) for n in names]), (k % len(names)).cast("int"))
@@ -145,7 +152,7 @@ def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return investigate.prompt_blocks(c)
 
 
-QUERIES = {f.__name__: f for f in (answer_match, gold_coverage, eval_summary, class_rollup, qtype_pivot, latency_split, metrics_summary, metrics_contract, newest_run, resume_checkpoint, upsert_latest, prediction_export, supervisor_policy, evidence_stats, slot_status, context_builder, result_assembly, citation_remap, prompt_assembly)}
+QUERIES = {f.__name__: f for f in (answer_match, gold_coverage, eval_summary, class_rollup, qtype_pivot, latency_split, metrics_summary, metrics_contract, newest_run, resume_checkpoint, upsert_latest, prediction_export, supervisor_policy, evidence_stats, slot_status, context_builder, result_assembly, citation_remap, prompt_assembly, metadata_scalars)}
 
 _REC = f"rec AS (SELECT qid, qtype, pipeline, hit AS answer_match, err AS error, event_id % 1000 AS tokens, ms FROM ({fx.duck(fx.RECORDS)}))"
 _N = [*evaluation.CORE_METRICS, "steps"]
@@ -177,6 +184,7 @@ SQL = {
     "resume_checkpoint": f"WITH {_REC} SELECT c_custkey AS qid FROM customer WHERE c_custkey NOT IN (SELECT qid FROM rec WHERE error IS NULL)",
     "upsert_latest": "SELECT c_custkey AS s_suppkey, c_name AS s_name FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)",
     "prediction_export": f"WITH {_REC} SELECT pipeline, qid, count(*) AS n, sum(tokens)::BIGINT AS tokens FROM rec WHERE error IS NULL GROUP BY 1, 2",
+    "metadata_scalars": "SELECT doc_id, CASE WHEN doc_id % 3 > 0 AND lang IS NOT NULL THEN 'lang|source' ELSE 'source' END AS names FROM documents WHERE source IS NOT NULL UNION ALL SELECT doc_id, CASE WHEN doc_id % 3 > 0 AND lang IS NOT NULL THEN 'lang' ELSE '' END FROM documents WHERE source IS NULL",
     "supervisor_policy": _POLICY,
     "evidence_stats": """WITH e AS (SELECT l_orderkey % 300 AS qid, l_linenumber AS step, l_partkey % 50 AS ch, CASE WHEN l_suppkey % 5 > 0 THEN l_suppkey % 40 END AS ev FROM lineitem),
       f AS (SELECT qid, ch, min(step) AS step FROM e GROUP BY 1, 2), h AS (SELECT qid, ev, min(step) AS step FROM e WHERE ev IS NOT NULL GROUP BY 1, 2), n AS (SELECT qid, step, count(*) AS rows FROM e GROUP BY 1, 2),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.operators import ingest
+from lodestone.operators import evaluation, ingest
 
 from .shared import shared_copy
 
@@ -61,6 +61,13 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
+def write_predictions(runs: DataFrame, path: str) -> None:
+    """All pipelines' predictions as CSV rows and as one JSON line for each pipeline."""
+    rows = evaluation.predictions(runs)
+    write_csv(rows, f"{path}/csv")
+    rows.groupBy("pipeline").agg(F.sort_array(F.collect_list(F.struct(*[c for c in rows.columns if c != "pipeline"]))).alias("records")).write.mode("overwrite").json(f"{path}/json")
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 

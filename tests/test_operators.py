@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import bm25, evaluation, graph, ingest, investigate, load, matching, prompts, ranking, rerank, resolve, search, splitter, vectors
+from lodestone.plans import runner
 from lodestone.sources import tables
 from lodestone.sources.shared import shared_copy
 
@@ -354,3 +355,30 @@ def test_sinks(spark, tmp_path):
     p = spark.createDataFrame([("1", 'say "hi"\nthere')], "qid string, predicted string")
     tables.write_csv(p, str(tmp_path / "csv"))
     assert tables.read_csv(spark, str(tmp_path / "csv"), "qid string, predicted string").collect() == p.collect()
+
+
+def test_predictions_export(spark, tmp_path):
+    runs = spark.createDataFrame([("vector", [("q1", "a"), ("q2", "b\nc")]), ("graph", [("q1", "d")])], "pipeline string, records array<struct<qid:string,predicted:string>>")
+    tables.write_predictions(runs, f"{tmp_path}/p")
+    assert tables.read_csv(spark, f"{tmp_path}/p/csv", "pipeline string, qid string, predicted string").count() == 3
+    got = {r["pipeline"]: [x["qid"] for x in r["records"]] for r in spark.read.json(f"{tmp_path}/p/json").collect()}
+    assert got == {"vector": ["q1", "q2"], "graph": ["q1"]}
+
+
+def test_runner_goes_on(spark, tmp_path):
+    def broken(spark, sf_dir):
+        raise ValueError("no such table")
+
+    got = runner.run_all(spark, "x", {"a": lambda s, d: s.range(3), "b": broken, "c": lambda s, d: s.range(2)}, f"{tmp_path}/out")
+    assert [(r["name"], r["rows"]) for r in got.collect()] == [("a", 3), ("b", None), ("c", 2)]
+    assert runner.retry_delay("quota: Retry in 7.5s", 3) == 9.5 and runner.retry_delay("retry in 500 s", 0) == 120 and runner.retry_delay("busy", 3) == 16
+
+
+def test_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from lodestone.sources import shared
+
+    context = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_folder(SimpleNamespace(sparkContext=context))
