@@ -157,11 +157,10 @@ def balance(base: DataFrame, weights=WEIGHTS, cap: int = CAP, share: float = 1.0
         bins = bins.groupBy("_s", F.shiftright("_place", shift).alias("bin")).agg(F.sum("size").alias("mass"))
         # at most 4,096 rows of a source
         upto = F.sum("mass").over(Window.partitionBy("_s").orderBy("bin"))
-        heads = bins.select(F.col("_s").alias("_b"), "bin", upto.alias("upto"), "mass").join(cuts.select("_s", "took", "target"), F.col("_b").eqNullSafe(F.col("_s"))).where(F.col("took") + F.col("upto") <= F.col("target"))
-        heads = heads.groupBy("_b").agg(F.max("upto").alias("taken"))
-        first = bins.select(F.col("_s").alias("_f"), "bin", upto.alias("upto")).join(cuts.select("_s", "took", "target"), F.col("_f").eqNullSafe(F.col("_s"))).where(F.col("took") + F.col("upto") > F.col("target"))
-        first = first.groupBy("_f").agg(F.min("bin").alias("bin"))
-        step = cuts.join(heads, F.col("_s").eqNullSafe(F.col("_b")), "left").join(first, F.col("_s").eqNullSafe(F.col("_f")), "left")
+        sums = bins.select(F.col("_s").alias("_b"), "bin", upto.alias("upto")).join(cuts.select("_s", "took", "target"), F.col("_b").eqNullSafe(F.col("_s")))
+        over = F.col("took") + F.col("upto") > F.col("target")
+        heads = sums.groupBy("_b").agg(F.max(F.when(~over, F.col("upto"))).alias("taken"), F.min(F.when(over, F.col("bin"))).alias("bin"))
+        step = cuts.join(heads, F.col("_s").eqNullSafe(F.col("_b")), "left")
         # the place that passes the target; beyond the last one if none does
         end = F.shiftleft(F.col("cut"), PLACE) + (1 << PLACE)
         cuts = saved(step.select("_s", "target", (F.col("took") + F.coalesce("taken", F.lit(0))).alias("took"), F.coalesce("bin", end).alias("cut")), "mix-cuts", (cuts,))
@@ -172,10 +171,10 @@ def balance(base: DataFrame, weights=WEIGHTS, cap: int = CAP, share: float = 1.0
     pick = fits.groupBy("_s").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("d"), F.col("_id"), F.col("size"), F.col("gap"))).alias("p"))
     pick = saved(pick.select("_s", F.col("p._id").alias("mend_id"), F.col("p.size").alias("mend_size"), F.col("p.gap").alias("gap")), "mix-pick")
     same = rows.join(pick, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_id") == F.col("mend_id")) & (F.col("size") == F.col("mend_size"))).groupBy(F.col("_s").alias("_p")).agg(F.count("*").alias("alike"))
-    pick = pick.join(same, F.col("_s").eqNullSafe(F.col("_p"))).where(F.abs(F.col("gap") - F.col("alike") * F.col("mend_size")) < F.abs("gap"))
-    pick = pick.select(F.col("_s").alias("_p"), "mend_id", "mend_size", F.lit(1).alias("mend_by"))
+    mend = pick.join(same, F.col("_s").eqNullSafe(F.col("_p"))).where(F.abs(F.col("gap") - F.col("alike") * F.col("mend_size")) < F.abs("gap"))
+    mend = mend.select(F.col("_s").alias("_p"), "mend_id", "mend_size", F.lit(1).alias("mend_by"))
     cut = cuts.select(F.col("_s").alias("_c"), "cut")
-    out = plan.join(cut, F.col("source").eqNullSafe(F.col("_c")), "left").join(pick, F.col("source").eqNullSafe(F.col("_p")), "left").drop("_c", "_p")
+    out = plan.join(cut, F.col("source").eqNullSafe(F.col("_c")), "left").join(mend, F.col("source").eqNullSafe(F.col("_p")), "left").drop("_c", "_p")
     return saved(out, "mix-balance", (rows, plan, cuts, pick))
 
 
