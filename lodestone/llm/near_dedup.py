@@ -15,8 +15,9 @@
    have their full sets fetched and compared. Links give labels, a list with one label
    is done, and pivots leave their list. What remains
    after `rounds` is counted block by block, members outside a list's largest label
-   against all members; the sets of those that reach the threshold with someone
-   of another label are then compared in the same blocks. No step emits the pairs of
+   against all members, two members only in the first list that both are in; the sets of
+   those that reach the threshold with someone of another label are then compared in
+   the same blocks. No step emits the pairs of
    a group, and no pair above the threshold is passed over.
 
 With 48 coordinates and 22 common ones, a pair at the similarity 0.75 is missed
@@ -106,33 +107,45 @@ def _sets(k: int):
     return run
 
 
-def _places(table: pa.Table):
-    side = np.array(table.column("side").to_pylist(), int)
-    return np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+class _Block:
+    """One block pair of a posting list: rows that ask (side 0) and all rows (side 1)."""
 
+    def __init__(self, table: pa.Table):
+        self.tok = table.column("tok")[0].as_py() if table.num_rows else 0
+        side = np.array(table.column("side").to_pylist(), int)
+        self.ask, self.data = np.flatnonzero(side == 0).tolist(), np.flatnonzero(side == 1)
+        self.dig, self.lab = table.column("dig").to_pylist(), table.column("lab").to_pylist()
+        self.place = np.argsort(np.argsort(np.array(self.dig, object).astype("S16")))
+        self.other = np.array(table.column("other").to_pylist(), bool)
+        lists = table.column("toks").combine_chunks()
+        size, none = np.diff(np.asarray(lists.offsets)), np.iinfo(np.int64).max
+        self.toks = np.full((len(size), max(size, default=1)), none)
+        self.toks[np.arange(self.toks.shape[1]) < size[:, None]] = np.asarray(lists.flatten())
 
-def _matrix(table: pa.Table) -> np.ndarray:
-    return np.asarray(table.column("sig").combine_chunks().flatten()).reshape(table.num_rows, -1)
-
-
-def _alike(sig, size, i, data, least, num, den):
-    """Members of data that share `least` coordinates with i and have a size that allows a link."""
-    return data[((sig[data] == sig[i]).sum(axis=1) >= least) & (den * np.minimum(size[data], size[i]) >= num * np.maximum(size[data], size[i]))]
+    def partners(self, i: int, size: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Rows that i is compared with here: their sizes allow a link, this list is the
+        first that both are in, and of two that ask each other one asks."""
+        near = self.data[den * np.minimum(size[self.data], size[i]) >= num * np.maximum(size[self.data], size[i])]
+        near = near[~self.other[near] | (self.place[near] > self.place[i])]
+        both = self.toks[near]
+        both = np.where(np.isin(both, self.toks[i]), both, np.iinfo(np.int64).max)
+        return near[both.min(axis=1) == self.tok] if len(near) else near
 
 
 def _count_block(least: int, num: int, den: int):
     """The members of one block pair that reach the threshold with a member of another label."""
 
     def run(table: pa.Table) -> pa.Table:
-        sig, size = _matrix(table), table.column("n").to_numpy()
-        _, lab = np.unique(np.array(table.column("lab").to_pylist(), object).astype("S16"), return_inverse=True)
-        ask, data = _places(table)
+        block = _Block(table)
+        sig, size = np.asarray(table.column("sig").combine_chunks().flatten()).reshape(table.num_rows, -1), table.column("n").to_numpy()
+        _, lab = np.unique(np.array(block.lab, object).astype("S16"), return_inverse=True)
         hit = np.zeros(table.num_rows, bool)
-        for i in ask:
-            near = _alike(sig, size, i, data, least, num, den)
+        for i in block.ask:
+            near = block.partners(i, size, num, den)
             near = near[lab[near] != lab[i]]
+            near = near[(sig[near] == sig[i]).sum(axis=1) >= least]
             hit[near] = True
-            hit[i] = hit[i] or len(near) > 0
+            hit[i] = len(near) > 0
         return table.filter(pa.array(hit)).drop_columns(["sig", "n"])
 
     return run
@@ -142,12 +155,11 @@ def _link_block(num: int, den: int):
     """Confirm links between the two sides of one block pair of a posting list."""
 
     def run(table: pa.Table) -> pa.Table:
-        dig, lab = table.column("dig").to_pylist(), table.column("lab").to_pylist()
+        block = _Block(table)
         col = table.column("items").combine_chunks()
         off, flat = np.asarray(col.offsets), np.asarray(col.values).view(np.uint64)
-        items, size = [flat[off[i] : off[i + 1]] for i in range(len(dig))], np.diff(off)
-        ask, data = _places(table)
-        root = {x: x for x in lab}
+        items, size = [flat[off[i] : off[i + 1]] for i in range(len(off) - 1)], np.diff(off)
+        root = {x: x for x in block.lab}
 
         def find(x):
             while root[x] != x:
@@ -155,16 +167,15 @@ def _link_block(num: int, den: int):
             return x
 
         out = []
-        for i in ask.tolist():
-            near = data[den * np.minimum(size[data], size[i]) >= num * np.maximum(size[data], size[i])]
-            for j in near.tolist():
-                a, b = find(lab[i]), find(lab[j])
+        for i in block.ask:
+            for j in block.partners(i, size, num, den).tolist():
+                a, b = find(block.lab[i]), find(block.lab[j])
                 if a == b:
                     continue
                 both = len(np.intersect1d(items[i], items[j], assume_unique=True))
                 if den * both >= num * (size[i] + size[j] - both):
                     root[a] = b
-                    out.append((dig[i], dig[j]))
+                    out.append((block.dig[i], block.dig[j]))
         return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
 
     return run
@@ -286,12 +297,14 @@ def _linked(pairs, sets, percent):
 def _block_round(here, need, sets, least, percent, block):
     parts = here.groupBy("tok", "lab").agg(F.count("*").alias("n"))
     sizes = saved(parts.groupBy("tok").agg(F.sum("n").alias("all"), F.max(F.struct("n", "lab")).alias("top")).select("tok", "all", F.col("top.lab").alias("top"), (F.col("all") - F.col("top.n")).alias("others")), "sizes")
-    side = here.join(sizes, "tok").join(need.select("dig", "sig", "n"), "dig")
+    mine = here.groupBy("dig").agg(F.sort_array(F.collect_list("tok")).alias("toks")).join(need.select("dig", "sig", "n"), "dig")
+    side = here.join(sizes, "tok").join(saved(mine, "members"), "dig").withColumn("other", F.col("lab") != F.col("top"))
     na, nd = F.ceil(F.col("others") / block).cast("int"), F.ceil(F.col("all") / block).cast("int")
     place = lambda n: F.pmod(F.xxhash64("dig"), n).cast("int")
-    ask = side.where("lab <> top").select("tok", place(na).alias("qa"), F.explode(F.sequence(F.lit(0), nd - 1)).alias("qd"), F.lit(0).alias("side"), "dig", "lab", "sig", "n")
-    data = side.select("tok", F.explode(F.sequence(F.lit(0), na - 1)).alias("qa"), place(nd).alias("qd"), F.lit(1).alias("side"), "dig", "lab", "sig", "n")
-    alike = ask.union(data).groupBy("tok", "qa", "qd").applyInArrow(_count_block(least, percent, 100), "tok long, qa int, qd int, side int, dig binary, lab binary")
-    alike = saved(alike, "alike", (sizes,))
+    about = ("dig", "lab", "other", "toks", "sig", "n")
+    ask = side.where("other").select("tok", place(na).alias("qa"), F.explode(F.sequence(F.lit(0), nd - 1)).alias("qd"), F.lit(0).alias("side"), *about)
+    data = side.select("tok", F.explode(F.sequence(F.lit(0), na - 1)).alias("qa"), place(nd).alias("qd"), F.lit(1).alias("side"), *about)
+    kinds = "tok long, qa int, qd int, side int, dig binary, lab binary, other boolean, toks array<long>"
+    alike = saved(ask.union(data).groupBy("tok", "qa", "qd").applyInArrow(_count_block(least, percent, 100), kinds), "alike", (sizes,))
     out = alike.join(sets, "dig").groupBy("tok", "qa", "qd").applyInArrow(_link_block(percent, 100), "a binary, b binary")
     return saved(out.distinct(), "found", (alike,))
