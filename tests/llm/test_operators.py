@@ -645,7 +645,7 @@ def test_html_labels(labeller):
     feats = html_extract.Features()
     found = [html_extract.blocks(p, marked=True) for p in html_pages.pages(150, 4321)]
     got = html_extract.label(labeller, [feats.page(*f) for f in found])
-    hit = np.concatenate([(q >= 0.5) == [x[3] for x in b] for b, q in zip(found, got)])
+    hit = np.concatenate([(q >= 0.5) == [x[3] for x in b] for (b, _), q in zip(found, got)])
     assert hit.mean() > 0.985
 
 
