@@ -26,8 +26,13 @@ def answer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as answers, part of the first turn as gold."""
     c = _table(spark, sf_dir, "conversations")
     first = c.where("turn = 0").groupBy("conv_id").agg(F.min("text").alias("f"))
-    golds = F.array(F.substring("f", 1, 12), F.regexp_extract("f", r"^\S+", 0), F.lit(""))
-    return c.join(first, "conv_id").select("conv_id", "turn", evaluation.answer_match(F.col("text"), golds).alias("match"))
+    # the second gold ends at a space: lines and tabs are part of it
+    golds = F.array(F.substring("f", 1, 12), F.regexp_extract("f", r"^[^ ]+", 0), F.lit(""))
+    asked = F.exists(golds, lambda g: tx.normalize_answer(g) != "")
+    match = evaluation.answer_match(F.col("text"), golds)
+    # as in SQL, unknown without a first turn, and without a text that there is a gold for
+    known = F.col("f").isNotNull() & (F.col("text").isNotNull() | ~asked)
+    return c.join(first, "conv_id").select("conv_id", "turn", F.when(known, match).alias("match"))
 
 
 def gold_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,13 @@ import re
 from collections import Counter
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import bm25, evaluation, graph, ingest, investigate, load, matching, prompts, ranking, rerank, resolve, search, splitter, vectors
-from lodestone.plans import runner
+from lodestone.plans import eval_plans, runner
 from lodestone.sources import tables
 from lodestone.sources.shared import shared_copy
 
@@ -319,6 +320,17 @@ def test_accept_rules(spark):
     assert [r[0] for r in keys.select(ranking.context_match(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0]
 
 
+def test_answer_match_query_equals_its_sql(spark, tmp_path):
+    rows = [(1, 0, "one\ntwo three"), (1, 1, "about one only"), (1, 2, "one two"), (1, 3, None), (2, 0, None), (2, 1, "word"), (3, 0, "  "), (3, 1, None), (3, 2, "x"), (4, 1, "no first turn")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.execute(eval_plans.SQL["answer_match"]).fetchall()
+    got = [tuple(r) for r in eval_plans.answer_match(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert (1, 1, False) in got and (1, 2, True) in got and (1, 3, None) in got
+
+
 def test_answer_match(spark):
     df = spark.createDataFrame([("2004", ["20"]), ("the winner was Chen Ding", ["Chen Ding"]), ("CHEN ding", ["chen ding"]), ("x", [""]), ("x", None)], "p string, g array<string>")
     assert [r[0] for r in df.select(evaluation.answer_match(F.col("p"), F.col("g"))).collect()] == [False, True, True, False, False]
