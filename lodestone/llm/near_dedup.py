@@ -46,7 +46,9 @@ from . import textcore as tc
 from .common import marks, maybe, remove, row_key, saved, slices, split_off
 from .components import components
 
-COORDS, LEAST, ROUNDS, BLOCK, BITS = 48, 22, 2, 256, 24
+COORDS, LEAST, ROUNDS, BLOCK, BITS = 48, 22, 2, 1024, 24
+#: Set members that one side of a block may hold.
+CELLS = 1 << 20
 FEATURES = "key long, doc_id long, n long, dig binary, sig array<long>"
 
 
@@ -189,12 +191,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = saved(narrow.mapInArrow(_features(k, coords), FEATURES), "features")
     classes = rows.where("n > 0").groupBy("dig").agg(F.first("sig").alias("sig"), F.first("n").alias("n"), F.count("*").alias("copies"), F.min("key").alias("rep"), F.min("doc_id").alias("least"))
     classes = saved(classes, "classes")
-    posted = classes.select("dig", F.explode("sig").alias("tok"))
+    posted = classes.select("dig", "n", F.explode("sig").alias("tok"))
     shared = saved(posted.select("tok").groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     seen, hit = maybe(posted, F.col("tok"), marks(shared, "tok", bits), bits)
-    lists = seen.where(hit).select("dig", "tok").join(shared, "tok").groupBy("dig").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("t")).where(F.size("t") >= least)
+    lists = seen.where(hit).select("dig", "n", "tok").join(shared, "tok").groupBy("dig", "n").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("t")).where(F.size("t") >= least)
     weight = F.aggregate("t", F.lit(0).cast("long"), lambda total, x: total + x["df"])
-    lists = lists.select("dig", weight.alias("weight"), F.explode(F.slice("t", F.lit(1), F.size("t") - least + 1)).alias("t")).select("dig", "weight", F.col("t.tok").alias("tok"))
+    lists = lists.select("dig", "n", weight.alias("weight"), F.explode(F.slice("t", F.lit(1), F.size("t") - least + 1)).alias("t")).select("dig", "n", "weight", F.col("t.tok").alias("tok"))
     lists = saved(lists, "lists", (shared,))
     labels = None
     if lists.head(1):
@@ -243,7 +245,7 @@ def _merge(spark, lists, need, sets, least, rounds, percent, block) -> DataFrame
         pairs = here.join(pivots, "tok").where("lab <> pl").select(F.col("dig").alias("a"), F.col("p").alias("b")).distinct()
         links.append(saved(_linked(_counted(pairs, need, least, percent), sets, percent), "found"))
         old, labels = labels, _shortcuts(_union(spark, links))
-        here, last = _open(here.join(pivots, "tok").where("dig <> p").select("tok", "dig", "weight"), labels), here
+        here, last = _open(here.join(pivots, "tok").where("dig <> p").select("tok", "dig", "n", "weight"), labels), here
         for x in (old, last, pivots):
             remove(x)
     if here.head(1):
@@ -272,7 +274,7 @@ def _shortcuts(links: DataFrame) -> DataFrame:
 
 def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the posting lists that hold more than one label."""
-    here = saved(lists.join(labels, F.col("dig") == F.col("node"), "left").select("tok", "dig", "weight", F.coalesce("label", "dig").alias("lab")), "labelled")
+    here = saved(lists.join(labels, F.col("dig") == F.col("node"), "left").select("tok", "dig", "n", "weight", F.coalesce("label", "dig").alias("lab")), "labelled")
     mixed = saved(here.groupBy("tok").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo <> hi").select("tok"), "mixed")
     return saved(here.join(mixed, "tok"), "open", (here, mixed))
 
@@ -295,16 +297,21 @@ def _linked(pairs, sets, percent):
 
 
 def _block_round(here, need, sets, least, percent, block):
-    parts = here.groupBy("tok", "lab").agg(F.count("*").alias("n"))
-    sizes = saved(parts.groupBy("tok").agg(F.sum("n").alias("all"), F.max(F.struct("n", "lab")).alias("top")).select("tok", "all", F.col("top.lab").alias("top"), (F.col("all") - F.col("top.n")).alias("others")), "sizes")
-    mine = here.groupBy("dig").agg(F.sort_array(F.collect_list("tok")).alias("toks")).join(need.select("dig", "sig", "n"), "dig")
+    parts = here.groupBy("tok", "lab").agg(F.count("*").alias("c"), F.max("n").alias("most"))
+    of_list = parts.groupBy("tok").agg(F.sum("c").alias("all"), F.max(F.struct("c", "lab")).alias("top"), F.max("most").alias("most"))
+    others, size = F.col("all") - F.col("top.c"), F.least(F.lit(block), F.greatest(F.lit(1), F.floor(F.lit(CELLS) / F.col("most"))))
+    blocks = lambda rows: F.ceil(rows / size).cast("int")
+    sizes = saved(of_list.select("tok", F.col("top.lab").alias("top"), blocks(others).alias("na"), blocks(F.col("all")).alias("nd")), "sizes")
+    mine = here.groupBy("dig").agg(F.sort_array(F.collect_list("tok")).alias("toks")).join(need.select("dig", "sig"), "dig")
     side = here.join(sizes, "tok").join(saved(mine, "members"), "dig").withColumn("other", F.col("lab") != F.col("top"))
-    na, nd = F.ceil(F.col("others") / block).cast("int"), F.ceil(F.col("all") / block).cast("int")
     place = lambda n: F.pmod(F.xxhash64("dig"), n).cast("int")
-    about = ("dig", "lab", "other", "toks", "sig", "n")
-    ask = side.where("other").select("tok", place(na).alias("qa"), F.explode(F.sequence(F.lit(0), nd - 1)).alias("qd"), F.lit(0).alias("side"), *about)
-    data = side.select("tok", F.explode(F.sequence(F.lit(0), na - 1)).alias("qa"), place(nd).alias("qd"), F.lit(1).alias("side"), *about)
+    at = lambda qa, qd, side: F.struct(qa.alias("qa"), qd.alias("qd"), F.lit(side).alias("side"))
+    span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # each member once as one of its block's data, and once more as one that asks
+    data = F.transform(span("na"), lambda q: at(q, place(F.col("nd")), 1))
+    ask = F.transform(F.when(F.col("other"), span("nd")).otherwise(F.array().cast("array<int>")), lambda q: at(place(F.col("na")), q, 0))
+    dealt = side.select("tok", F.explode(F.concat(data, ask)).alias("at"), "dig", "lab", "other", "toks", "sig", "n").select("tok", "at.*", "dig", "lab", "other", "toks", "sig", "n")
     kinds = "tok long, qa int, qd int, side int, dig binary, lab binary, other boolean, toks array<long>"
-    alike = saved(ask.union(data).groupBy("tok", "qa", "qd").applyInArrow(_count_block(least, percent, 100), kinds), "alike", (sizes,))
+    alike = saved(dealt.groupBy("tok", "qa", "qd").applyInArrow(_count_block(least, percent, 100), kinds), "alike", (sizes,))
     out = alike.join(sets, "dig").groupBy("tok", "qa", "qd").applyInArrow(_link_block(percent, 100), "a binary, b binary")
     return saved(out.distinct(), "found", (alike,))

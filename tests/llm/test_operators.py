@@ -207,6 +207,30 @@ def test_near_dedup_large_group_in_blocks(spark):
     assert Counter(map(tuple, got.collect())) == brute_near(rows)
 
 
+def test_near_dedup_members_of_a_large_list_are_sent_twice_at_most(spark, monkeypatch):
+    """Texts that resemble each other below the limit, in lists of over 256."""
+    r, most = random.Random(3), []
+    base = [sentence(r, 1) for _ in range(80)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for k in r.sample(range(80), 3):
+            words[k] = f"w{r.randint(0, 10**9)}"
+        rows.append((i, " ".join(words), "en", "s"))
+    save = near_dedup.saved
+
+    def saved(df, name, *more):
+        out = save(df, name, *more)
+        if name == "alike":
+            most.append(out.groupBy("tok", "dig").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(near_dedup, "saved", saved)
+    got = near_dedup.near_groups(docs(spark, rows), rounds=1)
+    assert Counter(map(tuple, got.collect())) == brute_near(rows)
+    assert most and most[0] <= 2
+
+
 def test_without_near_copies(spark, corpus):
     frame = docs(spark, corpus + AWKWARD)
     left = near_dedup.without_near_copies(frame)
