@@ -16,7 +16,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontaminate, mixing, near_dedup, sharding, toxicity
-from lodestone.llm.common import collected, drop_paths, new_path, remove, saved, table
+from lodestone.llm.common import collected, drop_paths, new_path, release, remove, saved, table
 
 #: Scratch tables of the stage before, dropped when the next one starts: its rows are
 #: written by then.
@@ -27,6 +27,7 @@ def _stage(function):
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         drop_paths(spark, _scratch)
+        release(spark)
         with collected(_scratch):
             return function(spark, docs, sf_dir)
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcore as tc
-from .common import saved, slices
+from .common import release, saved, slices
 
 EXAMPLES, CELLS, GAIN, NEIGHBOURS, SOFTEN, BLOCK, BATCH, POSTINGS = 4000, 2_000_000, 30.0, 25, 0.05, 32, 64, 200_000
 OUT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("toxic", T.IntegerType())])))])
@@ -108,7 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     first = np.flatnonzero(new)
     count = np.add.reduceat(count, first) if len(first) else count
     model = index(ids, toxic, row[first], term[first], count, gain, k, soften, block)
-    pa.default_memory_pool().release_unused()
+    del got, lists, flat, row, order, term, count, new, first, at
+    release()
     return model
 
 

@@ -1,6 +1,8 @@
 """The corpus pipeline on small tables."""
 
+import gc
 import random
+import weakref
 
 import pytest
 
@@ -47,5 +49,30 @@ def test_pipeline(spark, tables):
     assert frame.where("shard is null").count() == 0
 
 
+def test_stages_start_without_what_the_last_one_left(spark):
+    class Node:
+        pass
+
+    left = []
+
+    @corpus_pipeline._stage
+    def one(spark, docs, sf_dir):
+        node = Node()
+        node.self = node  # a cycle, as data frames and their sessions make
+        left.append(weakref.ref(node))
+        return docs
+
+    @corpus_pipeline._stage
+    def two(spark, docs, sf_dir):
+        assert left[0]() is None
+        return docs
+
+    gc.disable()
+    try:
+        two(spark, one(spark, None, ""), "")
+    finally:
+        gc.enable()
+
+
 def test_pipeline_on_empty_tables(spark, tables):
     assert corpus_pipeline.run(spark, tables([], "none")).count() == 0
